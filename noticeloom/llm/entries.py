@@ -10,16 +10,24 @@ from noticeloom.llm.bpe import op4_bpe
 from noticeloom.llm.chat import OP7_SQL, op7_chat_formatting
 from noticeloom.llm.fingerprints import op5_fingerprints
 from noticeloom.llm.mixing import OP10_SQL, op10_mixing
+from noticeloom.llm.nearest import op3_nearest
+from noticeloom.llm.neardup import op8_minhash_near_dedup
+from noticeloom.llm.surrogates import op2_pii_surrogates
 from noticeloom.llm.tokenlengths import op6_token_counts
+from noticeloom.llm.toxicity import op1_toxicity
 from noticeloom.llm.urlfilter import OP9_SQL, op9_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_pii_surrogates": op2_pii_surrogates,
+        "op3_nearest": op3_nearest,
         "op4_bpe": op4_bpe,
         "op5_fingerprints": op5_fingerprints,
         "op6_token_counts": op6_token_counts,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_url_filters": op9_url_filters,
         "op10_mixing": op10_mixing,
     }

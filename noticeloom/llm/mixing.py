@@ -54,35 +54,19 @@ def _boundary(hist: DataFrame, bucket: str, budget: str) -> DataFrame:
     return first.select("skey", F.col(f"x.{bucket}").alias(bucket), (F.col(f"x.{budget}") - (F.col("x.cum") - F.col("x.tokens"))).alias(budget))
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[float] = (5, 2, 1),
-    share: float = 1.5,
-    most: float = 2.0,
-    seed: str = "mix",
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+def _source_key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
 
-    A source whose target is q times its size and a rest takes every document q times, and once
-    more those whose hash lies below a threshold at which their sizes sum to the rest. The
+def mix_plan(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """``skey, source_size, target, base, below`` from ``skey, size, h``: all that decides the mix.
+
+    A source whose target is q times its size and a rest takes every document ``base`` = q times,
+    and once more those whose hash lies below a threshold at which their sizes sum to the rest. The
     threshold is found from sums by hash bucket; only the bucket it falls in is looked at
-    again, twice, the second time by single hash values, so nothing is sorted and no source is
-    gathered. The document at the threshold is taken if that comes nearer to the target. Null
-    texts have size 0, null sources are one source, the last; an empty table gives no rows.
-    Repeated rows share a hash and are taken or left together.
+    again, twice, the second time by single hash values, so that nothing is sorted and no source
+    is gathered. The document at the threshold is taken if that comes nearer to the target.
     """
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("skey"),
-            word_count(F.col(text_col)).alias("size"),
-            document_hash(F.col(id_col), seed).alias("h"),
-        )
-    )
     low = HASH_BITS - LEVEL_BITS
     first, second = F.shiftright("h", low), F.shiftright("h", low - LEVEL_BITS)
     sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
@@ -104,14 +88,64 @@ def mix_sources(
     cuts = crossed.groupBy("skey").agg(F.min_by(F.struct("h", "tokens", "over"), "h").alias("x"))
     nearer = F.col("x.over") < F.col("x.tokens") - F.col("x.over")
     cuts = cuts.select("skey", (F.col("x.h") + F.when(nearer, 1).otherwise(0)).alias("below"))
-    decided = cut(targets.join(cuts, "skey", "left").select("skey", "source_size", "target", "base", F.coalesce("below", F.lit(0)).alias("below")))
+    return cut(targets.join(cuts, "skey", "left").select("skey", "source_size", "target", "base", F.coalesce("below", F.lit(0)).alias("below")))
+
+
+def mix_sources(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+
+    ``copies`` is how often the mix takes the document, ``taken`` its words, repeats counted
+    (see ``mix_plan``). Null texts have size 0, null sources are one source, the last; an empty table
+    gives no rows. Repeated rows share a hash and are taken or left together.
+    """
+    rows = cut(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            _source_key(F.col(source_col)).alias("skey"),
+            word_count(F.col(text_col)).alias("size"),
+            document_hash(F.col(id_col), seed).alias("h"),
+        )
+    )
     return (
-        join_small(rows, decided, "skey")
+        join_small(rows, mix_plan(rows, weights, share, most), "skey")
         .withColumn("copies", F.col("base") + F.when(F.col("h") < F.col("below"), 1).otherwise(0))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it, without moving a text.
+
+    A row's hash and its source's threshold decide where the row is read.
+    """
+    key, h = _source_key(F.col(source_col)).alias("skey"), document_hash(F.col(id_col), seed).alias("h")
+    rows = cut(docs.select(key, word_count(F.col(text_col)).alias("size"), h))
+    plan = mix_plan(rows, weights, share, most).select("skey", "base", "below")
+    held = docs.select(F.struct(*docs.columns).alias("row"), key, h)
+    copies = F.col("base") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
+    taken = join_small(held, plan, "skey").select("row", copies.cast("int").alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
