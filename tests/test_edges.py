@@ -149,7 +149,7 @@ def test_table_spans():
 
 def test_csv(spark, tmp_path):
     head = ",".join(f'"{c}"' for c in rc.CSV_COLUMNS)
-    line = ['"1"', '""', '"March 14, 2024"', *['""'] * 2, '"say ""hi""\nthere"', *['"x&nbsp; "'] * 16]
+    line = ['"1"', '""', '"March 14, 2024"', '""', '"say ""hi""\nthere"', *['"x&nbsp;\u00a0"'] * 17]
     (tmp_path / "air-fryer_2023-12-01_2026-04-01.csv").write_text("﻿" + head + "\n" + ",".join(line) + "\n", encoding="utf-8")
     rows = rc.read_cpsc_csv(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and rows[0]["category"] == "air-fryer" and rows[0]["Recall Number"] == "1" and rows[0]["Recall Heading"] == 'say "hi"\nthere'
