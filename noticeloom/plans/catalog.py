@@ -17,7 +17,9 @@ from noticeloom.operators import metadata as md
 from noticeloom.operators import notices as nt
 from noticeloom.operators import ordering as od
 from noticeloom.plans import lists as ls
+from noticeloom.session import scratch_folder
 from noticeloom.sources import records as rc
+from noticeloom.streaming import jobs as st
 from noticeloom.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +91,96 @@ def s7(spark, d):
     return out.withColumn("created_at", stamp("createdAt")).withColumn("updated_at", stamp("updatedAt")).drop("createdAt", "updatedAt")
 
 
+def _documents(spark, d):
+    return view(spark, d, "documents").select("doc_id", "text", "source")
+
+
+def _json_files(spark, d, head: str, tail: str) -> str:
+    """JSON files of up to 50 documents each, the records as an array between head and tail."""
+    path = scratch_folder(spark)
+    rows = _documents(spark, d).withColumn("block", F.floor(F.col("doc_id") / 50))
+    one = F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text", "source"))), lambda x: F.to_json(x)), ","), F.lit(tail))
+    rows.groupBy("block").agg(one.alias("value")).repartition("block").write.partitionBy("block").text(path)
+    return path
+
+
+@query("S1_csv_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents")
+def s1(spark, d):
+    path = scratch_folder(spark)
+    _documents(spark, d).select(F.col("doc_id").cast("string"), "text", "source").write.csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="")
+    return rc.read_cpsc_csv(spark, path).drop("category")
+
+
+@query("S2_json_scan", "SELECT doc_id, text, source FROM documents")
+def s2(spark, d):
+    return rc.read_recall_json(spark, _json_files(spark, d, "[", "]"), _documents(spark, d).schema).select("doc_id", "text", "source")
+
+
+@query("S3_category_docs", "SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS INTEGER) AS pos FROM documents")
+def s3(spark, d):
+    path = _json_files(spark, d, '{"meta": {"slug": "m"}, "recalls": [', "]}")
+    return rc.read_category_docs(spark, path, _documents(spark, d).schema, pattern="*.txt").select("doc_id", "source", "pos")
+
+
+@query("S6_replace_load", "SELECT count(*) AS rows, count(*) AS keyed, true AS written, count(*) AS stored FROM v_fda")
+def s6(spark, d):
+    path = scratch_folder(spark)
+    stats = rc.replace_table(view(spark, d, "v_fda"), path, "slug")
+    return stats.crossJoin(spark.read.parquet(path).agg(F.count("*").alias("stored")))
+
+
+@query("S8_snapshot", "SELECT o_orderkey, slug, browseCategory FROM v_fda")
+def s8(spark, d):
+    path = scratch_folder(spark)
+    rc.save_snapshot(view(spark, d, "v_fda").select("o_orderkey", "slug", "browseCategory"), path, "o_orderkey")
+    return spark.read.parquet(path)
+
+
+@query("S9_sitemap_files", f"SELECT '{md.BASE}/recalls/' || slug AS url, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 5000 AS BIGINT) AS file_no FROM v_fda")
+def s9(spark, d):
+    path = scratch_folder(spark)
+    entries = view(spark, d, "v_fda").select("o_orderkey", F.concat(F.lit(md.BASE + "/recalls/"), vl.url_encoded(F.col("slug"))).alias("url"))
+    rc.write_sitemap(od.global_rank(entries, ["o_orderkey"], "position"), path, 5000)
+    return spark.read.json(path).select("url", F.col("file_no").cast("long").alias("file_no"))
+
+
+# Streams
+
+
+def _landed_hits(spark, d, files: int = 4) -> tuple[DataFrame, str]:
+    """The hits as files in the order of time, and the stream that reads them one by one."""
+    path = scratch_folder(spark)
+    hits = view(spark, d, "v_hits").select("event_id", "hit_key", F.col("ts").cast("timestamp").alias("ts"))
+    seconds = F.col("ts").cast("double")
+    cuts = hits.agg(F.percentile_approx(seconds, [i / files for i in range(1, files)]).alias("q")).first()["q"] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = hits if low is None else hits.where(seconds > low)
+        part = part if high is None else part.where(seconds <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+
+
+@query("T1_incremental_ingest", "SELECT hit_key, arg_min(event_id, (ts, event_id)) AS event_id FROM v_hits GROUP BY hit_key")
+def t1(spark, d):
+    stream, path = _landed_hits(spark, d)
+    st.ingest(stream, f"{path}/table", f"{path}/progress", "hit_key", ["ts", "event_id"]).awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("hit_key", "event_id")
+
+
+@query("T2_requests_once", "SELECT hit_key, count(DISTINCT hit_key) AS n FROM v_hits GROUP BY hit_key")
+def t2(spark, d):
+    stream, path = _landed_hits(spark, d)
+    once = st.requests_once(stream, "hit_key", "ts", "40000 days")
+    once.writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("hit_key").agg(F.count("*").alias("n"))
+
+
+@query("T3_admission")
+def t3(spark, d):
+    hits = view(spark, d, "v_hits").withColumn("ts", F.col("ts").cast("timestamp"))
+    return st.admission_batch(hits, 7 * 86_400.0, 3)
+
+
 # Projections and predicates
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +30,9 @@ def build_session(name: str = "noticeloom", cores: int = 8, shuffle_partitions:
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; local only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/noticeloom-{uuid.uuid4().hex}"

@@ -37,10 +37,10 @@ def read_recall_json(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return spark.read.schema(full).json(path, multiLine=True, mode="PERMISSIVE").drop("_id")
 
 
-def read_category_docs(spark: SparkSession, folder: str, schema: T.StructType, skip: str = "url-map.json") -> DataFrame:
+def read_category_docs(spark: SparkSession, folder: str, schema: T.StructType, skip: str = "url-map.json", pattern: str = "*.json") -> DataFrame:
     """S3: files of ``{meta, recalls: [...]}``, a row per recall with its place and the file's stem; broken files are skipped."""
     wrapped = T.StructType([T.StructField("meta", T.StructType([T.StructField("slug", T.StringType())])), T.StructField("recalls", T.ArrayType(schema))])
-    raw = spark.read.schema(wrapped).json(folder, multiLine=True, mode="DROPMALFORMED", pathGlobFilter="*.json")
+    raw = spark.read.schema(wrapped).json(folder, multiLine=True, mode="DROPMALFORMED", pathGlobFilter=pattern, recursiveFileLookup=True)
     named = raw.select("*", F.col("_metadata.file_name").alias("file"), file_stem().alias("category")).where(F.col("file") != skip)
     return named.select("category", "file", F.posexplode("recalls").alias("pos", "r")).select("category", "file", "pos", "r.*")
 

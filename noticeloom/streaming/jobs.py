@@ -50,16 +50,25 @@ def admit(kept: list[float], now: float, window: float, most: int) -> tuple[list
 
 
 def admission_batch(hits: DataFrame, window_s: float, most: int) -> DataFrame:
-    """T3 on a table: every hit decided in order of time, a group per key."""
+    """T3 on a table: every hit decided in order of time.
 
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for key, event, ts in rows.sort_values(["ts", "event_id"])[["hit_key", "event_id", "ts"]].itertuples(index=False):
-            kept, ok, remaining, retry = admit(kept, ts.timestamp(), window_s, most)
-            out.append((key, event, ts, ok, remaining, retry))
-        return pd.DataFrame(out, columns=["hit_key", "event_id", "ts", "ok", "remaining", "retry_after"])
+    Keys are dealt by hash and sorted, and a task passes over its rows in order with the times of
+    one key at hand, at most ``most``, so that a key's rows are never gathered.
+    """
 
-    return hits.select("hit_key", "event_id", "ts").groupBy("hit_key").applyInPandas(decide, DECISION)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for frame in frames:
+            out = []
+            for key, event, ts in frame[["hit_key", "event_id", "ts"]].itertuples(index=False):
+                if key != now:
+                    now, kept = key, []
+                kept, ok, remaining, retry = admit(kept, ts.timestamp(), window_s, most)
+                out.append((key, event, ts, ok, remaining, retry))
+            yield pd.DataFrame(out, columns=["hit_key", "event_id", "ts", "ok", "remaining", "retry_after"])
+
+    ordered = hits.select("hit_key", "event_id", "ts").repartition("hit_key").sortWithinPartitions("hit_key", "ts", "event_id")
+    return ordered.mapInPandas(run, DECISION)
 
 
 class _Admission(StatefulProcessor):
