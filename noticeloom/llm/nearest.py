@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,13 +13,13 @@ from noticeloom.llm.common import table
 
 #: Projections, the share of them in which a vector must collide with a query, and the window's
 #: width at radius 1: a vector as far as the radius collides in 68 of 100 projections.
-PROJECTIONS, THRESHOLD, WIDTH = 64, 0.58, 2.0
+PROJECTIONS, THRESHOLD, WIDTH = 48, 0.6, 2.0
 #: Radii of the windows on the unit sphere: the first, and the growth of each virtual rehashing.
-FIRST_RADIUS, GROWTH, LAST_RADIUS = 0.2, 1.25, 2.1
+FIRST_RADIUS, GROWTH, LAST_RADIUS = 0.4, 1.25, 2.1
 #: The search ends at a radius this many times the distance of the k-th vector found.
-SURE = 1.05
+SURE = 1.0
 #: Vectors in an indexed block, and queries that one task answers on it.
-BLOCK, CHUNK = 16_384, 1_024
+BLOCK, CHUNK = 65_536, 1_024
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -61,42 +63,56 @@ class Block:
         scaled = self.vectors / largest
         lifted = np.concatenate([scaled, np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))[:, None]], axis=1)
         hashes = (lifted @ self.way).T
-        self.order = np.argsort(hashes, axis=1).astype(np.int32)
+        self.order = np.argsort(hashes, axis=1)
         self.sorted = np.take_along_axis(hashes, self.order, axis=1)
 
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k vectors of the largest products found, ties to smaller ids, without ``own``.
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[list[tuple[int, float]]]:
+        """Per query the k vectors of the largest products found, ties to smaller ids, without its own id.
 
         Windows around the query's projections grow by virtual rehashing; a vector is verified
         once it has collided often enough, and the search ends when the k-th best lies well
         within the radius searched. At the last radius the windows hold everything.
         """
+        norms = np.sqrt((queries * queries).sum(axis=1))
+        at = np.concatenate([queries / norms[:, None], np.zeros((len(queries), 1))], axis=1) @ self.way
+        m = len(self.sorted)
+        radii = FIRST_RADIUS * GROWTH ** np.arange(64)
+        radii = radii[: np.searchsorted(radii, LAST_RADIUS)]
+        edges = []  # per radius the windows of all queries, as places in the sorted arrays
+        for half in radii * WIDTH / 2:
+            low = np.stack([np.searchsorted(self.sorted[j], at[:, j] - half) for j in range(m)], axis=1)
+            high = np.stack([np.searchsorted(self.sorted[j], at[:, j] + half, "right") for j in range(m)], axis=1)
+            edges.append((low, high))
+        edges.append((np.zeros_like(edges[0][0]), np.full_like(edges[0][0], len(self.ids))))
+        for i, query in enumerate(queries):
+            yield self._one(own[i], query, norms[i], [(low[i].tolist(), high[i].tolist()) for low, high in edges], radii, k)
+
+    def _one(self, own: int, query: np.ndarray, norm: float, edges: list, radii: np.ndarray, k: int) -> list[tuple[int, float]]:
         n, m = len(self.ids), len(self.sorted)
-        norm = float(np.sqrt((query * query).sum()))
-        at = np.r_[query / norm, 0.0] @ self.way
-        left = right = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(m)])
-        count, seen = np.zeros(n, np.int32), np.zeros(n, bool)
-        best_rows, best_scores = np.zeros(0, np.int64), np.zeros(0)
-        radius, need = FIRST_RADIUS, THRESHOLD * m
-        while True:
-            half = radius * WIDTH / 2
-            last = radius >= LAST_RADIUS
-            lo = np.zeros(m, int) if last else np.array([np.searchsorted(self.sorted[j], at[j] - half) for j in range(m)])
-            hi = np.full(m, n) if last else np.array([np.searchsorted(self.sorted[j], at[j] + half, "right") for j in range(m)])
-            new = [self.order[j, a:b] for j in range(m) for a, b in ((lo[j], left[j]), (right[j], hi[j])) if a < b]
+        need = THRESHOLD * m
+        count, seen = np.zeros(n, np.int64), np.zeros(n, bool)
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        left = right = edges[0][0]
+        for level, (low, high) in enumerate(edges):
+            new = [self.order[j, low[j] : left[j]] for j in range(m) if low[j] < left[j]]
+            new += [self.order[j, right[j] : high[j]] for j in range(m) if right[j] < high[j]]
             if new:
-                count += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            left, right = np.minimum(lo, left), np.maximum(hi, right)
+                count += np.bincount(np.concatenate(new), minlength=n)
+            left, right = low, high
             found = np.flatnonzero((count >= need) & ~seen)
             if len(found):
                 seen[found] = True
                 found = found[self.ids[found] != own]
-                rows, scores = np.r_[best_rows, found], np.r_[best_scores, products(self.vectors[found], query)]
-                top = np.lexsort((self.ids[rows], -scores))[:k]
-                best_rows, best_scores = rows[top], scores[top]
-            if last or (len(best_rows) >= k and np.sqrt(max(0.0, 2 - 2 * best_scores[-1] / (norm * self.largest))) * SURE <= radius):
-                return list(zip(self.ids[best_rows].tolist(), best_scores.tolist(), strict=True))
-            radius *= GROWTH
+                rows, scores = np.r_[rows, found], np.r_[scores, self.vectors[found] @ query]
+                if len(rows) > k:  # whatever may be among the best once its product is summed exactly
+                    best = np.partition(scores, -k)[-k]
+                    part = np.flatnonzero(scores >= best - 1e-9 * norm * self.largest)
+                    rows, scores = rows[part], scores[part]
+            if level < len(radii) and len(rows) >= k and np.sqrt(max(0.0, 2 - 2 * np.partition(scores, -k)[-k] / (norm * self.largest))) * SURE <= radii[level]:
+                break
+        scores = products(self.vectors[rows], query)
+        top = np.lexsort((self.ids[rows], -scores))[:k]
+        return list(zip(self.ids[rows[top]].tolist(), scores[top].tolist(), strict=True))
 
 
 def nearest(
@@ -128,8 +144,10 @@ def nearest(
         out: list[tuple[int, int, float]] = []
         if not asks.all():
             index = Block(ids[~asks], own[~asks], largest)
-            for q, v in zip(ids[asks].tolist(), own[asks], strict=True):
-                out += [(q, i, s) for i, s in index.search(q, v, k)]
+            for at in range(0, int(asks.sum()), 64):
+                some = np.flatnonzero(asks)[at : at + 64]
+                for q, got in zip(ids[some].tolist(), index.search(ids[some], own[some], k), strict=True):
+                    out += [(q, i, s) for i, s in got]
         columns = zip(*out, strict=True) if out else ([], [], [])
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score"])
