@@ -66,7 +66,11 @@ def cut_sentence(text: Column, fallback: Column | None = None, most: int = 170)
 
 def cut_word(text: Column, most: int = 160, least: int = 40, mark: str = "...") -> Column:
     """Cut at the last blank beyond ``least`` characters, else at ``most``."""
-    text = squash(text)
+    return cut_squashed(squash(text), most, least, mark)
+
+
+def cut_squashed(text: Column, most: int = 160, least: int = 40, mark: str = "...") -> Column:
+    """``cut_word`` of a text whose blanks are squashed already."""
     at_blank = F.nullif(F.regexp_extract(text, f"(?s)^(.{{{least + 1},{most - 1}}}) ", 1), F.lit(""))
     return F.when(F.char_length(text) > most, F.concat(F.btrim(F.coalesce(at_blank, F.substring(text, 1, most))), F.lit(mark))).otherwise(text)
 

@@ -98,15 +98,11 @@ def flag_urgent(df: DataFrame, fields: Sequence[str] = ("summary", "consequence"
 def split_paragraphs(df: DataFrame, text: str, blocked: Sequence[str] = BOILERPLATE) -> DataFrame:
     """P10: the paragraphs of a text, those to show and those of boilerplate."""
     paragraphs = F.filter(F.transform(F.split(text, "\n"), squash), lambda p: p != "")
-
-    def bad(p: Column) -> Column:
-        low = F.lower(p)
-        out = F.lit(False)
-        for b in blocked:
-            out = out | low.contains(b)
-        return out
-
-    return df.withColumn("kept", F.filter(paragraphs, lambda p: ~bad(p))).withColumn("rejected", F.filter(paragraphs, bad))
+    pattern = "|".join(rf"\Q{b}\E" for b in blocked)
+    # each paragraph is judged once, for both sides
+    judged = df.withColumn("judged", F.transform(paragraphs, lambda p: F.struct(p.alias("text"), F.lower(p).rlike(pattern).alias("bad"))))
+    side = lambda bad: F.transform(F.filter("judged", lambda x: x["bad"] == bad), lambda x: x["text"])
+    return judged.withColumn("kept", side(False)).withColumn("rejected", side(True)).drop("judged")
 
 
 def explode_components(df: DataFrame, component: str = "component") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeloom.functions.text import blank_to_null, cut_ellipsis, cut_sentence, cut_word, escape_html, squash
+from noticeloom.functions.text import blank_to_null, cut_ellipsis, cut_sentence, cut_squashed, escape_html, squash
 from noticeloom.functions.values import url_encoded
 from noticeloom.operators.localize import first_text, short_product
 
@@ -56,7 +56,7 @@ def fda_metadata(df: DataFrame, langs: Sequence[str] = SITE_LANGS, base: str = B
     generic = F.concat(F.col("m_short"), F.lit(" Recall ("), F.substring(F.coalesce("report_date", F.lit("")), 1, 4), F.lit(") - FDA Safety Alert"))
     title = F.when(F.lower(F.btrim("m_title")).isin(*GENERIC_TITLES), generic).otherwise(F.col("m_title"))
     path = F.concat(F.lit("/recalls/"), url_encoded(F.col("slug")))
-    return rows.select("slug", "lang", localized_path(F.col("lang"), path, base).alias("canonical"), title.alias("title"), cut_word(F.col("m_text"), 160).alias("description"), first_image(F.col("images"), base).alias("image"))
+    return rows.select("slug", "lang", localized_path(F.col("lang"), path, base).alias("canonical"), title.alias("title"), cut_squashed(F.col("m_text"), 160).alias("description"), first_image(F.col("images"), base).alias("image"))
 
 
 def cpsc_metadata(df: DataFrame, langs: Sequence[str] = SITE_LANGS, base: str = BASE) -> DataFrame:
@@ -66,7 +66,7 @@ def cpsc_metadata(df: DataFrame, langs: Sequence[str] = SITE_LANGS, base: str =
     title = F.coalesce(blank_to_null(own["Title"]), blank_to_null(F.col("Title")), F.lit("Product recall"))
     told = F.coalesce(blank_to_null(own["metaDescription"]), blank_to_null(F.col("metaDescription")))
     rows = rows.withColumn("m_text", squash(F.coalesce(blank_to_null(own["Description"]), F.col("Description"), F.lit(""))))
-    description = F.coalesce(F.substring(F.btrim(told), 1, 160), cut_word(F.col("m_text"), 160, mark="…"))
+    description = F.coalesce(F.substring(F.btrim(told), 1, 160), cut_squashed(F.col("m_text"), 160, mark="…"))
     site = F.get(F.filter("images", lambda u: u.startswith("/images/")), 0)
     path = F.concat(F.lit("/general-recalls/"), url_encoded(F.col("slug")))
     return rows.select("slug", "lang", localized_path(F.col("lang"), path, base).alias("canonical"), F.btrim(title).alias("title"), description.alias("description"), F.when(site.isNotNull(), F.concat(F.lit(base), site)).alias("image"))

@@ -108,16 +108,19 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
 def unique_slugs(df: DataFrame, base: str, arrival: str, row_id: str, existing: DataFrame | None = None) -> DataFrame:
     """``row_id, slug``: the base, else ``base-2``, ``base-3`` and so on, first come first served.
 
-    A base that nothing else of its stem competes with is numbered by a window. Only stems with
-    several bases or with slugs already stored are replayed in order, one group a stem.
+    A base can only meet another one's suffixed slugs if it is that base and a number, or slugs already
+    stored. Stems in which that happens are replayed in order, one group a stem; everywhere else, as in
+    a product with recalls of several years, a window numbers the copies of each base.
     """
     rows = df.select(F.col(row_id).alias("row_id"), F.col(arrival).alias("arrival"), F.col(base).alias("base")).withColumn("stem", stem(F.col("base")))
-    per_stem = rows.groupBy("stem").agg((F.min("base") != F.max("base")).alias("mixed"))
+    bases = rows.select("base", "stem").distinct()
+    suffixed = bases.where(F.col("base").rlike(r"-\d+$")).select("stem", F.regexp_replace("base", r"-\d+$", "").alias("base"))
+    clashing = suffixed.join(bases, ["base", "stem"], "left_semi").select("stem")
     if existing is not None:
         held = existing.select(F.col("slug").alias("base")).distinct().withColumn("stem", stem(F.col("base")))
-        per_stem = per_stem.join(held.select("stem").distinct().withColumn("held", F.lit(True)), "stem", "left").withColumn("mixed", F.col("mixed") | F.coalesce("held", F.lit(False))).drop("held")
-    # a base that ends in a number, alone, still meets its own suffixes only
-    tagged = rows.join(per_stem, "stem")
+        clashing = clashing.unionByName(held.join(bases.select("stem").distinct(), "stem", "left_semi").select("stem"))
+    per_stem = clashing.distinct().withColumn("mixed", F.lit(True))
+    tagged = rows.join(per_stem, "stem", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     n = F.row_number().over(Window.partitionBy("base").orderBy("arrival", "row_id"))
     plain = tagged.where("not mixed").withColumn("n", n).select("row_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("slug"))
     kind = dict(rows.dtypes)
