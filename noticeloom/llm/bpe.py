@@ -13,11 +13,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import table
+from noticeloom.llm.common import sliced, table
 from noticeloom.llm.tokenlengths import balanced
 
 #: Characters handled at once, and words whose tokens a worker remembers.
-BATCH_CHARS, MEMO = 4 << 20, 250_000
+BATCH_CHARS, MEMO = 2 << 20, 120_000
 NO_RANK = np.int64(1) << 40
 BLANKS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -155,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        for batch in batches:
+        for batch in sliced(batches):
             n, a, b, ids, decoded = [], [], [], [], []
             for count, own, text in bpe.encode_batch(batch.column("text").to_pylist()):
                 n.append(count)

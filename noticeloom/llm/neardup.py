@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut, join_small, table
+from noticeloom.llm.common import cut, join_small, sliced, table
 from noticeloom.llm.components import connected_components
 from noticeloom.llm.shingles import array_sets, digests, list_array, shingle_sets
 
@@ -21,9 +21,7 @@ SLACK = 0.2
 #: The union sketch estimates the similarity; this much below the threshold is still verified.
 MARGIN = 0.17
 #: Most documents and shingles that one block of an inverted list holds.
-BLOCK_DOCS, BLOCK_SHINGLES = 1000, 2_000_000
-#: Texts (bytes) turned to shingles at once.
-ARROW_ROWS = 500
+BLOCK_DOCS, BLOCK_SHINGLES = 800, 400_000
 
 
 def _overlap(n: int, share: float) -> int:
@@ -34,17 +32,15 @@ def sketch_documents(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, sketch``: set size, set digest and the k smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ARROW_ROWS):
-                part = batch.slice(at, ARROW_ROWS)
-                n, d1, d2, low = [], [], [], []
-                for own in shingle_sets(part.column("text")):
-                    a, b = digests(own)
-                    n.append(len(own))
-                    d1.append(a)
-                    d2.append(b)
-                    low.append(own[:k])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), list_array(low)], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
+        for part in sliced(batches):
+            n, d1, d2, low = [], [], [], []
+            for own in shingle_sets(part.column("text")):
+                a, b = digests(own)
+                n.append(len(own))
+                d1.append(a)
+                d2.append(b)
+                low.append(own[:k].copy())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), list_array(low)], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
@@ -53,10 +49,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, shingles``: every distinct shingle of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ARROW_ROWS):
-                part = batch.slice(at, ARROW_ROWS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(list(shingle_sets(part.column("text"))))], ["doc_id", "shingles"])
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(list(shingle_sets(part.column("text"))))], ["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
@@ -212,7 +206,7 @@ def block_links(rows: DataFrame, num: int, den: int, k: int) -> DataFrame:
                 cross = np.array(sides) if now and now[1] != now[2] else None
                 out.extend((ids[i], ids[j]) for i, j in link_block(sets, num, den, k, cross))
 
-        for batch in batches:
+        for batch in sliced(batches):
             keys = zip(*(batch.column(c).to_pylist() for c in ("value", "low", "high")), strict=True)
             own = zip(keys, batch.column("doc_id").to_pylist(), batch.column("in_low").to_pylist(), array_sets(batch.column("shingles")), strict=True)
             for key, doc, side, shingles in own:

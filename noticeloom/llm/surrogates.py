@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut, join_small, table
+from noticeloom.llm.common import cut, join_small, sliced, table
 
 #: Key of the production query; deployments pass their own.
 KEY = "surrogate-key"
@@ -185,7 +185,7 @@ def entity_spans(docs: DataFrame, columns: list[str], text_col: str) -> DataFram
     """``columns``, ``kind`` and ``canon`` of every entity of every row, once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, kind, canon = [], [], []
             texts = batch.column(text_col)
             for i in range(batch.num_rows):
@@ -254,7 +254,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
         rows = join_small(rows, due, mark, "left").drop(mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             texts = batch.column(text_col)
             due = batch.column(extra).to_pylist() if retried else [None] * batch.num_rows

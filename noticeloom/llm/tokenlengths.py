@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import table
+from noticeloom.llm.common import sliced, table
 
 #: Bytes of text encoded in one call, and segments whose length a worker remembers.
-CALL_BYTES, MEMO = 1 << 20, 400_000
+CALL_BYTES, MEMO = 1 << 20, 200_000
 
 #: The library's own mark for a blank.
 BLANK = "▁"
@@ -83,7 +83,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             counts = [n for part in balanced(texts, 4 * CALL_BYTES) for n in count_batch(texts[part], model_path)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

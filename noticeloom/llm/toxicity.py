@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut, table
+from noticeloom.llm.common import cut, sliced, table
 
 #: Labelled training rows that a model is fitted on, about; chosen by a hash of the id.
 SAMPLE = 20_000
@@ -29,7 +29,7 @@ FOLDS = 4
 STEPS = (1.0, 2.0, 3.0)
 #: Letters that open a term of the prefix lexicon, and the words within which "you" is near.
 PREFIX, NEAR = 4, 5
-MEMO = 300_000
+MEMO = 60_000
 
 #: Second-person words of the languages served; fixed values.
 SECOND_PERSON = frozenset(
@@ -129,7 +129,7 @@ def with_features(docs: DataFrame, text_col: str, lexica: dict[int, dict[str, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = {f: WordCodes(lexicon) for f, lexicon in lexica.items()}
-        for batch in batches:
+        for batch in sliced(batches):
             folds = batch.column(fold_col).to_pylist() if fold_col else [-1] * batch.num_rows
             texts = batch.column(text_col)
             got = [features(texts[i].as_py(), codes[f]) for i, f in enumerate(folds)]
