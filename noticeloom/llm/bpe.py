@@ -17,7 +17,7 @@ from noticeloom.llm.common import sliced, table
 from noticeloom.llm.tokenlengths import balanced
 
 #: Characters handled at once, and words whose tokens a worker remembers.
-BATCH_CHARS, MEMO = 2 << 20, 120_000
+BATCH_CHARS, MEMO = 1 << 19, 100_000
 NO_RANK = np.int64(1) << 40
 BLANKS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 

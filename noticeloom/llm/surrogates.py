@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut, join_small, sliced, table
+from noticeloom.llm.common import cut, fresh, join_small, sliced, table
 
 #: Key of the production query; deployments pass their own.
 KEY = "surrogate-key"
@@ -241,8 +241,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     first surrogate collided, seldom any, are sent to the rows that hold them.
     """
     rows = docs
-    taken = {c.lower() for c in docs.columns}
-    mark, extra = (next(n for n in (base, *(f"{base}{i}" for i in range(len(taken) + 1))) if n not in taken) for base in ("row_mark", "row_attempts"))
+    mark, extra = fresh(docs, "row_mark"), fresh(docs, "row_attempts")
     entities = entity_spans(docs.select(F.col(text_col)), [], text_col)
     settled = collision_free(entities, key)
     moved = cut(settled.where("attempt > 0").select("kind", "canon", "attempt"))

@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut, sliced, table
+from noticeloom.llm.common import cut, fresh, sliced, table
 
 #: Labelled training rows that a model is fitted on, about; chosen by a hash of the id.
 SAMPLE = 20_000
@@ -42,7 +42,7 @@ ODD = re.compile(r"[^\W\d_][\d@$!*._-]+[^\W\d_]")
 REPEATED = re.compile(r"(.)\1\1")
 
 NAMES = (
-    "log_words", "mild", "strong", "very_strong", "count_strong", "prefix_mild", "prefix_strong", "prefix_very_strong",
+    "mild", "strong", "very_strong", "count_strong", "prefix_mild", "prefix_strong", "prefix_very_strong",
     "count_prefix", "second_person", "near_second_person", "capitals", "shouted", "exclaims", "asks", "punctuation",
     "digits", "obfuscated",
 )
@@ -118,7 +118,7 @@ def features(text: str | None, codes: WordCodes) -> list[float]:
     kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=7)
     letters, size = max(1, int(kinds[1] + kinds[2])), len(raw)
     return [
-        math.log1p(n), step[1] / n, step[2] / n, step[3] / n, math.log1p(step[2] + step[3]), prefix[1] / n, prefix[2] / n, prefix[3] / n,
+        step[1] / n, step[2] / n, step[3] / n, math.log1p(step[2] + step[3]), prefix[1] / n, prefix[2] / n, prefix[3] / n,
         math.log1p(prefix[2] + prefix[3]), second / n, math.log1p(near), kinds[2] / letters, shouted / n, kinds[4] / size, kinds[5] / size, kinds[6] / size,
         kinds[3] / size, odd / n,
     ]
@@ -194,7 +194,7 @@ class ToxicityModel:
         """``docs`` with the calibrated score in column ``name``."""
         if self.trees is None:
             return docs.withColumn(name, F.lit(self.prior))
-        own = [_fresh(docs, x) for x in ("features", "raw", "margin", "level")]
+        own = [fresh(docs, x) for x in ("features", "raw", "margin", "level")]
         rows = with_features(docs, text_col, {-1: self.lexicon}, own[0]).withColumn(own[0], array_to_vector(own[0]))
         rows = self.trees.copy({self.trees.featuresCol: own[0], self.trees.rawPredictionCol: own[1], self.trees.probabilityCol: "", self.trees.predictionCol: ""}).transform(rows)
         rows = rows.withColumn(own[2], vector_to_array(own[1])[1])
@@ -207,13 +207,6 @@ def _blend(level: Column, margin: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), level * 0.99 + 0.01 / (F.lit(1.0) + F.exp(-2.0 * margin))))
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -240,7 +233,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     lexica = build_lexica(rows)
     made = with_features(rows, "text", lexica, "features", "fold")
     made = cut(made.select("fold", F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features")).repartition(6))
-    trees = GBTClassifier(maxIter=20, maxDepth=4, maxBins=48, stepSize=0.2, seed=7, maxMemoryInMB=64).fit(made.where("fold > 0"))
+    trees = GBTClassifier(maxIter=20, maxDepth=4, minInstancesPerNode=5, maxBins=48, stepSize=0.2, seed=7, maxMemoryInMB=64).fit(made.where("fold > 0"))
     held = trees.transform(made.where("fold = 0")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(held)
     return ToxicityModel(lexica[-1], trees, calibration, prior)

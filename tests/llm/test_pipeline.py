@@ -64,3 +64,23 @@ def test_encoding(stages):
 
 def test_run(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages[-1].collect()))
+
+
+def test_odd_rows_and_columns(spark):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns of clashing names, and no rows."""
+    rows = [(1, None, None, None, None), (None, "a b c d e f", "en", "s", 1), (2, "", "en", None, 0), (3, "ü " * 50_000, None, "s", 9), (4, "x y z", "de", "t", 5), (4, "x y z", "de", "t", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = docs.selectExpr("*", "1 AS toxicity_score", "2 AS row", "3 AS copies", "4 AS row_mark", "5 AS skey", "6 AS features")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, SF)
+        got = out.collect()
+        assert stage(spark, more.limit(0), SF).count() == 0
+        if name == "bpe":
+            assert sorted((r.doc_id or 0, r.n_tokens) for r in got)[1] == (1, 0)
+            continue
+        assert out.columns == more.columns
+        assert all((r.toxicity_score, r.row, r.copies, r.row_mark, r.skey, r.features) == (1, 2, 3, 4, 5, 6) for r in got)
+        if name in ("toxicity", "near_duplicates"):
+            assert len(got) == 6
+        if name == "personal_data":
+            assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
