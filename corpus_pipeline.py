@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeloom.llm.bpe import encode_documents
-from noticeloom.llm.common import cut, join_small, shared_folder, table
+from noticeloom.llm.common import cut, fresh, join_small, shared_folder, table
 from noticeloom.llm.mixing import mixed_documents
 from noticeloom.llm.neardup import near_duplicates
 from noticeloom.llm.surrogates import pseudonymize
@@ -18,8 +18,8 @@ from noticeloom.llm.toxicity import train_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half."""
     model = train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = model.score(docs, name="toxicity_score")
-    return scored.where("toxicity_score < 0.5").select(*docs.columns)
+    name = fresh(docs, "toxicity_score")
+    return model.score(docs, name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
