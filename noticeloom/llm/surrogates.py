@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 import string
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -41,6 +42,10 @@ NUMERIC = (
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\d-])")),
 )
+#: A word, with what hyphens and apostrophes tie to it.
+WORDS = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)")
+PIECE = re.compile(r"[^\W\d_]+")
+OWNER = re.compile(r"['’][sS]$")
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnprstvz"
 
 
@@ -56,7 +61,8 @@ def detect(text: str | None) -> list[Span]:
 
     The canonical form is what decides whether two spellings are one entity: digits alone for
     numbers, lower case for addresses and names. The last name of a person is one entity, each
-    name before it another, of the title's gender, so that a surname is replaced alike alone.
+    name before it another, of the gender that the titles before it in the text tell. Names told
+    by a title once are found everywhere else in the text where they begin with a capital.
     """
     if not text:
         return []
@@ -69,18 +75,54 @@ def detect(text: str | None) -> list[Span]:
             for m in pattern.finditer(text):
                 raw = m.group()
                 found.append(Span(m.start(), m.end(), kind, raw if kind in ("key", "ip") else re.sub(r"[^0-9A-Z]", "", raw)))
+    surnames: set[str] = set()
+    given: dict[str, set[str]] = {}
     if any(t in text for t in TITLES):
         for m in PERSON.finditer(text):
             gender, parts = TITLES[m.group(1)], list(re.finditer(r"\S+", m.group(2)))
             for i, part in enumerate(parts):
-                kind = "surname" if i == len(parts) - 1 else f"given_{gender}"
-                found.append(Span(m.start(2) + part.start(), m.start(2) + part.end(), kind, part.group().lower()))
+                name = OWNER.sub("", part.group())
+                at = m.start(2) + part.start()
+                if i == len(parts) - 1:
+                    surnames.add(name.lower())
+                else:
+                    given.setdefault(name.lower(), set()).add(gender)
+                found.append(Span(at, at + len(name), "surname" if i == len(parts) - 1 else "given", name.lower()))
     order = {k: i for i, k in enumerate(("email", "secret", *(k for k, _ in NUMERIC)))}
     taken: list[Span] = []
     for s in sorted(found, key=lambda s: (order.get(s.kind, 99), s.start)):
         if all(s.stop <= t.start or s.start >= t.stop for t in taken):
             taken.append(s)
-    return sorted(taken)
+    taken.sort()
+    if surnames or given:
+        taken = sorted(taken + _bare(text, taken, surnames, given))
+    return [s._replace(kind=f"given_{one_gender(given[s.canon])}") if s.kind == "given" else s for s in taken]
+
+
+def one_gender(told: set[str]) -> str:
+    """The gender of a given name: what its titles tell, ``u`` if they tell nothing or both."""
+    return next(iter(told - {"u"})) if len(told - {"u"}) == 1 else "u"
+
+
+def _bare(text: str, taken: list[Span], surnames: set[str], given: dict[str, set[str]]) -> list[Span]:
+    """Further mentions of the names, outside what is ``taken``; one that is both given and a surname is given before a surname."""
+    starts, out = [s.start for s in taken], []
+    for word in WORDS.finditer(text):
+        whole = OWNER.sub("", word.group())
+        known = [(0, whole)] if whole.lower() in surnames or whole.lower() in given else [(p.start(), p.group()) for p in PIECE.finditer(whole)]
+        for at, raw in known:
+            name, start, stop = raw.lower(), word.start() + at, word.start() + at + len(raw)
+            if raw[0].islower() or (name not in surnames and name not in given):
+                continue
+            before = bisect_right(starts, stop - 1) - 1
+            if before >= 0 and taken[before].stop > start:
+                continue
+            first = name in given
+            if first and name in surnames:
+                after = re.compile(r"[ \t]+([^\W\d_]+(?:[-'’][^\W\d_]+)*)").match(text, stop)
+                first = after is not None and OWNER.sub("", after.group(1)).lower() in surnames
+            out.append(Span(start, stop, "given" if first else "surname", name))
+    return out
 
 
 class _Stream:
@@ -138,6 +180,8 @@ def surrogate(kind: str, canon: str, attempt: int, key: str) -> str:
         d = _Stream(key, "domain", domain)
         return f"{s.like(local)}{more}@{'.'.join(d.like(x) for x in labels)}.{top}"
     if kind == "ip":
+        if attempt >= GROW:  # those of the same lengths may all be taken
+            return ".".join(str(1 + s.below(254)) for _ in range(4))
         ranges = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         return ".".join(str((r := ranges[len(x)])[0] + s.below(r[1] - r[0] + 1)) for x in canon.split("."))
     if kind == "card":
@@ -171,9 +215,14 @@ def poured(raw: str, kind: str, canon: str) -> str:
     return canon
 
 
-def replaced(text: str, attempts: dict[tuple[str, str], int], key: str) -> tuple[str, list[Span]]:
-    """The text with surrogates in place of its personal data, and the spans they replace."""
+def replaced(text: str, attempts: dict[tuple[str, str], int], key: str, given: dict[str, str] | None = None) -> tuple[str, list[Span]]:
+    """The text with surrogates in place of its personal data, and the spans they replace.
+
+    ``given`` has the kind of given names to which the corpus gives another gender than this text.
+    """
     spans, out, at = detect(text), [], 0
+    if given:
+        spans = [s._replace(kind=given.get(s.canon, s.kind)) if s.kind.startswith("given_") else s for s in spans]
     for s in spans:
         new = surrogate(s.kind, s.canon, attempts.get((s.kind, s.canon), 0), key)
         out += [text[at : s.start], poured(text[s.start : s.stop], s.kind, new)]
@@ -213,17 +262,19 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
 def collision_free(entities: DataFrame, key: str) -> DataFrame:
     """``kind, canon, attempt, chosen``: an attempt per entity such that no two share a surrogate.
 
-    Nor is any surrogate an entity of the corpus. Of those that collide the one of the lowest
+    Nor is any surrogate an entity of the corpus. Given names of all genders count as one kind here. Of those that collide the one of the lowest
     attempt, then the smallest, keeps its surrogate; the others try again, all at once, until
     none collides.
     """
+    family = F.substring_index("kind", "_", 1)
     entities = cut(entities.select("kind", "canon").distinct())
     state = cut(with_surrogates(entities.withColumn("attempt", F.lit(0)), key))
     for _ in range(MOST_ATTEMPTS):
-        real = entities.withColumnRenamed("canon", "chosen")
-        taken = state.join(real, ["kind", "chosen"], "left_semi").select("kind", "canon")
-        shared = state.groupBy("kind", "chosen").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-        losers = state.join(shared, ["kind", "chosen"]).where("owner.canon <> canon").select("kind", "canon")
+        real = entities.select(family.alias("family"), F.col("canon").alias("chosen"))
+        held = state.withColumn("family", family)
+        taken = held.join(real, ["family", "chosen"], "left_semi").select("kind", "canon")
+        shared = held.groupBy("family", "chosen").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+        losers = held.join(shared, ["family", "chosen"]).where("owner.canon <> canon").select("kind", "canon")
         again = cut(taken.unionByName(losers).distinct())
         if again.isEmpty():
             return state
@@ -232,24 +283,42 @@ def collision_free(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError("no free surrogates are left for some kind of entity")
 
 
+def resolved_genders(entities: DataFrame) -> DataFrame:
+    """``kind, canon, becomes`` of distinct entities: a given name becomes one kind, whatever titles different texts have."""
+    told = F.collect_set(F.substring_index("kind", "_", -1))
+    sexes = F.array_except("told", F.array(F.lit("u")))
+    names = entities.where("kind like 'given%'").groupBy("canon").agg(told.alias("told"))
+    names = names.select("canon", F.concat(F.lit("given_"), F.when(F.size(sexes) == 1, F.get(sexes, F.lit(0))).otherwise("u")).alias("becomes"))
+    rest = entities.where("kind not like 'given%'").select("kind", "canon", F.col("kind").alias("becomes"))
+    return rest.unionByName(entities.where("kind like 'given%'").join(names, "canon").select("kind", "canon", "becomes"))
+
+
 def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text_col``; ``found_col``, if given, gets the kinds replaced.
 
     One entity has one surrogate throughout the corpus and in every run with the same key, two
     entities never share one, and none is an entity that occurs. Rows without personal data, and null
     or empty texts, stay as they are. Replacing is done where a text is read; only entities whose
-    first surrogate collided, seldom any, are sent to the rows that hold them.
+    first surrogate collided, and given names whose gender other texts tell otherwise, are sent to
+    the rows that hold them.
     """
     rows = docs
     mark, extra = fresh(docs, "row_mark"), fresh(docs, "row_attempts")
-    entities = entity_spans(docs.select(F.col(text_col)), [], text_col)
-    settled = collision_free(entities, key)
-    moved = cut(settled.where("attempt > 0").select("kind", "canon", "attempt"))
+    entities = cut(entity_spans(docs.select(F.col(text_col)), [], text_col).distinct())
+    named = not entities.where("kind like 'given%'").isEmpty()
+    entities = cut(resolved_genders(entities)) if named else entities.withColumn("becomes", F.col("kind"))
+    settled = collision_free(entities.select(F.col("becomes").alias("kind"), "canon"), key)
+    moved = settled.where("attempt > 0").select(F.col("kind").alias("becomes"), "canon", "attempt")
+    if named:
+        moved = entities.join(moved, ["becomes", "canon"], "left").where("attempt is not null or kind <> becomes").select("kind", "canon", F.coalesce("attempt", F.lit(0)).alias("attempt"), "becomes")
+    else:
+        moved = moved.select(F.col("becomes").alias("kind"), "canon", "attempt", "becomes")
+    moved = cut(moved)
     retried = not moved.isEmpty()
     if retried:
         rows = docs.withColumn(mark, F.xxhash64(F.col(id_col), F.col(text_col)))
         spans = entity_spans(rows, [mark], text_col)
-        due = join_small(spans, moved, ["kind", "canon"]).groupBy(mark).agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias(extra))
+        due = join_small(spans, moved, ["kind", "canon"]).groupBy(mark).agg(F.collect_set(F.struct("kind", "canon", "attempt", "becomes")).alias(extra))
         rows = join_small(rows, due, mark, "left").drop(mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +329,9 @@ def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
             new, kinds = [], []
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
-                attempts = {(x["kind"], x["canon"]): x["attempt"] for x in due[i] or ()}
-                made, spans = replaced(text, attempts, key) if text else (text, [])
+                attempts = {(x["becomes"], x["canon"]): x["attempt"] for x in due[i] or ()}
+                given = {x["canon"]: x["becomes"] for x in due[i] or () if x["kind"] != x["becomes"]}
+                made, spans = replaced(text, attempts, key, given) if text else (text, [])
                 new.append(made)
                 kinds.append([s.kind for s in spans])
             columns = {n: batch.column(n) for n in names if n != extra} | {text_col: pa.array(new, pa.string())}

@@ -93,3 +93,30 @@ def test_retried_entities_reach_their_rows(spark, monkeypatch):
     got = pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
     want = [(i, replaced(t, {("email", "7@a.org"): 3}, "k")[0] if t else t) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_bare_mentions_and_one_gender():
+    text = "Mrs. Ada Miller came. Miller's car was MILLER, said Ada; Ada-Marie, a miller2 and Millers stay. Dr Ada Voss, Mrs Voss's aunt. Ask Voss@a.org"
+    spans = detect(text)
+    assert [(s.kind, text[s.start : s.stop]) for s in spans] == [
+        ("given_f", "Ada"), ("surname", "Miller"), ("surname", "Miller"), ("surname", "MILLER"), ("given_f", "Ada"), ("given_f", "Ada"), ("given_f", "Ada"), ("surname", "Voss"), ("surname", "Voss"), ("email", "Voss@a.org"),
+    ]
+    new = replaced(text, {}, "k")[0]
+    ada, miller = (sg.surrogate(k, c, 0, "k").capitalize() for k, c in (("given_f", "ada"), ("surname", "miller")))
+    assert new.startswith(f"Mrs. {ada} {miller} came. {miller}'s car was {miller.upper()}, said {ada}; {ada}-Marie, a miller2 and Millers stay. Dr {ada} ")
+    both = detect("Mr. Thomas met Mrs. Thomas Lee. Thomas Lee thanked Thomas.")
+    assert [s.kind for s in both] == ["surname", "given_f", "surname", "given_f", "surname", "surname"]
+
+
+def test_one_given_name_has_one_surrogate_in_the_corpus(spark):
+    rows = [(1, "Dr Ada Voss and Ada"), (2, "Mrs Ada Lind, Ada"), (3, "Mr Kim Park"), (4, "Ms Kim Park, Kim")]
+    got = dict(map(tuple, pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()))
+    first = [got[i].replace(",", "").split()[1] for i in (1, 2, 3, 4)]
+    assert first[0] == first[1] != first[2] == first[3] and first[0].endswith("a")
+    assert all(got[i].split()[-1] == first[i - 1] for i in (1, 2, 4))
+
+
+def test_short_addresses_do_not_run_out(spark):
+    rows = [(i, f"{1 + i // 729}.{1 + i // 81 % 9}.{1 + i // 9 % 9}.{1 + i % 9}") for i in range(6561)]
+    got = [r.text for r in pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(set(got)) == 6561 and not set(got) & {t for _, t in rows} and all(detect(t)[0].kind == "ip" for t in got)
