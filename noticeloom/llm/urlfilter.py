@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut, table
+from noticeloom.llm.common import cut, sliced, table
 from noticeloom.llm.components import connected_components
 
 #: (verdict, host, path) of the production rules.
@@ -20,13 +23,76 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER = r"^.*?://"
-#: Links in a page's head that name another address of the same page; attributes in either order.
+#: The first link of either kind, as the SQL takes it.
 CANONICAL = (
     r"<link\b[^>]*\brel=[\"']?canonical\b[^>]*\bhref=[\"']([^\"'>]+)",
     r"<link\b[^>]*\bhref=[\"']([^\"'>]+)[\"'][^>]*\brel=[\"']?canonical\b",
 )
 REFRESH = r"<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*\burl=[\"']?([^\"'>\s]+)"
 
+#: Comments, scripts and styles, which hold no links, or a tag with its attributes; quotes count after ``=`` only.
+TAGS = re.compile(r"""(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1|\Z)|<(link|meta|base)(?=[\s/>])((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+ENTITY = re.compile(r"&(?:#(\d+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*))(;|(?![=A-Za-z0-9]))")
+RELOAD = re.compile(r"""(?is)^\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""")
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def unescaped(value: str) -> str:
+    """An attribute's value with its entities decoded; one without ``;`` only if no word goes on behind it."""
+
+    def one(m: re.Match) -> str:
+        if m.group(3):
+            return html5.get(m.group(3) + m.group(4), m.group())
+        code = int(m.group(1)[:8]) if m.group(1) else int(m.group(2)[:8], 16)
+        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m.group()
+
+    return ENTITY.sub(one, value)
+
+
+def resolved(base: str, ref: str) -> str:
+    """A reference as seen from the address ``base`` (with ``://``), by RFC 3986."""
+    if SCHEME.match(ref):
+        return ref
+    scheme, _, rest = base.partition("://")
+    if ref.startswith("//"):
+        return f"{scheme}:{ref}"
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    own = re.match(r"[^?#]*", ref).group()
+    if not own:
+        return f"{scheme}://{host}{path}{ref}" if ref.startswith("?") else base.partition("#")[0] + ref
+    parts: list[str] = []
+    names = (own if own.startswith("/") else (path[: path.rfind("/") + 1] or "/") + own).split("/")[1:]
+    for i, name in enumerate(names):
+        if name == "..":
+            del parts[-1:]
+        if name not in (".", ".."):
+            parts.append(name)
+        elif i == len(names) - 1:
+            parts.append("")
+    return f"{scheme}://{host}/{'/'.join(parts)}{ref[len(own) :]}"
+
+
+def page_aliases(url: str, html: str) -> list[str]:
+    """The addresses that all canonical links and refresh redirects of a page name, seen from its ``<base>``."""
+    base, found = None, []
+    for m in TAGS.finditer(html):
+        if not m.group(2):
+            continue
+        tag, has = m.group(2).lower(), {}
+        for a in ATTRIBUTE.finditer(m.group(3)):
+            has.setdefault(a.group(1).lower(), re.sub(r"[\t\n\r]", "", unescaped(a.group(2) or a.group(3) or a.group(4) or "")).strip() if a.group(1).lower() in ("href", "content") else (a.group(2) or a.group(3) or a.group(4) or "").lower())
+        if tag == "base" and base is None and has.get("href"):
+            base = resolved(url, has["href"])
+        elif tag == "link" and "canonical" in has.get("rel", "").split():
+            found.append(has.get("href", ""))
+        elif tag == "meta" and has.get("http-equiv", "").strip() == "refresh":
+            target = RELOAD.match(has.get("content", ""))
+            found.append(next((x for x in target.groups() if x), "").strip() if target else "")
+    base = base if base and "://" in base else url
+    return list(dict.fromkeys(resolved(base, x) for x in found if x))
+
 
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
@@ -64,18 +130,18 @@ def node(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(src, dst)`` from canonical links and refresh redirects; relative targets take the page's host."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    first = [F.regexp_extract(html, "(?is)" + p, 1) for p in (*CANONICAL, REFRESH)]
-    likely = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
-    links = pages.where(likely).select(F.col(url_col).alias("url"), F.explode(F.array(*first)).alias("to")).where("to <> ''")
-    base = F.concat(F.substring_index("url", "://", 1), F.lit("://"))
-    full = (
-        F.when(F.col("to").startswith("//"), F.concat(F.substring_index("url", "://", 1), F.lit(":"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(base, url_host(F.col("url")), F.col("to")))
-        .otherwise(F.col("to"))
-    )
-    return links.select(node(F.col("url")).alias("src"), node(full).alias("dst")).where("src is not null and dst is not null")
+    """``(src, dst)`` from every canonical link and refresh redirect; relative targets are resolved from the page's address."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            urls, texts = part.column("url"), part.column("html")
+            pairs = [(u, to) for i in range(part.num_rows) for u in (urls[i].as_py(),) for to in page_aliases(u, texts[i].as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["url", "to"])
+
+    html, url = F.col(html_col), F.col(url_col)
+    likely = (F.lower(html).contains("canonical") | F.lower(html).contains("refresh")) & url.contains("://")
+    links = pages.where(likely).select(url.alias("url"), html.alias("html")).mapInArrow(run, "url string, to string")
+    return links.select(node(F.col("url")).alias("src"), node(F.col("to")).alias("dst")).where("src is not null and dst is not null")
 
 
 def filter_urls(
