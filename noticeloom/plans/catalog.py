@@ -207,6 +207,12 @@ def p4(spark, d):
     return fl.filter_general(view(spark, d, "v_general"), " THE  doc-1 ", ("slug", "Title", "productType", "brand", "RecallNumber")).select("slug")
 
 
+@query("P4_word_search_texts")
+def p4_texts(spark, d):
+    """P4 with the whole text of each record among the fields, where the query above has 80 characters of its first line."""
+    return fl.filter_general(view(spark, d, "v_general"), " THE  doc-1 ", ("slug", "Title", "Description", "productType", "brand", "RecallNumber")).select("slug")
+
+
 @query("P5_brand", "SELECT p_partkey, brandName FROM v_products WHERE brandName = 'Brand#13'")
 def p5(spark, d):
     return fl.filter_brand(view(spark, d, "v_products"), "Brand#13").select("p_partkey", "brandName")
@@ -841,6 +847,14 @@ def q10(spark, d):
     return ls.ranked_search(docs, _asked(spark, d), "doc_id", "title").withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 3))
 
 
+@query("Q10_ranked_search_texts")
+def q10_texts(spark, d):
+    """Q10 over whole texts, asked for whole benchmark items; the query above, as its SQL, is a search of first lines as titles."""
+    asked = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    out = ls.ranked_search(view(spark, d, "documents").select("doc_id", "text"), asked, "doc_id", "text")
+    return out.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 3))
+
+
 @query("Q11_details", "SELECT 'p-' || p_partkey AS slug, CASE p_partkey % 3 WHEN 0 THEN 'fr ' || p_name WHEN 1 THEN 'en ' || p_name ELSE p_name END AS title FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def q11(spark, d):
     keys = view(spark, d, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("p-"), F.col("l_partkey")).alias("slug"))
