@@ -45,20 +45,22 @@ def candidate_class(rows: DataFrame, stored: DataFrame, key: str, position: str)
 def assign_orders(candidates: DataFrame, bounds: DataFrame, position: str, base: int) -> DataFrame:
     """Sort orders: fresh ones fall from the base, newer ones end just above the largest, backfill goes below the smallest.
 
-    The candidates are those of one run, so a class is ranked in one task.
+    A class may be as large as the table: it is ranked by ranges of ``position``, not in one task.
     """
-    own = Window.partitionBy("candidate_class")
-    i = F.row_number().over(own.orderBy(position)) - 1
-    n = F.count("*").over(own)
+    sizes = candidates.groupBy(F.col("candidate_class").alias("class_")).agg(F.count("*").alias("class_n"))
+    ranked = global_rank(candidates, [position], "class_rank", within="candidate_class")
+    ranked = ranked.join(F.broadcast(sizes), F.col("candidate_class").eqNullSafe(F.col("class_")))
+    i, n = F.col("class_rank") - 1, F.col("class_n")
     order = F.when(F.col("candidate_class") == "fresh", base - i).when(F.col("candidate_class") == "newer", F.col("max_order") + n - i).otherwise(F.col("min_order") - 1 - i)
-    return candidates.crossJoin(F.broadcast(bounds.select("min_order", "max_order"))).withColumn("sortOrder", order.cast("long")).drop("min_order", "max_order")
+    return ranked.crossJoin(F.broadcast(bounds.select("min_order", "max_order"))).withColumn("sortOrder", order.cast("long")).drop("min_order", "max_order", "class_", "class_n", "class_rank")
 
 
-def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", parts: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", parts: int | None = None, within: str | None = None) -> DataFrame:
     """Rank of every row in a global order, without one task that sorts them all.
 
     Rows are dealt by ranges of the first column cut at its quantiles, ranked inside, and moved up by the
-    number of rows in the ranges before, a table of a row a range.
+    number of rows in the ranges before, a table of a row a range. ``within`` names a column of few values
+    of which each is ranked by itself.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.col(order[0])
@@ -66,10 +68,13 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", parts:
     cuts = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else []
     edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
     placed = df.withColumn("rank_range", F.coalesce(F.size(F.filter(edges, lambda e: e < number)), F.lit(0)))
-    sizes = placed.groupBy("rank_range").agg(F.count("*").alias("n"))
-    before = sizes.select("rank_range", (F.sum("n").over(Window.orderBy("rank_range")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("rank_range").orderBy(*order))
-    return placed.withColumn("rank_inside", inside).join(F.broadcast(before), "rank_range").withColumn(name, F.col("rank_inside") + F.col("before")).drop("rank_range", "rank_inside", "before")
+    own = F.col(within) if within else F.lit(0)
+    placed = placed.withColumn("rank_own", own)
+    sizes = placed.groupBy("rank_range", "rank_own").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("rank_range").alias("range_"), F.col("rank_own").alias("own_"), (F.sum("n").over(Window.partitionBy("rank_own").orderBy("rank_range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("rank_range", "rank_own").orderBy(*order))
+    met = (F.col("rank_range") == F.col("range_")) & F.col("rank_own").eqNullSafe(F.col("own_"))
+    return placed.withColumn("rank_inside", inside).join(F.broadcast(before), met).withColumn(name, F.col("rank_inside") + F.col("before")).drop("rank_range", "rank_inside", "before", "rank_own", "range_", "own_")
 
 
 def repair_orders(df: DataFrame, order: Sequence[str], current: str, folder: str) -> DataFrame:

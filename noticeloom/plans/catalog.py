@@ -573,6 +573,14 @@ def j4(spark, d):
     return jn.campaigns_of(vehicles, view(spark, d, "v_campaigns")).select("l_orderkey", "l_linenumber", "campaignNumber")
 
 
+@query("J4_campaigns_of_all_vehicles")
+def j4_all(spark, d):
+    """J4 for the vehicles of every row."""
+    parts = view(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_brand").alias("make"), F.col("p_type").alias("model"), (2000 + F.col("p_size") % 25).alias("year"))
+    vehicles = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey")
+    return jn.campaigns_of(vehicles, view(spark, d, "v_campaigns")).select("l_orderkey", "l_linenumber", "campaignNumber")
+
+
 @query("J5_stored_or_raw", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_custkey % 4 = 0 AS is_stored FROM customer")
 def j5(spark, d):
     c = view(spark, d, "customer")
@@ -702,6 +710,14 @@ def w4(spark, d):
     return od.assign_orders(c, bounds, "o_orderkey", 300).select("o_orderkey", "candidate_class", "sortOrder")
 
 
+@query("W4_all_sort_orders")
+def w4_all(spark, d):
+    """W4 for every candidate."""
+    c = view(spark, d, "v_fda").where("o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") < 2000, "newer").otherwise("backfill").alias("candidate_class"))
+    bounds = ag.stored_bounds(view(spark, d, "v_stored"), "report_date", "o_orderkey", 300)
+    return od.assign_orders(c, bounds, "o_orderkey", 300).select("o_orderkey", "candidate_class", "sortOrder")
+
+
 @query(
     "W5_order_repair",
     """
@@ -811,6 +827,12 @@ def q8(spark, d):
     return out.select("RecallID", F.col("RecallDate").cast("string").alias("RecallDate"))
 
 
+@query("Q8_all_newest_first")
+def q8_all(spark, d):
+    """Q8 for every record."""
+    return rc.records_between(view(spark, d, "v_general"), "2000-01-01", "2100-01-01").select("RecallID", F.col("RecallDate").cast("string").alias("RecallDate"))
+
+
 @query(
     "Q9_pending_queue",
     """
@@ -872,6 +894,17 @@ def q12(spark, d):
     return ls.vehicle_lookup(vehicles, campaigns, stored, ["summary"])
 
 
+@query("Q12_all_vehicle_lookup")
+def q12_all(spark, d):
+    """Q12 for every vehicle, in the shape of P14; stored campaigns have translations, raw ones none."""
+    vehicles = view(spark, d, "part").select(F.col("p_brand").alias("make"), F.col("p_type").alias("model"), (2000 + F.col("p_size") % 25).alias("year"))
+    stored = _campaign_maps(spark, d).where("year % 2 = 0")
+    raw = _campaign_maps(spark, d)
+    raw = raw.withColumn("languages", F.lit(None).cast(raw.schema["languages"].dataType))
+    found = ls.vehicle_lookup(vehicles, raw, stored, ["summary", "remedy", "component", "languages", "original"])
+    return lc.lookup_shape(found)
+
+
 @query(
     "Q13_sitemap",
     f"""

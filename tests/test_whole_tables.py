@@ -4,8 +4,10 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
+from noticeloom.operators import ordering as od
 from noticeloom.plans import catalog
 
 QUERIES = catalog.QUERIES
@@ -47,3 +49,47 @@ def test_word_search_of_texts(spark, texts):
     d, docs, _ = texts
     want = {f"doc-{i}" for i, t in docs if str(i).startswith("1") and "the" in f"{t or ''} doc".lower()}
     assert {r.slug for r in QUERIES["P4_word_search_texts"](spark, d).collect()} == want and "doc-1000" in want
+
+
+SF = "/root/testdata/sf0.001"
+CUTS = {
+    "W4_all_sort_orders": ("W4_sort_orders", " ORDER BY o_orderkey LIMIT 2000"),
+    "Q8_all_newest_first": ("Q8_newest_first", " LIMIT 100"),
+    "J4_campaigns_of_all_vehicles": ("J4_campaigns_of_vehicles", " WHERE l_quantity < 3"),
+    "Q12_all_vehicle_lookup": ("Q12_vehicle_lookup", " WHERE p_partkey % 10 = 0"),
+}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_whole_tables(spark, name):
+    """The rows of the query's SQL without its cut."""
+    short, cut = CUTS[name]
+    sql, con = catalog.SQL[short], duckdb.connect()
+    assert sql.count(cut) == 1
+    for t in ("orders", "customer", "documents", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    asked = con.execute(sql.replace(cut, ""))
+    columns = [c[0] for c in asked.description]
+    want = [tuple(r) for r in asked.fetchall()]
+    df = QUERIES[name](spark, SF)
+    if name.startswith("Q12"):
+        got = df.collect()
+        assert sorted((r.campaignNumber, r.summary.lower()) for r in got) == sorted((n, x.lower()) for n, x, _ in want)
+        even = {n: int(n[3:]) % 2 == 0 and stored for n, _, stored in want}
+        assert all(r.languages == (["en", "fr"] if even[r.campaignNumber] else ["en"]) for r in got) and any(even.values())
+        return
+    got = [tuple(r) for r in df.select(*columns).collect()]
+    assert len(got) > 100
+    assert got == want if name.startswith("Q8") else sorted(got) == sorted(want)
+
+
+def test_classes_are_ranked_by_ranges(spark):
+    rows = [(i * 7919 % 1000, ("fresh", "newer", "backfill")[i % 3]) for i in range(1000)] + [(None, "newer")]
+    c = spark.createDataFrame(rows, "pos int, candidate_class string")
+    out = od.assign_orders(c, spark.createDataFrame([(10, 2000)], "min_order int, max_order int"), "pos", 300)
+    assert "rank_range" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.pos, r.candidate_class): r.sortOrder for r in out.collect()}
+    for kind in ("fresh", "newer", "backfill"):
+        own = sorted((p for p, k in rows if k == kind), key=lambda p: (p is not None, p))
+        first = {"fresh": lambda i: 300 - i, "newer": lambda i: 2000 + len(own) - i, "backfill": lambda i: 9 - i}[kind]
+        assert [got[p, kind] for p in own] == [first(i) for i in range(len(own))]
