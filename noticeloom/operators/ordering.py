@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom.operators.joins import present
+from noticeloom.session import cut
 
 
 def identity_key(number: str = "RecallNumber", recall_id: str = "RecallID", url: str = "URL", slug: str = "slug", have: Sequence[str] = ()) -> Column:
@@ -45,36 +46,44 @@ def candidate_class(rows: DataFrame, stored: DataFrame, key: str, position: str)
 def assign_orders(candidates: DataFrame, bounds: DataFrame, position: str, base: int) -> DataFrame:
     """Sort orders: fresh ones fall from the base, newer ones end just above the largest, backfill goes below the smallest.
 
-    A class may be as large as the table: it is ranked by ranges of ``position``, not in one task.
+    A class may be as large as the table: it is ranked by ranges, not in one task.
     """
     sizes = candidates.groupBy(F.col("candidate_class").alias("class_")).agg(F.count("*").alias("class_n"))
-    ranked = global_rank(candidates, [position], "class_rank", within="candidate_class")
+    ranked = global_rank(candidates, [position], "class_rank", within=["candidate_class"])
     ranked = ranked.join(F.broadcast(sizes), F.col("candidate_class").eqNullSafe(F.col("class_")))
     i, n = F.col("class_rank") - 1, F.col("class_n")
     order = F.when(F.col("candidate_class") == "fresh", base - i).when(F.col("candidate_class") == "newer", F.col("max_order") + n - i).otherwise(F.col("min_order") - 1 - i)
     return ranked.crossJoin(F.broadcast(bounds.select("min_order", "max_order"))).withColumn("sortOrder", order.cast("long")).drop("min_order", "max_order", "class_", "class_n", "class_rank")
 
 
-def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", parts: int | None = None, within: str | None = None) -> DataFrame:
-    """Rank of every row in a global order, without one task that sorts them all.
+def running_total(df: DataFrame, order: Sequence[str], name: str, weight: Column | None = None, within: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """The sum of ``weight`` (1 if none, which makes a rank) up to each row in a global order, without one task that sorts them all.
 
-    Rows are dealt by ranges of the first column cut at its quantiles, ranked inside, and moved up by the
-    number of rows in the ranges before, a table of a row a range. ``within`` names a column of few values
-    of which each is ranked by itself.
+    Rows are dealt by ranges of all columns of the order, so that no busy value of the first fills a
+    range; equal rows are dealt by turns, as they may stand in any order. Sums inside a range move up by
+    those before it. ``within`` names columns whose every value is summed by itself: only those that go
+    over the end of a range need that, at most one a range. Nulls come first.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col(order[0])
-    number = first.cast("timestamp").cast("double") if dict(df.dtypes)[order[0]] in ("timestamp", "date") else first.cast("double")
-    cuts = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else []
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
-    placed = df.withColumn("rank_range", F.coalesce(F.size(F.filter(edges, lambda e: e < number)), F.lit(0)))
-    own = F.col(within) if within else F.lit(0)
-    placed = placed.withColumn("rank_own", own)
-    sizes = placed.groupBy("rank_range", "rank_own").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("rank_range").alias("range_"), F.col("rank_own").alias("own_"), (F.sum("n").over(Window.partitionBy("rank_own").orderBy("rank_range")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("rank_range", "rank_own").orderBy(*order))
-    met = (F.col("rank_range") == F.col("range_")) & F.col("rank_own").eqNullSafe(F.col("own_"))
-    return placed.withColumn("rank_inside", inside).join(F.broadcast(before), met).withColumn(name, F.col("rank_inside") + F.col("before")).drop("rank_range", "rank_inside", "before", "rank_own", "range_", "own_")
+    own = {"r_weight": F.lit(1) if weight is None else weight, "r_turn": F.monotonically_increasing_id()}
+    ranged = df.withColumns(own).repartitionByRange(parts, *within, *order, "r_turn").withColumn("r_part", F.spark_partition_id())
+    placed = cut(ranged)  # a range keeps its number
+    sizes = placed.groupBy("r_part", *within).agg(F.sum("r_weight").alias("r_sum"))
+    upto = Window.partitionBy(*within).orderBy("r_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("r_before", F.sum("r_sum").over(upto)).where("r_before is not null")
+    before = before.select(F.col("r_part").alias("b_part"), *[F.col(c).alias(f"b_{i}") for i, c in enumerate(within)], "r_before")
+    met = F.col("r_part") == F.col("b_part")
+    for i, c in enumerate(within):
+        met = met & F.col(c).eqNullSafe(F.col(f"b_{i}"))
+    inside = F.sum("r_weight").over(Window.partitionBy("r_part", *within).orderBy(*order, "r_turn").rowsBetween(Window.unboundedPreceding, 0))
+    # ``before`` has a row a range without ``within``, and with it a row for each range that begins inside a value: ``parts`` at most
+    summed = placed.withColumn("r_inside", inside).join(F.broadcast(before), met, "left")
+    return summed.withColumn(name, F.col("r_inside") + F.coalesce("r_before", F.lit(0))).select(*df.columns, name)
+
+
+def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", within: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """The rank of every row in a global order, or among the rows of one value of ``within``."""
+    return running_total(df, order, name, None, within, parts)
 
 
 def repair_orders(df: DataFrame, order: Sequence[str], current: str, folder: str) -> DataFrame:
@@ -84,12 +93,24 @@ def repair_orders(df: DataFrame, order: Sequence[str], current: str, folder: str
     return ranked.where(F.col(current) != F.col("new_order")).select(*order, F.col(current).alias("old_order"), "new_order", F.col(folder).alias("old_folder"), new.alias("new_folder"))
 
 
-def order_gaps(df: DataFrame, order: str) -> DataFrame:
-    """The numbers missing between the smallest and the largest."""
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, hi = (bounds["lo"], bounds["hi"]) if bounds["lo"] is not None else (0, -1)
-    every = df.sparkSession.range(lo, hi + 1).withColumnRenamed("id", "missing")
-    return every.join(df.select(F.col(order).cast("long").alias("missing")).distinct(), "missing", "left_anti")
+def order_gaps(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
+    """The numbers missing between the smallest and the largest.
+
+    Each number is followed by the next one of its range, and the first number of a range by the last
+    of the ranges before, so that only what is missing is made: the work goes by the rows, not by how far
+    the numbers reach.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = df.select(F.col(order).cast("long").alias("x")).where("x is not null").distinct()
+    placed = cut(numbers.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()))
+    last = F.lag("x").over(Window.partitionBy("part").orderBy("x"))
+    ends = placed.groupBy("part").agg(F.min("x").alias("x"), F.max("x").alias("top"))  # a row a range
+    across = ends.select("x", F.lag("top").over(Window.orderBy("part")).alias("last"))
+    steps = placed.select("x", last.alias("last")).unionByName(across).where("x - last > 1")
+    # a long gap is made in pieces, so that no row becomes one huge array
+    piece = 1 << 20
+    pieces = steps.select("x", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(x - last - 2) div {piece}"))).alias("i"))
+    return pieces.select(F.explode(F.sequence(F.col("last") + 1 + F.col("i") * piece, F.least(F.col("x") - 1, F.col("last") + (F.col("i") + 1) * piece))).alias("missing"))
 
 
 def stem(base: Column) -> Column:
@@ -115,7 +136,8 @@ def unique_slugs(df: DataFrame, base: str, arrival: str, row_id: str, existing:
 
     A base can only meet another one's suffixed slugs if it is that base and a number, or slugs already
     stored. Stems in which that happens are replayed in order, one group a stem; everywhere else, as in
-    a product with recalls of several years, a window numbers the copies of each base.
+    a product with recalls of several years, the copies of each base are numbered by ranges, so that a
+    base may be as frequent as it likes.
     """
     rows = df.select(F.col(row_id).alias("row_id"), F.col(arrival).alias("arrival"), F.col(base).alias("base")).withColumn("stem", stem(F.col("base")))
     bases = rows.select("base", "stem").distinct()
@@ -126,8 +148,7 @@ def unique_slugs(df: DataFrame, base: str, arrival: str, row_id: str, existing:
         clashing = clashing.unionByName(held.join(bases.select("stem").distinct(), "stem", "left_semi").select("stem"))
     per_stem = clashing.distinct().withColumn("mixed", F.lit(True))
     tagged = rows.join(per_stem, "stem", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("arrival", "row_id"))
-    plain = tagged.where("not mixed").withColumn("n", n).select("row_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("slug"))
+    plain = global_rank(tagged.where("not mixed"), ["arrival", "row_id"], "n", within=["base"]).select("row_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("slug"))
     kind = dict(rows.dtypes)
     mixed = tagged.where("mixed").select("stem", "row_id", "arrival", "base", F.lit(False).alias("taken"))
     if existing is not None:

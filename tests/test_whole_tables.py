@@ -87,7 +87,7 @@ def test_classes_are_ranked_by_ranges(spark):
     rows = [(i * 7919 % 1000, ("fresh", "newer", "backfill")[i % 3]) for i in range(1000)] + [(None, "newer")]
     c = spark.createDataFrame(rows, "pos int, candidate_class string")
     out = od.assign_orders(c, spark.createDataFrame([(10, 2000)], "min_order int, max_order int"), "pos", 300)
-    assert "rank_range" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "r_part" in out._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.pos, r.candidate_class): r.sortOrder for r in out.collect()}
     for kind in ("fresh", "newer", "backfill"):
         own = sorted((p for p, k in rows if k == kind), key=lambda p: (p is not None, p))
