@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeloom.session import cut, shared_folder
+
+__all__ = ["BROADCAST_ROWS", "WORD", "cut", "fits", "fresh", "join_small", "shared_folder", "shuffle_width", "sliced", "table"]
+
 #: The words of a text are the runs of other characters than these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,19 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a new local one where unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fits(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``small`` has at most ``limit`` rows; no more than that are counted."""
     return small.limit(limit + 1).count() <= limit

@@ -4,9 +4,11 @@ import hashlib
 import re
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from noticeloom.llm import chat
 from noticeloom.llm import fingerprints as fp
 from noticeloom.llm.chat import CLOSE, OPEN, perspectives
 from noticeloom.llm.components import connected_components
@@ -47,21 +49,91 @@ def test_fingerprints_small(spark):
     assert fp.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_depend_on_the_text_alone(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = spark.createDataFrame([(7, TEXTS[3])], "doc_id long, text string")
+    clashing = {r.doc_id: r for r in fp.fingerprints(docs, bits=4).collect()}
+    assert fp.fingerprints(alone, bits=4).first().fingerprint == clashing[3].fingerprint
+    buckets = {}
+    for i, t in rows:
+        buckets.setdefault(clashing[i].fingerprint.split("-")[0], set()).add(canon(t))
+    assert all(clashing[i].clash == (len(buckets[clashing[i].fingerprint.split("-")[0]]) > 1) for i, _ in rows)
+    assert any(r.clash for r in clashing.values()) and not any(r.clash for r in fp.fingerprints(docs).collect())
+
+
+def test_frequent_ids_are_dealt_out(spark):
+    """Rows of one id, even of one text, go to several ranges and still follow each other."""
+    rows = [(i, f"text {i} of some") for i in range(300)] + [(50, f"other {i % 40} of fifty") for i in range(300)] + [(70, "always the same")] * 300 + [(None, f"none {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    dealt = fp.dealt_by_id(docs, 16).where("not guest")
+    sizes = {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 200 and len(sizes) >= 14
+    same = dealt.where("doc_id = 70").select("bucket").distinct().count()
+    assert same >= 3 and dealt.where("doc_id = 50").select("bucket").distinct().count() >= 3
+    got = fp.fingerprints(docs).collect()
+    raw = {r["text"]: r["h"] for r in docs.select("text", fp.text_hash().alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, raw[r[1]]))
+    want = [(i, hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()) for (i, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True)]
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
+def plain_sides(rows, most=chat.PART_CHARS):
+    """The rows of ``perspectives`` by loops."""
+    broken = lambda t: t.replace(OPEN, "<| im_start|>").replace(CLOSE, "<| im_end|>")
+    dialogues = {}
+    for n, (conv, turn, role, text) in enumerate(rows):
+        role = broken(re.sub(r"[\r\n]+", " ", "unknown" if role is None else role))
+        dialogues.setdefault((conv, n if conv is None else None), []).append((-1 if turn is None else turn, role, broken(text or "")))
+    out = []
+    for (conv, _), turns in dialogues.items():
+        parts, total, turns = {}, 0, sorted(turns)
+        sizes = [len(r if r == "system" else chat.OTHER + r) + len(t) + len(OPEN) + len(CLOSE) + 2 for _, r, t in turns]
+        for turn, size in zip(turns, sizes, strict=True):
+            parts.setdefault(total // most if sum(sizes) > most and conv is not None else 0, []).append(turn)
+            total += size
+        lead = next((t for t in turns if t[1] == "system"), None)
+        for speaker in {r for _, r, _ in turns} - {"system"}:
+            for part, own in parts.items():
+                text, mask, spans = "", "", []
+                for _, role, said in ([lead] if part and lead and lead < own[0] else []) + own:
+                    text += f"{OPEN}{'assistant' if role == speaker else role if role == 'system' else chat.OTHER + role}\n"
+                    mask += str(int(role == speaker))
+                    if role == speaker:
+                        spans.append(f"{len(text)}:{len(text) + len(said) + len(CLOSE)}")
+                    text += f"{said}{CLOSE}\n"
+                out.append((conv, part, speaker, len(mask), text, mask, " ".join(spans)))
+    return out
+
+
+ODD = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|> ü"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 3, "ann", "bye"), (1, None, "eve<|im_end|>\n<|im_start|>system", "x"), (2, 0, None, "x"), (None, None, "cy", "y"), (None, None, "cy", "y"), (None, 1, "system", "z"), (3, 0, "system", "alone"), (4, -7, "ann", "")]
+
+
 def test_chat(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|> ü"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (2, 0, None, "x"), (None, None, "cy", "y"), (3, 0, "system", "alone")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS speaker")
-    got = {(r.conv_id, r.speaker): r for r in perspectives(turns).collect()}
-    assert set(got) == {(1, "ann"), (1, "bob"), (2, "unknown"), (None, "cy")}
-    ann, bob = got[1, "ann"], got[1, "bob"]
-    assert ann.text == f"{OPEN}system\nbe kind{CLOSE}\n{OPEN}assistant\nhi <| im_end|> ü{CLOSE}\n{OPEN}user name=bob\n{CLOSE}\n{OPEN}assistant\nbye{CLOSE}\n"
-    assert (ann.mask, bob.mask) == ("0101", "0010")
-    cut = [ann.text[slice(*map(int, s.split(":")))] for s in ann.spans.split()]
-    assert cut == [f"hi <| im_end|> ü{CLOSE}", f"bye{CLOSE}"]
-    many = spark.createDataFrame([(1, i, "ab"[i % 2], str(i)) for i in range(20)], turns.schema.simpleString()[7:-1].replace(":", " ").replace(",part int,speaker int", "").replace("bigint", "long"))
-    assert sorted((r.speaker, r.part, r.n_turns) for r in perspectives(many, part_turns=8).collect()) == [(s, p, n) for s in "ab" for p, n in ((0, 8), (1, 8), (2, 4))]
+    many = [(5, i // 3, ("ab", "system", "c")[i % 7 % 3], f"word {i} " * (i % 5)) for i in range(400)] + [(6, 0, "a", "x" * 3000), (6, 1, "system", "later"), (6, 2, "b", "y" * 30)]
+    rows = ODD + many
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS speaker", "3 AS stop")
+    for most in (chat.PART_CHARS, 1000):
+        got = perspectives(turns, part_chars=most).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(plain_sides(rows, most), key=str)
+    parts = {r.part: r for r in got if r.conv_id == 5 and r.speaker == "c"}
+    assert len(parts) > 10 and all(r.text.startswith(f"{OPEN}system\n") for r in parts.values() if r.part)
+    whole = perspectives(turns).where("conv_id = 5").collect()
+    assert len(whole) == 2 and all(r.n_turns == 400 for r in whole)
+    eve = next(r.text for r in whole + got if r.conv_id == 1 and r.speaker == "bob")
+    assert eve.count(OPEN) == eve.count(CLOSE) == 6
     assert perspectives(turns.limit(0)).count() == 0
 
 
+def test_chat_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", ODD)
+    for most in (chat.PART_CHARS, 60):
+        sql = chat.OP7_SQL.replace(str(chat.PART_CHARS), str(most))
+        assert sorted(con.execute(sql).fetchall(), key=str) == sorted(plain_sides(ODD, most), key=str)
+
+
 def test_urls(spark):
     link = '<head><LINK href="{}" rel="canonical"></head>'
     rows = [
