@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from noticeloom.llm.tokenlengths import balanced
 
 #: Characters handled at once, and words whose tokens a worker remembers.
 BATCH_CHARS, MEMO = 1 << 19, 100_000
+#: Characters from which a word is merged by itself: a round goes over all of a word for one merge, which adds up.
+LONG_WORD = 512
 NO_RANK = np.int64(1) << 40
 BLANKS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -51,6 +54,7 @@ class WordBpe:
         order = np.argsort(pairs, kind="stable")
         self.keys, self.ranks = pairs[order], order.astype(np.int64)
         self.made = np.array([self.vocab[a + b] for a, b in merges], np.int64)
+        self.pairs = dict(zip(pairs.tolist(), range(len(pairs)), strict=True))
         self.memo: dict[str, tuple[int, str, str]] = {}
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +104,33 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return sym[order], np.searchsorted(word[order], np.arange(len(raw)))
 
+    def encode_long(self, word: str) -> list[int]:
+        """The ids of one word by a heap of its pairs in the order of rank and place, which gives the same merges.
+
+        Symbols are linked to their neighbours; a pair in the heap counts only if it still stands there.
+        """
+        data = np.frombuffer(word.encode(), np.uint8)
+        sym = self.inner[data].tolist()
+        sym[-1] = int(self.last[data[-1]])
+        n, pairs, made = len(sym), self.pairs, self.made.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i: pairs.get((sym[i] << 32) | sym[after[i]], -1) if after[i] < n else -1
+        heap = [(r << 32) | i for i in range(n - 1) if (r := rank(i)) >= 0]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i, r = top & 0xFFFFFFFF, top >> 32
+            if sym[i] < 0 or rank(i) != r:
+                continue
+            gone = after[i]
+            sym[i], sym[gone], after[i] = made[r], -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for j in (before[i], i):
+                if j >= 0 and (r := rank(j)) >= 0:
+                    heapq.heappush(heap, (r << 32) | j)
+        return [s for s in sym if s >= 0]
+
     def split(self, text: str) -> list[str]:
         """Normalised words, and special strings as they stand."""
         out: list[str] = []
@@ -116,17 +147,19 @@ class WordBpe:
         """Number of tokens, ids and tokens of every word, the latter two joined by blanks."""
         known = {w: (1, str(self.special[w]), w) for w in words if w in self.special}
         todo = [w for w in words if w not in known and w]
+        merged = {w: self.encode_long(w) for w in todo if len(w) >= LONG_WORD}
+        todo = [w for w in todo if w not in merged]
         if todo:
             flat, begin = self.encode_words(todo)
             ids, ends = flat.tolist(), [*begin.tolist()[1:], len(flat)]
-            for w, a, b in zip(todo, begin.tolist(), ends, strict=True):
-                own = ids[a:b]
-                known[w] = b - a, " ".join(map(str, own)), " ".join([self.tokens[i] for i in own])
+            merged.update((w, ids[a:b]) for w, a, b in zip(todo, begin.tolist(), ends, strict=True))
+        for w, own in merged.items():
+            known[w] = len(own), " ".join(map(str, own)), " ".join([self.tokens[i] for i in own])
         return known
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text the number of tokens, the decimal ids and the decoded text."""
-        for part in balanced(texts, BATCH_CHARS):
+        for part in balanced([len(t or "") for t in texts], BATCH_CHARS):
             cut = [self.split(t) if t else [] for t in texts[part]]
             if len(self.memo) > MEMO:
                 self.memo.clear()
@@ -150,7 +183,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, with ``ids`` and ``decoded`` on demand.
 
     A null text counts as empty, an empty one has no tokens. The file has no decoder, so that
-    decoding joins the tokens, word ends shown, by blanks.
+    decoding joins the tokens, word ends shown, by blanks. A very long text is a batch of its own, and a very
+    long word in it is merged by itself in time that grows little faster than its length. Repeated
+    rows and ids are encoded each, a null id stays; other columns play no part, whatever their names;
+    an empty table gives no rows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,41 +51,39 @@ def count_batch(texts: list[str | None], path: str) -> list[int]:
     if len(memo) > MEMO:
         memo.clear()
     new = list({s for segments in cut_up for s in segments if s not in memo})
-    local, call, size = {}, [], 0
-    for i, s in enumerate(new):
-        call.append(s)
-        size += len(s)
-        if size >= CALL_BYTES or i == len(new) - 1:
-            local.update(zip(call, map(len, model.encode(call, num_threads=1)), strict=True))
-            call, size = [], 0
+    local = {}
+    for part in balanced([len(s.encode()) for s in new], CALL_BYTES):
+        local.update(zip(new[part], map(len, model.encode(new[part], num_threads=1)), strict=True))
     memo.update((s, n) for s, n in local.items() if len(s) <= 64)
     return [sum(memo[s] if s in memo else local[s] for s in segments) for segments in cut_up]
 
 
-def balanced(texts: list[str | None], most: int) -> Iterator[slice]:
-    """Slices of about ``most`` characters; a longer text stands alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > start and size + n > most:
+def balanced(sizes: list[int], most: int) -> Iterator[slice]:
+    """Slices whose sizes sum to ``most`` at most; a larger one stands alone."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
             yield slice(start, i)
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield slice(start, len(texts))
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row; only lengths leave the Arrow function.
 
-    Null and empty texts have no tokens. Long texts are split at blanks where no token can
-    span, so the sum is the library's own count; a text without such a place is encoded whole.
+    Batches are balanced by the bytes of their texts, whatever the script. Null and empty texts have no
+    tokens. Long texts are split at blanks where no token can span, so the sum is the library's own
+    count; a text without such a place is encoded whole. Repeated rows and ids are counted each, a null id
+    stays; other columns play no part, whatever their names; an empty table gives no rows.
     """
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
-            counts = [n for part in balanced(texts, 4 * CALL_BYTES) for n in count_batch(texts[part], model_path)]
+            sizes = batch.column("n_bytes").to_pylist()
+            counts = [n for part in balanced(sizes, 4 * CALL_BYTES) for n in count_batch(texts[part], model_path)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

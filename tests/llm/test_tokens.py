@@ -51,3 +51,23 @@ def test_frames(spark, reference):
     own = [(i, words.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
     assert coded == sorted(((i, len(x), hexed(" ".join(map(str, x))), hexed(words.decode(x, skip_special_tokens=False))) for i, x in own), key=str)
     assert encode_documents(docs.limit(0), WORDS).count() == token_counts(docs.limit(0), PIECES).count() == 0
+
+
+def test_long_words(reference):
+    """Words merged one by one get the library's ids, and a megabyte of letters takes seconds."""
+    import random
+    import time
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyzé語") for n in (511, 512, 700, 5000)]
+    check([*texts, "a" * 4001, f"short {texts[3]} end"], reference)
+    began = time.perf_counter()
+    (n, ids, _), *_ = word_bpe(WORDS).encode_batch(["".join(rnd.choice("etaoinshrdlu") for _ in range(1_000_000))])
+    assert n == len(ids.split()) > 100_000 and time.perf_counter() - began < 30
+
+
+def test_batches_by_bytes():
+    from noticeloom.llm.tokenlengths import balanced
+
+    assert [(s.start, s.stop) for s in balanced([3, 3, 3, 9, 1, 0], 6)] == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(balanced([], 6)) == []
