@@ -52,3 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/noticeloom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for loops: unlike a checkpoint it carries no constraints, which grow by every round."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
