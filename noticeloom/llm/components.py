@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut
+from noticeloom.session import written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -17,8 +17,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     detection gives. A node with very many edges is pre-aggregated before its shuffle.
     """
     kept = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    both = cut(kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    both = written(kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             "node", F.col("component").alias("was"), F.least("component", "offered").alias("component")
         )
         roots = stepped.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        after = cut(
+        after = written(
             stepped.join(roots, "component", "left").select(
                 "node", "was", F.least("component", F.coalesce("root", "component")).alias("component")
             )

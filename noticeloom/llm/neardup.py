@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import cut, join_small, sliced, table
@@ -15,11 +15,11 @@ from noticeloom.llm.components import connected_components
 from noticeloom.llm.shingles import array_sets, digests, list_array, shingle_sets
 
 #: Values kept of each document, the smallest of one hash function.
-SKETCH = 64
-#: Sketches are asked for this much less overlap than the threshold (four standard deviations).
-SLACK = 0.2
-#: The union sketch estimates the similarity; this much below the threshold is still verified.
-MARGIN = 0.17
+SKETCH = 96
+#: Sketches are asked for this much less overlap than the threshold, and a pair whose union sketch estimates
+#: its similarity this much below the threshold is still verified. A pair just at a threshold of 0.8 falls
+#: short of either with odds of about 1 in 50 million (binomial tails at 96 values).
+SLACK = MARGIN = 0.26
 #: Most documents and shingles that one block of an inverted list holds.
 BLOCK_DOCS, BLOCK_SHINGLES = 800, 400_000
 
@@ -46,13 +46,45 @@ def sketch_documents(docs: DataFrame, k: int = SKETCH) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, shingles``: every distinct shingle of every document."""
+    """``doc_id, d1, d2, shingles``: every distinct shingle of every document, and the set's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(list(shingle_sets(part.column("text"))))], ["doc_id", "shingles"])
+            sets = list(shingle_sets(part.column("text")))
+            both = [digests(own) for own in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([d for d, _ in both], pa.int64()), pa.array([d for _, d in both], pa.int64()), list_array(sets)], ["doc_id", "d1", "d2", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, shingles array<long>")
+
+
+def false_members(rows: DataFrame, member: DataFrame, chunk_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Of ``doc_id, d1, d2, n_shingles, rep`` the rows whose full set is not that of the class's ``rep``, in spite of their digests.
+
+    Members pass by their representative in chunks, so that a class may hold any share of the
+    documents; its set is copied once a chunk.
+    """
+    sizes = member.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / chunk_docs).cast("int").alias("chunks"))
+    own = member.join(sizes, "rep")
+    some = own.where("doc_id <> rep").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    lead = own.where("doc_id = rep").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    seats = cut(some.unionByName(lead).select("rep", "chunk", "doc_id", "d1", "d2"))
+    sets = full_sets(join_small(rows, seats.select("doc_id").distinct(), "doc_id"))
+    met = sets.join(seats, ["doc_id", "d1", "d2"]).select("rep", "chunk", (F.col("doc_id") != F.col("rep")).alias("later"), "doc_id", "d1", "d2", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = None, None
+        for batch in sliced(batches):
+            out = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("rep", "chunk")), strict=True)
+            for i, (key, shingles) in enumerate(zip(keys, array_sets(batch.column("shingles")), strict=True)):
+                if key != now:
+                    now, first = key, shingles.copy()
+                elif not np.array_equal(first, shingles):
+                    out.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(out, pa.int64())) for c in ("doc_id", "d1", "d2")], ["doc_id", "d1", "d2"])
+
+    order = ["rep", "chunk"]
+    return met.repartition(*order).sortWithinPartitions(*order, "later").mapInArrow(run, "doc_id long, d1 long, d2 long").distinct()
 
 
 def rare_values(reps: DataFrame, threshold: float) -> DataFrame:
@@ -76,24 +108,53 @@ def rare_values(reps: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def list_blocks(lists: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``doc_id, block``: which blocks a document has to be compared in.
-
-    Of lists with the same members one is kept. A long list is dealt by hash into chunks, and
-    a block is a pair of chunks, so that every pair of members meets in one.
-    """
+def list_sizes(lists: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``value, chunks`` of the lists that are compared: of lists with the same members one is kept."""
     member = [F.xxhash64(F.lit(key), F.col("doc_id")) for key in ("one", "two")]
-    stats = (
+    return (
         lists.groupBy("value")
         .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), *[F.bit_xor(m).alias(f"members{i}") for i, m in enumerate(member)])
         .where("n > 1")
         .groupBy("n", "weight", "members0", "members1")
         .agg(F.min("value").alias("value"))
-        .select("value", F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("weight") / block_shingles)).cast("int").alias("chunks"))
+        .select("value", _chunks(F.col("n"), F.col("weight"), block_docs, block_shingles).alias("chunks"))
     )
+
+
+def _chunks(n: Column, weight: Column, block_docs: int, block_shingles: int) -> Column:
+    return F.greatest(F.ceil(n / block_docs), F.ceil(weight / block_shingles)).cast("int")
+
+
+def own_blocks(held: DataFrame) -> DataFrame:
+    """Seats ``doc_id, value, low, high, in_low``: ``value, doc_id, chunks`` dealt into chunks by hash, each compared within itself."""
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks").cast("long")).cast("int")
-    dealt = lists.join(stats, "value").select("doc_id", "value", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    return dealt.select("doc_id", F.struct("value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).alias("block"), (F.col("chunk") == F.least("chunk", "other")).alias("in_low"))
+    return held.select("doc_id", "value", chunk.alias("low")).select("doc_id", "value", "low", F.col("low").alias("high"), F.lit(True).alias("in_low"))
+
+
+def representatives(held: DataFrame, seed: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """Of ``value, doc_id, n_shingles, label`` one document a list and label, chosen by hash, with the ``chunks`` that they fill."""
+    one = held.groupBy("value", "label").agg(F.min_by(F.struct("doc_id", "n_shingles"), F.xxhash64(F.lit(seed), F.col("doc_id"))).alias("x")).select("value", "x.*")
+    sizes = one.groupBy("value").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+    return one.join(sizes.select("value", _chunks(F.col("n"), F.col("weight"), block_docs, block_shingles).alias("chunks")), "value")
+
+
+def cross_blocks(held: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """Seats in which every two documents of a list with different labels meet.
+
+    The documents of the list's largest label are not compared with each other, they are connected
+    already: chunks of the others are compared with all chunks, so that a list whose documents are
+    alike costs a copy of each, not one for every chunk.
+    """
+    parts = held.groupBy("value", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    top = parts.groupBy("value").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count("*").alias("labels")).where("labels > 1")
+    main = parts.join(top.select("value", F.col("top.label").alias("label")), ["value", "label"]).select("value", F.col("label").alias("main"), F.col("n").alias("main_n"), F.col("weight").alias("main_weight"))
+    sizes = top.join(main, "value").select("value", "main", _chunks(F.col("main_n"), F.col("main_weight"), block_docs, block_shingles).alias("mains"), _chunks(F.col("n") - F.col("main_n"), F.col("weight") - F.col("main_weight"), block_docs, block_shingles).alias("others"))
+    rows = held.join(sizes, "value").withColumn("is_main", F.col("label") == F.col("main"))
+    # chunks of the others are numbered from 0, those of the main label from there on
+    chunk = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("doc_id"), F.col("mains").cast("long"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("others").cast("long"))).cast("int")
+    last = F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    seats = rows.withColumn("chunk", chunk).select("doc_id", "value", "chunk", F.explode(F.sequence(F.lit(0), last - 1)).alias("other"))
+    return seats.select("doc_id", "value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") == F.least("chunk", "other")).alias("in_low"))
 
 
 class _Forest:
@@ -131,6 +192,22 @@ def _union_estimate(low: np.ndarray, size: np.ndarray, i: int, others: np.ndarra
     return (again & (rank <= limit)).sum(axis=1) / np.maximum(limit[:, 0], 1)
 
 
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int, k: int) -> bool:
+    """What ``link_block`` says of a pair: sketches overlap, their union's estimate is near, the full sets are alike."""
+    if len(a) > len(b):
+        a, b = b, a
+    threshold, both = num / den, np.sort(np.concatenate([a[:k], b[:k]]))
+    again = both[1:] == both[:-1]
+    if again.sum() < max(1, math.ceil(min(k, len(b)) * (threshold - SLACK) - 1e-9)) or len(a) * den < len(b) * num:
+        return False
+    rank = np.cumsum(np.r_[True, ~again])
+    limit = rank[-1] if len(b) <= k else min(k, rank[-1])
+    if (again & (rank[1:] <= limit)).sum() / limit < threshold - MARGIN:
+        return False
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return den * same >= num * (len(a) + len(b) - same)
+
+
 def link_block(sets: list[np.ndarray], num: int, den: int, k: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (index pairs) that connect what the block's true links connect, each verified exactly.
 
@@ -139,10 +216,9 @@ def link_block(sets: list[np.ndarray], num: int, den: int, k: int, cross: np.nda
     most one link fewer than documents comes out. ``cross`` marks a side: only pairs across count.
     """
     m = len(sets)
+    if m == 2:  # by far the most frequent block
+        return [(0, 1)] if linked(sets[0], sets[1], num, den, k) else []
     size = np.fromiter(map(len, sets), np.int64, m)
-    if m == 2 and max(size) <= 4 * min(size):  # by far the most frequent block
-        same = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if den * same >= num * (int(size.sum()) - same) else []
     threshold = num / den
     low = np.full((m, k), np.iinfo(np.uint64).max, np.uint64)
     for i, s in enumerate(sets):
@@ -224,6 +300,38 @@ def block_links(rows: DataFrame, num: int, den: int, k: int) -> DataFrame:
     return rows.mapInArrow(run, "src long, dst long")
 
 
+def placed_links(rows: DataFrame, seats: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """``src, dst`` of verified links among documents that share a seat."""
+    seats = cut(seats.distinct())
+    sets = full_sets(join_small(rows, cut(seats.select("doc_id").distinct()), "doc_id")).select("doc_id", "shingles")
+    order = ["value", "low", "high"]
+    placed = sets.join(seats, "doc_id").select(*order, "in_low", "doc_id", "shingles")
+    return cut(block_links(placed.repartition(*order).sortWithinPartitions(*order), num, den, k))
+
+
+def verified_links(rows: DataFrame, lists: DataFrame, num: int, den: int, k: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """Links that connect what all links among documents of one list connect.
+
+    Lists that fit one block are compared there. A longer one is first compared within its chunks; then a
+    representative of every component found is, twice; only documents that are still in different
+    components meet across chunks. Nothing is left out: what is not compared is connected.
+    """
+    sizes = cut(list_sizes(lists, block_docs, block_shingles))
+    links = placed_links(rows, own_blocks(lists.join(sizes, "value")), num, den, k)
+    long = cut(lists.join(sizes.where("chunks > 1").select("value"), "value"))
+    if long.isEmpty():
+        return links
+
+    def labelled() -> DataFrame:
+        labels = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+        return cut(long.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+
+    for seed in range(2):
+        some = representatives(labelled(), seed, block_docs, block_shingles)
+        links = links.unionByName(placed_links(rows, own_blocks(some), num, den, k))
+    return links.unionByName(placed_links(rows, cross_blocks(labelled(), block_docs, block_shingles), num, den, k))
+
+
 def near_duplicates(
     docs: DataFrame,
     num: int = 4,
@@ -237,29 +345,29 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Documents are linked if the Jaccard similarity of their five-word shingle sets is at least
-    ``num/den``; ``component_id`` is the smallest id that links reach. Documents with equal sets
-    form a class, of which one member goes on; only classes that share a rare sketch value
-    are compared, inside blocks of bounded size, on their full sets. Documents without words
-    are linked with nothing; rows with a null id keep a null component and are kept; repeated
-    rows of one id share its component. An empty table gives no rows.
+    ``num/den``; ``component_id`` is the smallest id that links reach. Documents of one set size and
+    digest form a class once their full sets have been compared, of which one member goes on; only
+    classes that share a rare sketch value are compared, inside blocks of bounded size, on their full
+    sets. Documents without words are linked with nothing; rows with a null id keep a null component
+    and are kept; repeated rows of one id share its component. An empty table gives no rows, and other
+    columns play no part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(sketch_documents(rows, k))
     named = sketches.where("n_shingles > 0 and doc_id is not null")
     key = ["d1", "d2", "n_shingles"]
     classes = cut(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")))
-    member = cut(named.select("doc_id", *key).join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct())
+    member = cut(named.select("doc_id", *key).distinct().join(classes.select(*key, "rep"), key))
+    false = cut(false_members(rows, member, block_docs))
+    if not false.isEmpty():  # two sets of one digest: each such document is a class of its own
+        apart = member.join(false, ["doc_id", "d1", "d2"], "left_semi").withColumn("rep", F.col("doc_id"))
+        classes = classes.unionByName(named.join(false, ["doc_id", "d1", "d2"], "left_semi").select(*key, F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep", *key]))
+        member = cut(member.join(false, ["doc_id", "d1", "d2"], "left_anti").unionByName(apart))
     # the smallest id of a class stands for it; sets of one shingle are only like their equals
     reps = classes.where("n_shingles > 1").select(F.col("rep").alias("doc_id"), "n_shingles", "sketch")
     lists = cut(rare_values(reps, num / den))
-    blocks = cut(list_blocks(lists, block_docs, block_shingles))
-    involved = cut(blocks.select("doc_id").distinct())
-    sets = full_sets(join_small(rows, involved, "doc_id"))
-    dealt = blocks.groupBy("doc_id").agg(F.collect_set(F.struct("block", "in_low")).alias("seats"))
-    placed = sets.join(dealt, "doc_id").select("doc_id", F.explode("seats").alias("seat"), "shingles")
-    placed = placed.select("seat.block.*", "seat.in_low", "doc_id", "shingles")
-    order = ["value", "low", "high"]
-    links = block_links(placed.repartition(*order).sortWithinPartitions(*order), num, den, k)
+    links = verified_links(rows, lists, num, den, k, block_docs, block_shingles)
+    member = member.select("doc_id", "rep").distinct()
     # ids of one class, and of the rows that share an id, belong together
     own = member.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     repeated = member.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

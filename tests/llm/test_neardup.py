@@ -99,3 +99,48 @@ def test_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
     two = spark.createDataFrame([(1, "a b c d e f"), (1, "x y z u v w"), (2, "x y z u v w"), (3, "a b c d e f")], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in near_duplicates(two).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_a_pair_is_judged_like_a_block():
+    import numpy as np
+
+    from noticeloom.llm import neardup as nd
+
+    rnd = np.random.default_rng(5)
+    said = []
+    for _ in range(400):
+        n = int(rnd.integers(1, 400))
+        a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rnd.random(len(a)) < rnd.uniform(0.8, 1)], rnd.integers(0, 1 << 62, int(rnd.integers(0, n // 10 + 2))).astype(np.uint64)]))
+        same = len(np.intersect1d(a, b))
+        far = rnd.integers(0, 1 << 62, 50).astype(np.uint64)
+        far.sort()
+        block = nd.link_block([a, b, far], 85, 100, nd.SKETCH)
+        said.append(nd.linked(a, b, 85, 100, nd.SKETCH))
+        assert said[-1] == nd.linked(b, a, 85, 100, nd.SKETCH) == ((0, 1) in block) == (same > 0 and 100 * same >= 85 * (len(a) + len(b) - same))
+    assert 50 < sum(said) < 350
+
+
+def test_long_lists_cost_in_proportion(spark):
+    """A list of near copies needs a seat or two a document, not one for every chunk of the others."""
+    from noticeloom.llm.neardup import cross_blocks
+
+    seats = []
+    for n in (5000, 20_000):
+        held = spark.range(n).selectExpr("7L AS value", "id AS doc_id", "100L AS n_shingles", f"CASE WHEN id < {n} - 9 THEN 0L ELSE id END AS label")
+        got = cross_blocks(held, 800, 10**9)
+        blocks = got.groupBy("low", "high").count()
+        seats.append(got.count())
+        assert blocks.agg({"count": "max"}).first()[0] <= 2 * 800
+        pairs = got.where("in_low").selectExpr("doc_id AS a", "low", "high").join(got.where("NOT in_low OR low = high").selectExpr("doc_id AS b", "low", "high"), ["low", "high"])
+        met = pairs.selectExpr("least(a, b) AS x", "greatest(a, b) AS y").where(f"x <> y AND y >= {n} - 9").distinct().count()
+        assert met == 9 * (n - 9) + 36
+    assert seats[1] < 4.2 * seats[0] and seats[1] < 1.1 * 20_000
+
+
+def test_long_chains(spark):
+    from noticeloom.llm.components import connected_components
+
+    edges = spark.range(306).selectExpr("id * 7 % 307 AS src", "(id + 1) * 7 % 307 AS dst").repartition(4)
+    got = connected_components(edges).collect()
+    assert len(got) == 307 and {r.component for r in got} == {0}
