@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import cut, fresh, join_small, sliced, table
+from noticeloom.session import written
 
 #: Key of the production query; deployments pass their own.
 KEY = "surrogate-key"
@@ -49,6 +50,24 @@ OWNER = re.compile(r"['’][sS]$")
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnprstvz"
 
 
+def _luhn(digits: str) -> int:
+    """The check digit that makes ``digits`` valid."""
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (2 if i % 2 == 0 else 1)
+        total += n - 9 if n > 9 else n
+    return -total % 10
+
+
+def _mod97(iban: str) -> int:
+    """The remainder that is 1 for a valid account number."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+#: Checks that numbers of a kind must pass: others of the same form are no personal data.
+VALID = {"card": lambda c: _luhn(c[:-1]) == int(c[-1]), "iban": lambda c: _mod97(c) == 1}
+
+
 class Span(NamedTuple):
     start: int
     stop: int
@@ -74,7 +93,9 @@ def detect(text: str | None) -> list[Span]:
         for kind, pattern in NUMERIC:
             for m in pattern.finditer(text):
                 raw = m.group()
-                found.append(Span(m.start(), m.end(), kind, raw if kind in ("key", "ip") else re.sub(r"[^0-9A-Z]", "", raw)))
+                canon = raw if kind in ("key", "ip") else re.sub(r"[^0-9A-Z]", "", raw)
+                if VALID.get(kind, bool)(canon):
+                    found.append(Span(m.start(), m.end(), kind, canon))
     surnames: set[str] = set()
     given: dict[str, set[str]] = {}
     if any(t in text for t in TITLES):
@@ -148,15 +169,6 @@ class _Stream:
         return "".join(next((self.pick(c) for c in classes if x in c), x) for x in text)
 
 
-def _luhn(digits: str) -> int:
-    """The check digit that makes ``digits`` valid."""
-    total = 0
-    for i, d in enumerate(reversed(digits)):
-        n = int(d) * (2 if i % 2 == 0 else 1)
-        total += n - 9 if n > 9 else n
-    return -total % 10
-
-
 def _person(s: _Stream, name: str, kind: str) -> str:
     """A pronounceable lower-case name of the script, about the length, and ending by gender."""
     if re.search("[а-яё]", name):
@@ -185,9 +197,8 @@ def surrogate(kind: str, canon: str, attempt: int, key: str) -> str:
         ranges = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         return ".".join(str((r := ranges[len(x)])[0] + s.below(r[1] - r[0] + 1)) for x in canon.split("."))
     if kind == "card":
-        body = canon[0] + "".join(s.pick(string.digits) for _ in canon[1:-1])
-        check = _luhn(body)
-        return body + str(check if _luhn(canon[:-1]) == int(canon[-1]) else (check + 1 + s.below(9)) % 10) + more
+        body = canon[0] + more + "".join(s.pick(string.digits) for _ in canon[1:-1])
+        return body + str(_luhn(body))
     if kind == "phone":
         keep = len(canon) - 10 if len(canon) > 10 else 0
         rest = canon[keep:]
@@ -197,7 +208,8 @@ def surrogate(kind: str, canon: str, attempt: int, key: str) -> str:
     if kind == "secret" and re.fullmatch("[0-9a-f]+", canon):
         return "".join(s.pick("0123456789abcdef") for _ in canon) + more
     if kind == "iban":
-        return canon[:2] + s.like(canon[2:]) + more
+        body = s.like(canon[4:]) + more
+        return f"{canon[:2]}{98 - _mod97(f'{canon[:2]}00{body}'):02d}{body}"
     if kind == "surname" or kind.startswith("given_"):
         return _person(s, canon, kind) + "".join(VOWELS[int(x) % 5] for x in more)
     return s.like(canon) + more
@@ -262,24 +274,25 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
 def collision_free(entities: DataFrame, key: str) -> DataFrame:
     """``kind, canon, attempt, chosen``: an attempt per entity such that no two share a surrogate.
 
-    Nor is any surrogate an entity of the corpus. Given names of all genders count as one kind here. Of those that collide the one of the lowest
-    attempt, then the smallest, keeps its surrogate; the others try again, all at once, until
-    none collides.
+    Nor is any surrogate an entity of the corpus. Given names of all genders and surnames are one
+    family, as one word may be either. Of those that collide the one of the lowest attempt, then the
+    smallest, keeps its surrogate; the others try again, all at once, until none collides. Surrogates
+    grow from attempt ``GROW`` on, so that no form runs out.
     """
-    family = F.substring_index("kind", "_", 1)
-    entities = cut(entities.select("kind", "canon").distinct())
-    state = cut(with_surrogates(entities.withColumn("attempt", F.lit(0)), key))
+    family = F.when(F.col("kind").startswith("given") | (F.col("kind") == "surname"), "person").otherwise(F.col("kind"))
+    entities = written(entities.select("kind", "canon").distinct())
+    state = written(with_surrogates(entities.withColumn("attempt", F.lit(0)), key))
     for _ in range(MOST_ATTEMPTS):
         real = entities.select(family.alias("family"), F.col("canon").alias("chosen"))
         held = state.withColumn("family", family)
         taken = held.join(real, ["family", "chosen"], "left_semi").select("kind", "canon")
-        shared = held.groupBy("family", "chosen").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-        losers = held.join(shared, ["family", "chosen"]).where("owner.canon <> canon").select("kind", "canon")
-        again = cut(taken.unionByName(losers).distinct())
+        shared = held.groupBy("family", "chosen").agg(F.min(F.struct("attempt", "kind", "canon")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+        losers = held.join(shared, ["family", "chosen"]).where("owner.canon <> canon or owner.kind <> kind").select("kind", "canon")
+        again = written(taken.unionByName(losers).distinct())
         if again.isEmpty():
             return state
         retry = state.join(again, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
-        state = cut(state.join(again, ["kind", "canon"], "left_anti").unionByName(with_surrogates(retry, key)))
+        state = written(state.join(again, ["kind", "canon"], "left_anti").unionByName(with_surrogates(retry, key)))
     raise ValueError("no free surrogates are left for some kind of entity")
 
 
@@ -300,7 +313,8 @@ def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     entities never share one, and none is an entity that occurs. Rows without personal data, and null
     or empty texts, stay as they are. Replacing is done where a text is read; only entities whose
     first surrogate collided, and given names whose gender other texts tell otherwise, are sent to
-    the rows that hold them.
+    the rows that hold them. Repeated rows and rows of one id are replaced alike; a very long text
+    is one row of a small batch; an empty table gives no rows; other columns stay, whatever their names.
     """
     rows = docs
     mark, extra = fresh(docs, "row_mark"), fresh(docs, "row_attempts")

@@ -120,3 +120,50 @@ def test_short_addresses_do_not_run_out(spark):
     rows = [(i, f"{1 + i // 729}.{1 + i // 81 % 9}.{1 + i // 9 % 9}.{1 + i % 9}") for i in range(6561)]
     got = [r.text for r in pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
     assert len(set(got)) == 6561 and not set(got) & {t for _, t in rows} and all(detect(t)[0].kind == "ip" for t in got)
+
+
+def test_only_valid_numbers_are_found_and_made():
+    cards = ["4539578763621486", "4539578763621487", "5555 5555 5555 4444"]
+    ibans = ["GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    text = "; ".join([*cards, *ibans])
+    spans = detect(text)
+    valid = lambda d: sum((int(c) if i % 2 == 0 else (2 * int(c)) // 10 + (2 * int(c)) % 10) for i, c in enumerate(reversed(d))) % 10 == 0
+    assert [text[s.start : s.stop] for s in spans] == [*(c for c in cards if valid(c.replace(" ", ""))), ibans[0], ibans[2]]
+    for kind, canon in {(s.kind, s.canon) for s in spans}:
+        for attempt in (0, 1, sg.GROW, sg.GROW + 2):
+            new = sg.surrogate(kind, canon, attempt, "k")
+            assert new != canon and len(new) - len(canon) == max(0, attempt - sg.GROW + 1)
+            assert valid(new) if kind == "card" else new[:2] == canon[:2] and int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+
+
+def test_names_of_a_story(spark):
+    """Told by hand: who is who in two texts, found again in what comes out."""
+    rows = [
+        (1, "Dr. Anna Miller came early. Mrs. Anna Miller sat down. Miller later left with Anna."),
+        (2, "Mr Miller wrote to Ms Lee Anna; Lee knew Miller."),
+        (3, "Anna has no title here, nor has Miller."),
+    ]
+    got = dict(map(tuple, pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()))
+    words = {i: re.findall(r"\w+", t) for i, t in got.items()}
+    anna, miller = words[1][1], words[1][2]
+    assert words[1] == ["Dr", anna, miller, "came", "early", "Mrs", anna, miller, "sat", "down", miller, "later", "left", "with", anna]
+    lee, surname = words[2][5], words[2][6]
+    assert words[2] == ["Mr", miller, "wrote", "to", "Ms", lee, surname, lee, "knew", miller]
+    assert len({anna, miller, lee, surname, "Anna", "Miller", "Lee"}) == 7 and got[3] == rows[2][1]
+
+
+def test_one_namespace_for_names(spark):
+    """Given names and surnames share their surrogates' space, so that no word stands for two."""
+    entities = spark.createDataFrame([(k, f"name{i}") for i in range(40) for k in ("surname", "given_f", "given_m")], "kind string, canon string")
+    real = sg.with_surrogates
+
+    def narrow(frame, key):
+        pick = F.udf(lambda k, c, a: str(sg._Stream(key, k, c, a).below(300)))
+        return frame.select("kind", "canon", "attempt", pick("kind", "canon", "attempt").alias("chosen"))
+
+    sg.with_surrogates = narrow
+    try:
+        rows = sg.collision_free(entities, "k").collect()
+    finally:
+        sg.with_surrogates = real
+    assert len(rows) == 120 == len({r.chosen for r in rows})
