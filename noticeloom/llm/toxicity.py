@@ -16,11 +16,11 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut, fresh, sliced, table
+from noticeloom.llm.common import cut, fresh, join_small, sliced, table
 
 #: Labelled training rows that a model is fitted on, about; chosen by a hash of the id.
 SAMPLE = 20_000
-#: Terms kept in the lexicon, those of the highest log-odds.
+#: Terms of the lexicon, a size of the model: those of the highest log-odds in the bounded sample.
 LEXICON = 8_000
 #: Folds of the training rows: a row's lexicon features come from the other folds' counts, and
 #: fold 0 calibrates what the others have trained.
@@ -70,11 +70,10 @@ class WordCodes(dict):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, raw: bytes) -> int:
+    def __missing__(self, raw: str) -> int:
         if len(self) > MEMO:
             self.clear()
-        text = raw.decode("utf-8", "ignore")
-        edge = EDGE.sub("", text)
+        edge = EDGE.sub("", raw)
         low = edge.lower()
         word = revealed(low)
         code = self.lexicon.get(word, 0)
@@ -90,16 +89,15 @@ class WordCodes(dict):
         return code
 
 
-_KIND = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 "!", 5 "?", 6 other punctuation
-_KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
+#: Kinds of characters: 0 other, 1 small letter, 2 capital, 3 digit, 4 "!", 5 "?", 6 other ASCII punctuation.
+_KIND = np.array([1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 0 for c in map(chr, range(1 << 16))], np.uint8)
 _KIND[[b for b in range(33, 127) if not chr(b).isalnum()]] = 6
-_KIND[33], _KIND[63] = 4, 5
+_KIND[[33, 63, 0xFFFF]] = 4, 5, 0
 
 
 def features(text: str | None, codes: WordCodes) -> list[float]:
-    """The values of ``NAMES`` for a text; all 0 for an empty one."""
-    raw = (text or "").encode()
-    words = raw.split()
+    """The values of ``NAMES`` for a text; all 0 for an empty one. Words are those of ``terms``."""
+    words = (text or "").split()
     n = len(words)
     if not n:
         return [0.0] * len(NAMES)
@@ -115,8 +113,9 @@ def features(text: str | None, codes: WordCodes) -> list[float]:
         at = np.searchsorted(you, bad)
         gap = np.minimum(np.abs(bad - you[np.minimum(at, len(you) - 1)]), np.abs(bad - you[np.maximum(at - 1, 0)]))
         near = int((gap <= NEAR).sum())
-    kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=7)
-    letters, size = max(1, int(kinds[1] + kinds[2])), len(raw)
+    places = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.bincount(_KIND[np.minimum(places, 0xFFFF)], minlength=7)
+    letters, size = max(1, int(kinds[1] + kinds[2])), len(places)
     return [
         step[1] / n, step[2] / n, step[3] / n, math.log1p(step[2] + step[3]), prefix[1] / n, prefix[2] / n, prefix[3] / n,
         math.log1p(prefix[2] + prefix[3]), second / n, math.log1p(near), kinds[2] / letters, shouted / n, kinds[4] / size, kinds[5] / size, kinds[6] / size,
@@ -222,8 +221,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     picked = known.where(F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1_000_000)) < round(share * 1_000_000))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")
-    # the picked ids are about as many as ``sample``, so they may be broadcast
-    rows = cut(texts.join(F.broadcast(picked), "doc_id").withColumn("fold", fold))
+    rows = cut(join_small(texts, picked, "doc_id").withColumn("fold", fold))
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(kinds.values())
     prior = kinds.get(1, 0) / total if total else 0.0
@@ -244,8 +242,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Features are densities of lexicon words and word beginnings learned from the training rows,
     their nearness to second-person words, and rates of capitals, punctuation and disguised
-    words; ids, languages and sources are never features. Null texts score as empty ones. Without
-    training rows of both kinds every score is the share of toxic ones.
+    words; ids, languages and sources are never features. Labels of held-out rows are not read. Null texts
+    score as empty ones, texts of any length whole, equal texts alike. Repeated rows and ids
+    have a row each; a null id is not held out; an id labelled twice is toxic if one label says so. Columns of
+    any name beside play no part; an empty table gives no rows. Without training rows of both kinds
+    every score is the share of toxic ones.
     """
     model = train_toxicity(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from noticeloom.llm.toxicity import NAMES, WordCodes, features, revealed, score_documents
+from pyspark.sql import functions as F
+
+from noticeloom.llm.toxicity import NAMES, WordCodes, features, is_held_out, revealed, score_documents, terms
 
 
 def auc(pairs):
@@ -26,6 +28,9 @@ def test_features():
     assert got["very_strong"] == 0.2 and got["prefix_mild"] == 0.2 and got["near_second_person"] > 0 and got["second_person"] == 0.2
     assert got["shouted"] == 0.2 and got["obfuscated"] == 0.2 and got["exclaims"] == 2 / 21
     assert features("", codes) == features(None, codes) == features(" \n", codes) == [0.0] * len(NAMES)
+    odd = dict(zip(NAMES, features("ÄÖÜ\u00a0ПРИВЕТ\u3000idiot du", codes), strict=True))
+    assert odd["very_strong"] == 0.25 and odd["shouted"] == 0.5 and odd["capitals"] == 9 / 16 and odd["second_person"] == 0.25
+    assert terms("ÄÖÜ\u00a0idiot\u3000du") == {"äöü", "idiot", "idio*", "du"}
     assert len(features("ü" * 10_000 + " x" * 10_000, codes)) == len(NAMES)
 
 
@@ -50,6 +55,9 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     held = [(r.score, r.doc_id % 5 == 0) for r in got if r.held_out and r.doc_id < 1500]
     assert auc(held) > 0.97
+    flipped = known.withColumn("toxic", F.when(is_held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {(r.doc_id, r.score) for r in score_documents(docs.repartition(3), flipped).collect()}
+    assert again == {(r.doc_id, r.score) for r in got}
     assert score_documents(docs.limit(0), known).count() == 0
     none = score_documents(docs.limit(5), known.limit(0)).collect()
     assert len(none) == 5 and {r.score for r in none} == {0.0}
