@@ -213,7 +213,8 @@ def is_held_out(doc_id: Column) -> Column:
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> ToxicityModel:
     """Fit on about ``sample`` labelled rows that are not held out.
 
-    The sample is the same for any layout. Unlabelled rows and null labels or ids take no part.
+    The sample and the order of its rows are the same for any layout. Unlabelled rows and null labels or
+    ids take no part; equal rows of one id count once.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out(F.col("doc_id")))
@@ -221,7 +222,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     picked = known.where(F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1_000_000)) < round(share * 1_000_000))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")
-    rows = cut(join_small(texts, picked, "doc_id").withColumn("fold", fold))
+    rows = cut(join_small(texts, picked, "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("fold", fold))
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(kinds.values())
     prior = kinds.get(1, 0) / total if total else 0.0
@@ -230,7 +231,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return ToxicityModel({}, None, None, prior)
     lexica = build_lexica(rows)
     made = with_features(rows, "text", lexica, "features", "fold")
-    made = cut(made.select("fold", F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features")).repartition(6))
+    # splits are sampled by a row's place, so places depend on the rows alone
+    order = ["doc_id", "text_hash"]
+    made = made.withColumn("text_hash", F.xxhash64("text")).repartition(6, *order).sortWithinPartitions(*order)
+    made = cut(made.select("fold", F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features")))
     trees = GBTClassifier(maxIter=20, maxDepth=4, minInstancesPerNode=5, maxBins=48, stepSize=0.2, seed=7, maxMemoryInMB=64).fit(made.where("fold > 0"))
     held = trees.transform(made.where("fold = 0")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(held)
