@@ -22,6 +22,8 @@ SKETCH = 96
 SLACK = MARGIN = 0.26
 #: Most documents and shingles that one block of an inverted list holds.
 BLOCK_DOCS, BLOCK_SHINGLES = 800, 400_000
+#: Lists of a document that are compared first, and members of a long list that meet all its chunks, about.
+FIRST_LISTS, PIVOTS = 4, 8
 
 
 def _overlap(n: int, share: float) -> int:
@@ -109,7 +111,7 @@ def rare_values(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def list_sizes(lists: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``value, chunks`` of the lists that are compared: of lists with the same members one is kept."""
+    """``value, n, chunks`` of the lists that are compared: of lists with the same members one is kept."""
     member = [F.xxhash64(F.lit(key), F.col("doc_id")) for key in ("one", "two")]
     return (
         lists.groupBy("value")
@@ -117,7 +119,7 @@ def list_sizes(lists: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: i
         .where("n > 1")
         .groupBy("n", "weight", "members0", "members1")
         .agg(F.min("value").alias("value"))
-        .select("value", _chunks(F.col("n"), F.col("weight"), block_docs, block_shingles).alias("chunks"))
+        .select("value", "n", _chunks(F.col("n"), F.col("weight"), block_docs, block_shingles).alias("chunks"))
     )
 
 
@@ -131,11 +133,22 @@ def own_blocks(held: DataFrame) -> DataFrame:
     return held.select("doc_id", "value", chunk.alias("low")).select("doc_id", "value", "low", F.col("low").alias("high"), F.lit(True).alias("in_low"))
 
 
-def representatives(held: DataFrame, seed: int, block_docs: int, block_shingles: int) -> DataFrame:
-    """Of ``value, doc_id, n_shingles, label`` one document a list and label, chosen by hash, with the ``chunks`` that they fill."""
-    one = held.groupBy("value", "label").agg(F.min_by(F.struct("doc_id", "n_shingles"), F.xxhash64(F.lit(seed), F.col("doc_id"))).alias("x")).select("value", "x.*")
-    sizes = one.groupBy("value").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
-    return one.join(sizes.select("value", _chunks(F.col("n"), F.col("weight"), block_docs, block_shingles).alias("chunks")), "value")
+def longest_lists(held: DataFrame, lists: int = FIRST_LISTS) -> DataFrame:
+    """Of ``doc_id, value, n, chunks`` up to ``lists`` rows a document: the longest list of each share of the values.
+
+    Near copies agree on the longest lists, so that all meet in a few blocks, not in one for each value they share.
+    """
+    share = F.pmod(F.xxhash64("value"), F.lit(lists))
+    best = [F.max(F.when(share == i, F.struct("n", "value", "chunks"))).alias(f"x{i}") for i in range(lists)]
+    every = held.groupBy("doc_id").agg(*best).select("doc_id", F.explode(F.array(*[f"x{i}" for i in range(lists)])).alias("x"))
+    return every.where("x is not null").select("doc_id", "x.*")
+
+
+def pivot_blocks(held: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """The seats of ``own_blocks``, and of about ``pivots`` members of a long list, chosen by hash, one in each of its chunks."""
+    some = held.where((F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), F.col("doc_id")), F.col("n")) < pivots))
+    some = some.select("doc_id", "value", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("low"))
+    return own_blocks(held).unionByName(some.select("doc_id", "value", "low", F.col("low").alias("high"), F.lit(True).alias("in_low")))
 
 
 def cross_blocks(held: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
@@ -312,24 +325,24 @@ def placed_links(rows: DataFrame, seats: DataFrame, num: int, den: int, k: int)
 def verified_links(rows: DataFrame, lists: DataFrame, num: int, den: int, k: int, block_docs: int, block_shingles: int) -> DataFrame:
     """Links that connect what all links among documents of one list connect.
 
-    Lists that fit one block are compared there. A longer one is first compared within its chunks; then a
-    representative of every component found is, twice; only documents that are still in different
-    components meet across chunks. Nothing is left out: what is not compared is connected.
+    First every document is compared in a few of its lists, long ones in chunks that pivots join. A list
+    whose documents are all connected by then needs no more; the others are compared whole in one block,
+    or, if longer, across the components found. Nothing is left out: what is not compared is connected.
     """
     sizes = cut(list_sizes(lists, block_docs, block_shingles))
-    links = placed_links(rows, own_blocks(lists.join(sizes, "value")), num, den, k)
-    long = cut(lists.join(sizes.where("chunks > 1").select("value"), "value"))
-    if long.isEmpty():
+    held = cut(lists.join(sizes, "value"))
+    first = cut(longest_lists(held))
+    links = placed_links(rows, pivot_blocks(first), num, den, k)
+    met = first.groupBy("value").agg(F.count("*").alias("met"))
+    rest = held.join(met, "value", "left").where("chunks > 1 or met is null or met < n").drop("met")
+    labels = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    rest = cut(rest.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+    mixed = rest.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("value")
+    rest = cut(rest.join(mixed, "value"))
+    if rest.isEmpty():
         return links
-
-    def labelled() -> DataFrame:
-        labels = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-        return cut(long.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-
-    for seed in range(2):
-        some = representatives(labelled(), seed, block_docs, block_shingles)
-        links = links.unionByName(placed_links(rows, own_blocks(some), num, den, k))
-    return links.unionByName(placed_links(rows, cross_blocks(labelled(), block_docs, block_shingles), num, den, k))
+    seats = own_blocks(rest.where("chunks = 1")).unionByName(cross_blocks(rest.where("chunks > 1"), block_docs, block_shingles))
+    return links.unionByName(placed_links(rows, seats, num, den, k))
 
 
 def near_duplicates(
