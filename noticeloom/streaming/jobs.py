@@ -49,11 +49,17 @@ def admit(kept: list[float], now: float, window: float, most: int) -> tuple[list
     return [*kept, now], True, most - len(kept) - 1, 0
 
 
+def decided(kept: list[float], ts: pd.Timestamp, window: float, most: int) -> tuple[list[float], bool, int, int]:
+    """``admit`` for a hit's time; one without a time is turned away and changes nothing."""
+    return (kept, False, 0, 0) if pd.isna(ts) else admit(kept, ts.timestamp(), window, most)
+
+
 def admission_batch(hits: DataFrame, window_s: float, most: int) -> DataFrame:
     """T3 on a table: every hit decided in order of time.
 
     Keys are dealt by hash and sorted, and a task passes over its rows in order with the times of
-    one key at hand, at most ``most``, so that a key's rows are never gathered.
+    one key at hand, at most ``most``, so that a key's rows are never gathered. Hits without a time are
+    turned away.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,7 +69,7 @@ def admission_batch(hits: DataFrame, window_s: float, most: int) -> DataFrame:
             for key, event, ts in frame[["hit_key", "event_id", "ts"]].itertuples(index=False):
                 if key != now:
                     now, kept = key, []
-                kept, ok, remaining, retry = admit(kept, ts.timestamp(), window_s, most)
+                kept, ok, remaining, retry = decided(kept, ts, window_s, most)
                 out.append((key, event, ts, ok, remaining, retry))
             yield pd.DataFrame(out, columns=["hit_key", "event_id", "ts", "ok", "remaining", "retry_after"])
 
@@ -85,12 +91,14 @@ class _Admission(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         kept, out = [t[0] for t in self.times.get()], []
         for event, ts in frame[["event_id", "ts"]].itertuples(index=False):
-            kept, ok, remaining, retry = admit(kept, ts.timestamp(), self.window_s, self.most)
+            kept, ok, remaining, retry = decided(kept, ts, self.window_s, self.most)
             out.append((key[0], event, ts, ok, remaining, retry))
         self.times.put([(t,) for t in kept])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(frame["ts"].iloc[-1].timestamp() * 1000) + self.idle_ms)
+        latest = frame["ts"].max()
+        if not pd.isna(latest):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(latest.timestamp() * 1000) + self.idle_ms)
         yield pd.DataFrame(out, columns=["hit_key", "event_id", "ts", "ok", "remaining", "retry_after"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802

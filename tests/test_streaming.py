@@ -52,6 +52,13 @@ def test_admission_rule():
     assert out == [(True, 0), (True, 0), (False, 40), (True, 0)]
 
 
+def test_admission_without_times(spark):
+    rows = [("a", 1, None), ("a", 2, 0), ("a", 3, 10), ("a", 4, None), ("b", 5, None)]
+    hits = spark.createDataFrame(rows, "hit_key string, event_id long, s long").selectExpr("hit_key", "event_id", "timestamp_seconds(s) AS ts")
+    got = {r.event_id: (r.ok, r.remaining, r.retry_after) for r in jobs.admission_batch(hits, 60.0, 1).collect()}
+    assert got == {1: (False, 0, 0), 2: (True, 0, 0), 3: (False, 0, 50), 4: (False, 0, 0), 5: (False, 0, 0)}
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_admission(spark, tmp_path, files):
     jobs.use_rocksdb(spark)
