@@ -12,6 +12,9 @@ from noticeloom.llm.fingerprints import op5_fingerprints
 from noticeloom.llm.mixing import OP10_SQL, op10_mixing
 from noticeloom.llm.nearest import op3_nearest
 from noticeloom.llm.neardup import op8_minhash_near_dedup
+from noticeloom.llm.prefixtrie import op11_prefix_trie
+from noticeloom.llm.runs import op12_periodic_runs
+from noticeloom.llm.secretscan import op13_secret_scan
 from noticeloom.llm.surrogates import op2_pii_surrogates
 from noticeloom.llm.tokenlengths import op6_token_counts
 from noticeloom.llm.toxicity import op1_toxicity
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_url_filters": op9_url_filters,
         "op10_mixing": op10_mixing,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
