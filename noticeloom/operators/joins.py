@@ -19,6 +19,17 @@ def present(c: Column) -> Column:
     return F.nullif(F.btrim(c.cast("string")), F.lit(""))
 
 
+#: A batch of at most so many keys (some tens of MB) is sent to the tasks that scan what is stored.
+BATCH_KEYS = 400_000
+
+
+def matching(stored: DataFrame, keys: DataFrame, key: str, limit: int = BATCH_KEYS) -> DataFrame:
+    """The stored rows with a key of a batch. A small batch is broadcast, once counted, so that the stored side is scanned where it lies and not shuffled."""
+    wanted = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    small = wanted.limit(limit + 1).count() <= limit
+    return stored.join(F.broadcast(wanted) if small else wanted, key, "left_semi")
+
+
 def merge_details(rows: DataFrame, details: DataFrame, key: str, fields: Sequence[str], lists: dict[str, str] | None = None) -> DataFrame:
     """Listing rows with a detail page; per field the detail's value, else the listing's.
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeloom.operators.joins import present
-from noticeloom.session import cut
+from noticeloom.operators.joins import matching, present
+from noticeloom.session import cut, written
 
 
 def identity_key(number: str = "RecallNumber", recall_id: str = "RecallID", url: str = "URL", slug: str = "slug", have: Sequence[str] = ()) -> Column:
@@ -49,7 +48,7 @@ def assign_orders(candidates: DataFrame, bounds: DataFrame, position: str, base:
     A class may be as large as the table: it is ranked by ranges, not in one task.
     """
     sizes = candidates.groupBy(F.col("candidate_class").alias("class_")).agg(F.count("*").alias("class_n"))
-    ranked = global_rank(candidates, [position], "class_rank", within=["candidate_class"])
+    ranked = summed_within(candidates, "candidate_class", [position], "class_rank")
     ranked = ranked.join(F.broadcast(sizes), F.col("candidate_class").eqNullSafe(F.col("class_")))
     i, n = F.col("class_rank") - 1, F.col("class_n")
     order = F.when(F.col("candidate_class") == "fresh", base - i).when(F.col("candidate_class") == "newer", F.col("max_order") + n - i).otherwise(F.col("min_order") - 1 - i)
@@ -113,49 +112,97 @@ def order_gaps(df: DataFrame, order: str, parts: int | None = None) -> DataFrame
     return pieces.select(F.explode(F.sequence(F.col("last") + 1 + F.col("i") * piece, F.least(F.col("x") - 1, F.col("last") + (F.col("i") + 1) * piece))).alias("missing"))
 
 
-def stem(base: Column) -> Column:
-    """A base without its trailing numbers: only bases of one stem can collide."""
-    return F.regexp_replace(base, r"(-\d+)+$", "")
+#: Groups of more rows are summed by ranges instead of in one task each.
+LARGE_GROUP = 200_000
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    used, counter, out = set(rows.loc[rows["taken"], "base"]), {}, []
-    todo = rows[~rows["taken"]].sort_values(["arrival", "row_id"])
-    for base in todo["base"]:
-        slug, i = base, counter.get(base, 2)
-        while slug in used:
-            slug, i = f"{base}-{i}", i + 1
-        counter[base] = i
-        used.add(slug)
-        out.append(slug)
-    return pd.DataFrame({"row_id": todo["row_id"], "slug": out})
+def summed_within(df: DataFrame, group: str, order: Sequence[str], name: str, weight: Column | None = None, large: int = LARGE_GROUP) -> DataFrame:
+    """``running_total`` inside each value of ``group``: a window for most, ranges only for values that have been counted as large."""
+    big = df.groupBy(group).count().where(F.col("count") > large).select(group)
+    upto = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = lambda x: x.withColumn(name, F.sum(F.lit(1) if weight is None else weight).over(upto))
+    if big.isEmpty():
+        return whole(df)
+    # no more of them than the table has such numbers of rows
+    return whole(df.join(big, group, "left_anti")).unionByName(running_total(df.join(big, group, "left_semi"), order, name, weight, [group]))
 
 
-def unique_slugs(df: DataFrame, base: str, arrival: str, row_id: str, existing: DataFrame | None = None) -> DataFrame:
+def _numbered(slug: Column) -> tuple[Column, Column]:
+    """A slug without the number at its end, and that number, if it is one that a suffix may be: 2 and above without leading zeros."""
+    number = F.regexp_extract(slug, r"-([2-9]|[1-9][0-9]{1,17})$", 1)
+    return F.when(number != "", F.regexp_replace(slug, "-[0-9]+$", "")), F.when(number != "", number).cast("long")
+
+
+def unique_slugs(df: DataFrame, base: str, arrival: str, row_id: str, existing: DataFrame | None = None, large: int = LARGE_GROUP) -> DataFrame:
     """``row_id, slug``: the base, else ``base-2``, ``base-3`` and so on, first come first served.
 
-    A base can only meet another one's suffixed slugs if it is that base and a number, or slugs already
-    stored. Stems in which that happens are replayed in order, one group a stem; everywhere else, as in
-    a product with recalls of several years, the copies of each base are numbered by ranges, so that a
-    base may be as frequent as it likes.
+    The k-th row of a base gets its k-th free number, so only what blocks a number must be known: slugs already stored,
+    and other bases that are this base and a number. Such a base keeps its own slug if its first row comes before the
+    row that would reach the number, which is decided edge by edge: each round finds for every edge, from the
+    decisions of the round before, the row that would reach it, by its rank. A decision depends on lower numbers
+    and shorter bases only, so the rounds end with the one answer that a row-by-row replay gives; most tables take two
+    or three. No base, however frequent, is gathered, and bases that no other one meets are numbered at once. A null
+    base has a null slug; ties of arrival go by row id.
     """
-    rows = df.select(F.col(row_id).alias("row_id"), F.col(arrival).alias("arrival"), F.col(base).alias("base")).withColumn("stem", stem(F.col("base")))
-    bases = rows.select("base", "stem").distinct()
-    suffixed = bases.where(F.col("base").rlike(r"-\d+$")).select("stem", F.regexp_replace("base", r"-\d+$", "").alias("base"))
-    clashing = suffixed.join(bases, ["base", "stem"], "left_semi").select("stem")
-    if existing is not None:
-        held = existing.select(F.col("slug").alias("base")).distinct().withColumn("stem", stem(F.col("base")))
-        clashing = clashing.unionByName(held.join(bases.select("stem").distinct(), "stem", "left_semi").select("stem"))
-    per_stem = clashing.distinct().withColumn("mixed", F.lit(True))
-    tagged = rows.join(per_stem, "stem", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
-    plain = global_rank(tagged.where("not mixed"), ["arrival", "row_id"], "n", within=["base"]).select("row_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("slug"))
-    kind = dict(rows.dtypes)
-    mixed = tagged.where("mixed").select("stem", "row_id", "arrival", "base", F.lit(False).alias("taken"))
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(arrival).alias("arrival"), F.col(base).alias("base"))
+    came = F.struct("arrival", "row_id")
+    stats = rows.where("base is not null").groupBy("base").agg(F.count("*").alias("n"), F.min(came).alias("first_row"))
+    shorter, number = _numbered(F.col("base"))
+    bases = stats.withColumns({"shorter": shorter, "number": number})
+    names = bases.select(F.col("base").alias("shorter"))
+    edges = bases.where("number is not null").select("shorter", "number", "base", "first_row").join(names, "shorter", "left_semi")
+    none = bases.limit(0)
+    held = none.select("shorter", "number")
+    taken = none.select("base")
     if existing is not None:
-        empty = [F.lit(None).cast(kind[c]).alias(c) for c in ("row_id", "arrival")]
-        mixed = mixed.unionByName(held.join(per_stem.where("mixed"), "stem", "left_semi").select("stem", *empty, "base", F.lit(True).alias("taken")))
-    replayed = mixed.groupBy("stem").applyInPandas(lambda g: _replay(g), f"row_id {kind['row_id']}, slug string")
-    return plain.unionByName(replayed)
+        slugs = existing.select("slug", *[c.alias(n) for c, n in zip(_numbered(F.col("slug")), ("shorter", "number"), strict=True)])
+        held = matching(slugs.where("number is not null"), names, "shorter").select("shorter", "number").distinct()
+        taken = matching(slugs.select(F.col("slug").alias("base")), bases, "base").distinct()
+    edges = edges.join(held, ["shorter", "number"], "left_anti")  # a stored slug blocks it whatever comes
+    edges, held, taken = written(edges), written(held), written(taken)
+    met = edges.select(F.col("shorter").alias("base")).union(edges.select("base")).union(held.select(F.col("shorter").alias("base"))).union(taken).distinct()
+    alone = bases.join(met, "base", "left_anti")
+    single = alone.where("n = 1").select(F.col("first_row.row_id").alias("row_id"), F.col("base").alias("slug"))
+    repeated = summed_within(rows.join(alone.where("n > 1").select("base"), "base", "left_semi"), "base", ["arrival", "row_id"], "rank", large=large)
+    plain = repeated.select("row_id", F.when(F.col("rank") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "rank")).alias("slug"))
+    out = single.unionByName(plain).unionByName(rows.where("base is null").select("row_id", F.lit(None).cast("string").alias("slug")))
+    if met.isEmpty():
+        return out
+    ranked = written(summed_within(rows.join(met, "base", "left_semi"), "base", ["arrival", "row_id"], "rank", large=large))
+    blocked = _settled(edges, held, taken, ranked)
+    return out.unionByName(_kth_free(ranked, *blocked, large))
+
+
+def _settled(edges: DataFrame, held: DataFrame, taken: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The numbers that stay blocked for each base, and the bases whose own slug is gone before their first row."""
+    mine = edges.select("shorter", "number", "base", "first_row", F.lit(False).alias("lost"))
+    while True:
+        gone = taken.select("base").union(mine.where("lost").select("base")).distinct().select(F.col("base").alias("shorter"), F.lit(1).alias("gone"))
+        marks = mine.withColumn("blocks", (~F.col("lost")).cast("int")).unionByName(held.withColumn("blocks", F.lit(1)), allowMissingColumns=True)
+        before = F.coalesce(F.sum("blocks").over(Window.partitionBy("shorter").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        reached = marks.withColumn("before", before).where("base is not null").join(gone, "shorter", "left")
+        # the rank of the row that would reach the number: its first row takes the base itself, if that is free
+        reached = reached.withColumn("rank", F.col("number") - F.col("before") - F.coalesce("gone", F.lit(0)))
+        rival = ranked.select(F.col("base").alias("shorter"), "rank", F.struct("arrival", "row_id").alias("rival"))
+        now = reached.join(rival, ["shorter", "rank"], "left").select("shorter", "number", "base", "first_row", F.coalesce(F.col("rival") < F.col("first_row"), F.lit(False)).alias("lost"), F.col("lost").alias("was"))
+        now = written(now)
+        changed = not now.where("lost <> was").isEmpty()
+        mine = now.drop("was")
+        if not changed:
+            blocks = mine.where("not lost").select(F.col("shorter").alias("base"), "number").unionByName(held.select(F.col("shorter").alias("base"), "number"))
+            return blocks, taken.select("base").union(mine.where("lost").select("base")).distinct()
+
+
+def _kth_free(ranked: DataFrame, blocks: DataFrame, gone: DataFrame, large: int) -> DataFrame:
+    """Each row's slug: the base, or its k-th number that nothing blocks; blocks count for the rows behind their gap."""
+    rows = ranked.join(gone.withColumn("gone", F.lit(1)), "base", "left").withColumn("k", F.col("rank") - 1 + F.coalesce("gone", F.lit(0)))
+    whole = rows.where("k = 0").select("row_id", F.col("base").alias("slug"))
+    places = blocks.withColumn("j", F.row_number().over(Window.partitionBy("base").orderBy("number")))
+    places = places.select("base", (2 * (F.col("number") - 1 - F.col("j")) + 1).alias("place"), F.lit(1).alias("block"))  # behind so many free numbers
+    both = rows.where("k > 0").select("base", "row_id", (2 * F.col("k")).alias("place"), F.lit(0).alias("block")).unionByName(places, allowMissingColumns=True)
+    passed = summed_within(both, "base", ["place"], "passed", F.col("block"), large)
+    slug = F.concat_ws("-", "base", (F.expr("place div 2") + 1 + F.col("passed")).cast("string"))
+    return whole.unionByName(passed.where("block = 0").select("row_id", slug.alias("slug")))
 
 
 def recent_items(df: DataFrame, user: str, item: str, ts: str, least: int = 8, most: int = 30) -> DataFrame:

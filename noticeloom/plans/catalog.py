@@ -19,6 +19,7 @@ from noticeloom.operators import ordering as od
 from noticeloom.plans import lists as ls
 from noticeloom.session import scratch_folder
 from noticeloom.sources import records as rc
+from noticeloom.sources import versions as vs
 from noticeloom.streaming import jobs as st
 from noticeloom.views import view, with_views
 
@@ -124,16 +125,54 @@ def s3(spark, d):
 
 @query("S6_replace_load", "SELECT count(*) AS rows, count(*) AS keyed, true AS written, count(*) AS stored FROM v_fda")
 def s6(spark, d):
-    path = scratch_folder(spark)
-    stats = rc.replace_table(view(spark, d, "v_fda"), path, "slug")
-    return stats.crossJoin(spark.read.parquet(path).agg(F.count("*").alias("stored")))
+    store = vs.Store(spark, scratch_folder(spark))
+    stats = vs.replace_load(store, "notices", view(spark, d, "v_fda"), "slug")
+    counts = {k: F.lit(v).cast("long") for k, v in stats.items()}
+    return store.read("notices").agg(F.count("*").alias("stored")).withColumns(counts | {"written": F.lit(True)})
+
+
+@query(
+    "S7_upsert_commit",
+    """
+WITH u AS (
+  SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ' renamed' END AS s_name, s_acctbal + 1 AS s_acctbal FROM supplier WHERE s_suppkey % 3 = 0
+  UNION ALL SELECT s_suppkey + 1000000, s_name, s_acctbal FROM supplier WHERE s_suppkey % 5 = 0),
+n AS (SELECT count(*) FILTER (WHERE s_suppkey >= 1000000) AS new, count(*) FILTER (WHERE s_suppkey < 1000000) AS matched, (SELECT count(*) FROM supplier) - count(*) FILTER (WHERE s_suppkey < 1000000) AS kept FROM u)
+SELECT coalesce(t.s_suppkey, u.s_suppkey) AS s_suppkey, coalesce(u.s_name, t.s_name) AS s_name, t.s_nationkey, coalesce(u.s_acctbal, t.s_acctbal) AS s_acctbal, n.new, n.matched, n.kept
+FROM supplier t FULL JOIN u ON t.s_suppkey = u.s_suppkey, n""",
+)
+def s7_commit(spark, d):
+    """S7 as a load: the table as readers find it after the commit, with the counts of the write."""
+    store = vs.Store(spark, scratch_folder(spark))
+    now = F.lit(RUN_TS).cast("timestamp")
+    fields = ["s_name", "s_nationkey", "s_acctbal"]
+    first = view(spark, d, "supplier").select("s_suppkey", *fields).withColumns({"createdAt": now, "updatedAt": now})
+    vs.replace_load(store, "suppliers", first, "s_suppkey")
+    counts = vs.upsert_load(store, "suppliers", _updates(spark, d), "s_suppkey", fields, now)
+    return store.read("suppliers").select("s_suppkey", *fields, *[F.lit(counts[k]).cast("long").alias(k) for k in ("new", "matched", "kept")])
+
+
+def _stored_snapshot(spark, d) -> vs.Store:
+    """The records in descending order, each page's image by address, and its content's digest."""
+    store = vs.Store(spark, scratch_folder(spark))
+    pages = view(spark, d, "pages").select("page_id", "url", F.sha2("html", 256).alias("hash"))
+    images = pages.groupBy("url").agg(F.min(F.concat(F.lit("f"), "page_id")).alias("filename"))
+    vs.snapshot_load(store, view(spark, d, "v_fda").select("o_orderkey", "slug", "browseCategory"), "o_orderkey", images, pages.select("hash").distinct())
+    return store
 
 
 @query("S8_snapshot", "SELECT o_orderkey, slug, browseCategory FROM v_fda")
 def s8(spark, d):
-    path = scratch_folder(spark)
-    rc.save_snapshot(view(spark, d, "v_fda").select("o_orderkey", "slug", "browseCategory"), path, "o_orderkey")
-    return spark.read.parquet(path)
+    return _stored_snapshot(spark, d).read("records")
+
+
+@query("S8_registries", "SELECT 'image' AS kind, url AS key, min('f' || page_id) AS value FROM pages GROUP BY url UNION ALL SELECT DISTINCT 'hash', sha256(html), NULL FROM pages")
+def s8_registries(spark, d):
+    """The registries beside a snapshot, of the same version."""
+    store = _stored_snapshot(spark, d)
+    at = store.snapshot()
+    images = store.read("images", at).select(F.lit("image").alias("kind"), F.col("url").alias("key"), F.col("filename").alias("value"))
+    return images.unionByName(store.read("hashes", at).select(F.lit("hash").alias("kind"), F.col("hash").alias("key"), F.lit(None).cast("string").alias("value")))
 
 
 @query("S9_sitemap_files", f"SELECT '{md.BASE}/recalls/' || slug AS url, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 5000 AS BIGINT) AS file_no FROM v_fda")
@@ -160,11 +199,46 @@ def _landed_hits(spark, d, files: int = 4) -> tuple[DataFrame, str]:
     return spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
 
 
-@query("T1_incremental_ingest", "SELECT hit_key, arg_min(event_id, (ts, event_id)) AS event_id FROM v_hits GROUP BY hit_key")
+SLICES = 4
+
+
+def _landings(spark, d) -> tuple[DataFrame, str, DataFrame]:
+    """The hits as notices, cut into equal spans of time; those without a time come with the first."""
+    hits = view(spark, d, "v_hits").select("event_id", "hit_key", F.col("ts").cast("timestamp").alias("published"))
+    us = F.unix_micros("published")
+    span = hits.agg(F.min(us).alias("low"), F.max(us).alias("high")).first()
+    low, high = span.low or 0, span.high or 0
+    name, year = F.split("hit_key", ":")[0], F.coalesce(F.year("published").cast("string"), F.lit("2026"))
+    rows = hits.select("event_id", "hit_key", F.concat(F.lit("https://notices.example/"), "hit_key").alias("url"), F.concat_ws("-", name, F.lit("recall"), year).alias("base"), "published")
+    return rows.withColumn("slice", F.coalesce(F.expr(f"(unix_micros(published) - {low}) * {SLICES} div {high - low + 1}"), F.lit(0))), scratch_folder(spark), rows
+
+
+@query(
+    "T1_incremental_ingest",
+    f"""
+WITH m AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM v_hits),
+h AS (SELECT event_id, hit_key, ts, coalesce((epoch_us(ts) - low) * {SLICES} // (high - low + 1), 0) AS s, split_part(hit_key, ':', 1) || '-recall-' || coalesce(CAST(year(ts) AS VARCHAR), '2026') AS base FROM v_hits, m),
+e AS (SELECT *, min(s) OVER (PARTITION BY hit_key) AS s0 FROM h),
+f AS (SELECT * FROM e WHERE s = 0 OR ts IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ts DESC NULLS LAST, hit_key, event_id) AS pos FROM f),
+k AS (SELECT s, min(pos) FILTER (WHERE s0 < s) AS seen FROM p GROUP BY s),
+n AS (SELECT p.*, CASE WHEN p.s = 0 THEN 'fresh' WHEN seen IS NULL OR pos < seen THEN 'newer' ELSE 'backfill' END AS cc FROM p JOIN k ON p.s = k.s WHERE s0 = p.s QUALIFY row_number() OVER (PARTITION BY hit_key ORDER BY pos) = 1),
+c AS (SELECT s, count(*) FILTER (WHERE cc = 'fresh') AS nf, count(*) FILTER (WHERE cc = 'newer') AS nn, count(*) FILTER (WHERE cc = 'backfill') AS nb FROM n GROUP BY s),
+b AS (SELECT g.s, coalesce(sum(nn), 0) AS up, coalesce(sum(nb), 0) AS down, (SELECT sum(nf) FROM c) AS fresh FROM (SELECT DISTINCT s FROM n) g LEFT JOIN c ON c.s < g.s GROUP BY g.s),
+r AS (SELECT n.*, row_number() OVER (PARTITION BY n.s, cc ORDER BY pos) - 1 AS i, row_number() OVER (PARTITION BY base ORDER BY n.s, pos) AS j FROM n)
+SELECT hit_key, event_id, cc AS candidate_class, CAST(CASE cc WHEN 'fresh' THEN {st.FIRST_ORDER} - i WHEN 'newer' THEN {st.FIRST_ORDER} + up + nn - i ELSE {st.FIRST_ORDER} - fresh + 1 - down - 1 - i END AS BIGINT) AS "sortOrder",
+       CASE WHEN j = 1 THEN base ELSE base || '-' || j END AS slug
+FROM r JOIN c ON c.s = r.s JOIN b ON b.s = r.s""",
+)
 def t1(spark, d):
-    stream, path = _landed_hits(spark, d)
-    st.ingest(stream, f"{path}/table", f"{path}/progress", "hit_key", ["ts", "event_id"]).awaitTermination()
-    return spark.read.parquet(f"{path}/table").select("hit_key", "event_id")
+    """Four landings, each read by a run of the stream, and what the store then holds."""
+    rows, path, plain = _landings(spark, d)
+    store = vs.Store(spark, f"{path}/store")
+    plain.limit(0).write.parquet(f"{path}/in")
+    for i in range(SLICES):
+        rows.where(F.col("slice") == i).drop("slice").write.mode("append").parquet(f"{path}/in")
+        st.ingest(spark.readStream.schema(plain.schema).parquet(f"{path}/in"), store, f"{path}/progress", F.lit(RUN_TS).cast("timestamp")).awaitTermination()
+    return store.read("records").select("hit_key", "event_id", "candidate_class", "sortOrder", "slug")
 
 
 @query("T2_requests_once", "SELECT hit_key, count(DISTINCT hit_key) AS n FROM v_hits GROUP BY hit_key")
@@ -759,6 +833,32 @@ def w7(spark, d):
     return od.unique_slugs(rows, "base", "p_partkey", "p_partkey")
 
 
+_CLASH = f"{_sql_slug('productType')} || CASE WHEN p_partkey % 3 = 0 THEN '-' || (2 + p_partkey % 5) WHEN p_partkey % 7 = 0 THEN '-2-' || (p_partkey % 4) ELSE '' END"
+
+
+@query(
+    "W7_clashing_slugs",
+    f"""
+WITH RECURSIVE b AS (SELECT p_partkey, {_sql_slug('productType')} AS stem, {_CLASH} AS base FROM v_products),
+e AS (SELECT DISTINCT stem, stem || '-3' AS slug FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS k, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM b),
+r AS (
+  SELECT e.stem, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS p_partkey, CAST(NULL AS VARCHAR) AS slug, [e.slug] AS used FROM e
+  UNION ALL
+  SELECT stem, k, p_partkey, slug, list_append(used, slug) FROM (
+    SELECT o.stem, o.k, o.p_partkey, r.used,
+           CASE WHEN NOT list_contains(r.used, o.base) THEN o.base ELSE o.base || '-' || list_filter(range(2, len(r.used) + 3), lambda i: NOT list_contains(r.used, o.base || '-' || i))[1] END AS slug
+    FROM r JOIN o ON o.stem = r.stem AND o.k = r.k + 1) x)
+SELECT p_partkey AS row_id, slug FROM r WHERE k > 0""",
+)
+def w7_clashing(spark, d):
+    """W7 where bases are other bases with numbers, and some slugs are stored: the SQL takes row after row."""
+    kind, key = vl.slug_part(F.col("productType")), F.col("p_partkey")
+    tail = F.when(key % 3 == 0, F.concat(F.lit("-"), 2 + key % 5)).when(key % 7 == 0, F.concat(F.lit("-2-"), key % 4)).otherwise("")
+    rows = view(spark, d, "v_products").select("p_partkey", F.concat(kind, tail).alias("base"), kind.alias("kind"))
+    return od.unique_slugs(rows, "base", "p_partkey", "p_partkey", rows.select(F.concat("kind", F.lit("-3")).alias("slug")).distinct())
+
+
 @query(
     "W8_recent_items",
     f"""

@@ -3,34 +3,81 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from noticeloom.functions.values import notice_hash, notice_url
+from noticeloom.operators.joins import matching
+from noticeloom.operators.ordering import assign_orders, first_of_hash, summed_within, unique_slugs
+from noticeloom.session import written
+from noticeloom.sources.versions import Snapshot, Store
+
 #: Outcome of an admission decision.
 DECISION = "hit_key string, event_id long, ts timestamp, ok boolean, remaining int, retry_after int"
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, key: str, order: Sequence[str]) -> StreamingQuery:
-    """Each micro-batch adds the first row of every key that the table does not hold yet.
+#: Order of the first notice of a store.
+FIRST_ORDER = 300
 
-    A batch writes its own partition of the table and overwrites it when it is replayed, and keys
-    are looked up in the other partitions only, so that a crash and a restart change nothing.
-    """
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("row")).select("row.*")
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            stored = spark.read.parquet(table).where(F.col("batch_id") != batch_id).select(key)
-            first = first.join(stored, key, "left_anti")
-        first.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table)
+def ingest_batch(batch: DataFrame, batch_id: int, store: Store, run_ts: Column | None = None, first_order: int = FIRST_ORDER) -> Snapshot:
+    """T1 for one micro-batch of ``url, base, published`` and any other columns: what is new joins the store, whole or not at all.
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    The batch is a listing, newest first (undated rows last, ties by address). Rows whose address, as its hash, is stored
+    are known; undated ones are left out once the store has a dated notice; of rows of one address the first counts (J3, W2). New
+    rows before the first known one are ``newer``, behind it ``backfill``, and ``fresh`` in an empty store (W3); they get
+    sort orders at either end (W4) and slugs that no stored one has (W7). Records, hashes, slugs, the range of orders and
+    the newest time become visible in one commit with the batch's number, so that a batch that is replayed after a crash
+    either finds itself committed or begins anew. Only stored hashes and slugs that the batch may meet leave the scan.
+    """
+    since = store.snapshot()
+    if since.batch is not None and batch_id <= since.batch:
+        return since
+    spark, numbers = batch.sparkSession, since.numbers
+    some = numbers.get("records", 0) > 0
+    listed = batch.withColumn("hash", notice_hash(notice_url(F.col("url")))).where("hash is not null")
+    if "newest" in numbers:
+        listed = listed.where("published is not null")
+    undated, age = F.col("published").isNull().cast("int"), F.coalesce(-F.unix_micros("published"), F.lit(0))
+    order = {"undated": undated, "age": age, "tie": F.xxhash64(*batch.columns)}  # a replayed batch is listed alike
+    listed = written(summed_within(listed.withColumns(order | {"whole": F.lit(0)}), "whole", ["undated", "age", "url", "tie"], "position"))
+    known = matching(store.read("hashes", since), listed, "hash").select("hash") if some else None
+    new, first_known = listed, None
+    if known is not None:
+        known = written(known)
+        first_known = listed.join(known, "hash", "left_semi").agg(F.min("position")).first()[0]
+        new = listed.join(known, "hash", "left_anti")
+    new = first_of_hash(new, "hash", [F.col("position")])
+    kind = F.lit("fresh") if not some else F.lit("newer") if first_known is None else F.when(F.col("position") < first_known, "newer").otherwise("backfill")
+    bounds = spark.createDataFrame([(numbers.get("min_order", first_order + 1), numbers.get("max_order", first_order))], "min_order long, max_order long")
+    ordered = written(assign_orders(new.withColumn("candidate_class", kind), bounds, "position", first_order))
+    slugs = unique_slugs(ordered, "base", "position", "hash", store.read("slugs", since) if some else None)
+    named = ordered.join(slugs.withColumnRenamed("row_id", "hash"), "hash")
+    folder = F.concat_ws("-", F.col("sortOrder").cast("string"), "slug")
+    seen = Observation()
+    records = named.select(*batch.columns, "hash", "candidate_class", "sortOrder", "slug", folder.alias("folder"), (F.current_timestamp() if run_ts is None else run_ts).alias("createdAt"))
+    measured = records.observe(seen, F.count(F.lit(1)).alias("n"), F.min("sortOrder").alias("low"), F.max("sortOrder").alias("high"), F.max(F.unix_micros("published")).alias("newest"))
+    staged = store.stage("records", measured)
+    got = seen.get
+    if not got["n"] and some:
+        return store.commit(since, batch=batch_id)
+    parts = [staged, store.stage("hashes", staged.rows.select("hash")), store.stage("slugs", staged.rows.select("slug"))]
+    known_so_far = {"records": numbers.get("records", 0) + got["n"]}
+    if got["n"]:
+        known_so_far |= {"min_order": min(got["low"], numbers.get("min_order", got["low"])), "max_order": max(got["high"], numbers.get("max_order", got["high"]))}
+    newest = [x for x in (got["newest"], numbers.get("newest")) if x is not None]
+    if newest:
+        known_so_far["newest"] = max(newest)
+    return store.commit(since, appended=parts, numbers=known_so_far, batch=batch_id)
+
+
+def ingest(stream: DataFrame, store: Store, checkpoint: str, run_ts: Column | None = None) -> StreamingQuery:
+    """``ingest_batch`` on what has landed since the checkpoint."""
+    return stream.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, store, run_ts) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def requests_once(stream: DataFrame, key: str, ts: str, in_flight: str) -> DataFrame:
