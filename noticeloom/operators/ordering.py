@@ -144,7 +144,7 @@ def unique_slugs(df: DataFrame, base: str, arrival: str, row_id: str, existing:
     or three. No base, however frequent, is gathered, and bases that no other one meets are numbered at once. A null
     base has a null slug; ties of arrival go by row id.
     """
-    rows = df.select(F.col(row_id).alias("row_id"), F.col(arrival).alias("arrival"), F.col(base).alias("base"))
+    rows = written(df.select(F.col(row_id).alias("row_id"), F.col(arrival).alias("arrival"), F.col(base).alias("base")))  # read several times
     came = F.struct("arrival", "row_id")
     stats = rows.where("base is not null").groupBy("base").agg(F.count("*").alias("n"), F.min(came).alias("first_row"))
     shorter, number = _numbered(F.col("base"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noticeloom.functions import text as tx
 from noticeloom.functions import values as vl
 from noticeloom.operators import aggregates as ag
+from noticeloom.operators import announcements as ann
 from noticeloom.operators import filters as fl
 from noticeloom.operators import joins as jn
 from noticeloom.operators import localize as lc
@@ -1138,6 +1139,109 @@ def c11(spark, d):
     return _notices(spark, d).select("page_id", "title", F.size("paragraphs").alias("n_paragraphs"), F.array_join("paragraphs", "\n").alias("text"), F.array_join("links", " ").alias("links"))
 
 
+_PHRASES = " OR ".join(f"contains(lower(t), '{p}')" for p in fl.BOILERPLATE)
+_SITE = "https://www.fda.gov"
+
+
+def _announcement_pages(spark, d) -> DataFrame:
+    """A notice page a conversation: users speak in paragraphs, assistants in bullets, systems inside a part of its own; more of each outside the bounds."""
+    text = tx.escape_html(F.coalesce("text", F.lit("")))
+    link = F.concat(F.lit("<a href='/c/"), "conv_id", F.lit("/"), "turn", F.lit("'>x</a>"))
+    turn = F.when(F.col("role") == "user", F.concat(F.lit("<p>"), text, F.lit(" "), link)).when(F.col("role") == "assistant", F.concat(F.lit("<ul><li>"), text, F.lit("</ul>"))).otherwise(F.concat(F.lit("<div><p>"), text, F.lit("</p></div>")))
+    turns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("html")))), lambda x: x["html"]), "\n")
+    rows = view(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    number = F.col("conv_id").cast("string")
+    head = F.concat(F.lit("<!DOCTYPE html><title>x</title><main id='main-content'><h1 class='content-title'>Notice&nbsp; "), number, F.lit("</h1><p>before</p><dl><dt>Company Name:<dd class='cell-2_5'>Firm "), number, F.lit("<dt>Product Type<dd>Food</dl><div><h2 id='recall-announcement'>Company Announcement</h2>"))
+    photos = F.lit("<div id='recall-photos'><p>a photo</p><picture><source srcset='/i/large.jpg?w=1 1x'></picture></div><p>after</p>")
+    tail = F.when(F.col("conv_id") % 3 == 0, photos).when(F.col("conv_id") % 3 == 1, F.lit("<hr><div><h2>Company Contact Information</h2><p>call</p></div>")).otherwise("")
+    return rows.select("conv_id", F.concat(head, "turns", tail, F.lit("</div><p>far after</p></main>")).alias("html"))
+
+
+@query(
+    "C11_announcements",
+    f"""
+WITH t AS (SELECT conv_id, turn, role, {sq("coalesce(text, '')")} || CASE WHEN role = 'user' THEN ' x' ELSE '' END AS t0 FROM conversations),
+r AS (SELECT conv_id, turn, role, trim(t0) AS t FROM t), k AS (SELECT *, {_PHRASES} AS bad FROM r WHERE t <> ''),
+l AS (SELECT conv_id, string_agg('{_SITE}/c/' || conv_id || '/' || turn, ' ' ORDER BY turn) AS links FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT c.conv_id, 'Notice ' || c.conv_id AS title, 'Firm ' || c.conv_id AS company, 'Food' AS product_type, coalesce(p, '') AS paragraphs, coalesce(b, '') AS bullets, coalesce(j, '') AS rejected, coalesce(links, '') AS links,
+       CASE WHEN c.conv_id % 3 = 0 THEN '{_SITE}/i/large.jpg' ELSE '' END AS images
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN (SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE role <> 'assistant' AND NOT bad) AS p, string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND NOT bad) AS b,
+                  string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE role <> 'assistant' AND bad) AS j FROM k GROUP BY conv_id) x ON x.conv_id = c.conv_id
+LEFT JOIN l ON l.conv_id = c.conv_id""",
+)
+def c11_announcements(spark, d):
+    """C11 with bounds, over pages rendered from every conversation."""
+    out = ann.announcements(ann.page_blocks(_announcement_pages(spark, d), "conv_id"))
+    lines = {c: F.array_join(c, "\n") for c in ("paragraphs", "bullets", "rejected")}
+    return out.select("conv_id", "title", "company", "product_type", *[e.alias(c) for c, e in lines.items()], F.array_join("links", " ").alias("links"), F.array_join("images", " ").alias("images"))
+
+
+def _listing_pages(spark, d) -> DataFrame:
+    """A listing page a customer, with a row an order."""
+    o = view(spark, d, "orders").join(view(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    cells = [F.concat(F.lit("<time datetime='"), day, F.lit("'>"), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("</time>")), F.concat(F.lit("<a href='/r/"), "o_orderkey", F.lit("#top'>"), "c_name", F.lit("</a>")), F.lit("Tea &amp; more"), F.col("o_orderpriority"), F.lit(" "), F.col("c_mktsegment"), F.col("o_orderstatus")]
+    line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    return o.groupBy("c_custkey").agg(F.concat(F.lit("<table id=datatable><thead><tr><th>Date</tr></thead><tbody>"), lines, F.lit("</tbody></table><table><tr><td>other</table>")).alias("html"))
+
+
+@query(
+    "C11_listing_rows",
+    f"""
+SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS row_no, strftime(o_orderdate, '%m/%d/%Y') AS date_text, strftime(o_orderdate, '%Y-%m-%d') AS date_time, c_name AS brand, 'Tea & more' AS product,
+       o_orderpriority AS type, '' AS reason, c_mktsegment AS company, o_orderstatus AS terminated, '{_SITE}/r/' || o_orderkey AS url FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def c11_listing(spark, d):
+    return ann.listing_rows(ann.page_blocks(_listing_pages(spark, d), "c_custkey"), "c_custkey")
+
+
+def _contact_pages(spark, d) -> DataFrame:
+    """A page a customer: groups of lines in several orders, some without some of them."""
+    key, c = F.col("c_custkey"), view(spark, d, "customer")
+    line = lambda x: F.concat(F.lit("<dd>"), x, F.lit("</dd>"))
+    phone, mail, site = F.concat(F.lit("1-800-555-"), F.lpad((key % 10_000).cast("string"), 4, "0")), F.concat(F.lit("help"), key, F.lit("@firm.example.com")), F.concat(F.lit("www.firm"), key, F.lit(".com/help"))
+    own = F.when(key % 3 == 0, F.concat(line(F.col("c_name")), line(phone), line(mail), line(site))).when(key % 3 == 1, F.concat(line(mail), line(F.col("c_name")), line(F.col("c_mktsegment")))).otherwise(line(phone))
+    press = F.when(key % 2 == 0, F.concat(line(F.concat("c_mktsegment", F.lit(" Smith, Press Officer, "), "c_name")), line(F.concat(F.lit("press"), key, F.lit("@firm.example.com"))))).otherwise(line(F.concat(F.lit("Desk "), key, F.lit(" "), phone)))
+    return c.select("c_custkey", F.concat(F.lit("<div><p>x</p></div><div><h2>Company  Contact Information</h2><dl><dt>Consumers:</dt>"), own, F.lit("<dt>Media</dt>"), press, F.lit("</dl></div><dl><dt>Consumer<dd>elsewhere</dl>")).alias("html"))
+
+
+@query(
+    "C8_contact_records",
+    """
+WITH c AS (SELECT *, '1-800-555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, 'help' || c_custkey || '@firm.example.com' AS mail FROM customer)
+SELECT c_custkey, 'Consumers:' AS consumer_label, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS organization, CASE WHEN c_custkey % 3 <> 1 THEN phone END AS phone, CASE WHEN c_custkey % 3 < 2 THEN mail END AS email,
+       CASE WHEN c_custkey % 3 = 0 THEN 'https://www.firm' || c_custkey || '.com/help' END AS website, 'Media:' AS media_label, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' Smith' ELSE 'Desk ' || c_custkey END AS media_name,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Press Officer, ' || c_name END AS media_role, CASE WHEN c_custkey % 2 = 0 THEN 'press' || c_custkey || '@firm.example.com' END AS media_email, CASE WHEN c_custkey % 2 = 1 THEN phone END AS media_phone
+FROM c""",
+)
+def c8_records(spark, d):
+    """C8 in groups, over pages rendered from every customer."""
+    out = ann.contact_records(ann.page_blocks(_contact_pages(spark, d), "c_custkey"))
+    own = {"consumer_label": "consumers.label", "organization": "consumers.organization", "phone": "consumers.phone", "email": "consumers.email", "website": "consumers.website"}
+    press = {f"media_{f}": f"media.{f}" for f in ("label", "name", "role", "email", "phone")}
+    return out.select("c_custkey", *[F.col(c).alias(n) for n, c in (own | press).items()])
+
+
+@query(
+    "C7_announcement_links",
+    f"""
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'https://www.fda.gov/medwatch/' || conv_id ELSE '' END AS reporting, CASE WHEN conv_id % 2 = 0 THEN 'https://firm.com/recall-' || conv_id ELSE '' END AS lot,
+       CASE WHEN conv_id % 3 = 0 THEN 'https://www.fda.gov/medwatch/' || conv_id WHEN conv_id % 5 = 0 THEN 'https://firm.com/support' ELSE '' END AS consumer,
+       CASE WHEN conv_id % 3 = 0 AND conv_id % 5 = 0 THEN 'https://firm.com/support' WHEN conv_id % 7 = 0 THEN 'https://firm' || conv_id || '.org/shop' ELSE '' END AS company
+FROM (SELECT DISTINCT conv_id FROM conversations)""",
+)
+def c7_announcement(spark, d):
+    """C7 over the links and the plain addresses of announcements rendered for every conversation."""
+    key = F.col("conv_id")
+    a = lambda url: F.concat(F.lit("<p>go <a href='"), url, F.lit("'>there</a></p>"))
+    parts = [F.when(key % 3 == 0, a(F.concat(F.lit("https://www.fda.gov/medwatch/"), key))), F.when(key % 2 == 0, a(F.concat(F.lit("https://firm.com/recall-"), key, F.lit("#x")))), F.when(key % 5 == 0, a(F.lit("https://firm.com/support"))), F.when(key % 7 == 0, F.concat(F.lit("<ul><li>or at firm"), key, F.lit(".org/shop.</ul>")))]
+    pages = view(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.concat(F.lit("<div><h2 id=recall-announcement>A</h2>"), *[F.coalesce(p, F.lit("")) for p in parts], F.lit("</div>")).alias("html"))
+    out = ann.routed_links(ann.announcements(ann.page_blocks(pages, "conv_id")))
+    return out.select("conv_id", F.array_join("reportingUrls", " ").alias("reporting"), F.col("lotCheckUrl").alias("lot"), F.col("consumerWebsite").alias("consumer"), F.col("companyWebsite").alias("company"))
+
+
 def _rendered(spark, d):
     rows = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), F.concat(F.col("l_returnflag"), F.lit(" & <"), F.col("l_linestatus"), F.lit(">")).alias("flags"))
     return nt.render_tables(rows, "l_orderkey", ["part", "flags"], "l_linenumber")
