@@ -17,6 +17,7 @@ from noticeloom.operators import localize as lc
 from noticeloom.operators import metadata as md
 from noticeloom.operators import notices as nt
 from noticeloom.operators import ordering as od
+from noticeloom.operators import search as sr
 from noticeloom.plans import lists as ls
 from noticeloom.session import scratch_folder
 from noticeloom.sources import records as rc
@@ -967,14 +968,14 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 )
 def q10(spark, d):
     docs = view(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), 0).alias("title"))
-    return ls.ranked_search(docs, _asked(spark, d), "doc_id", "title").withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 3))
+    return sr.ranked_search(docs, _asked(spark, d), "doc_id", "title").withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 3))
 
 
 @query("Q10_ranked_search_texts")
 def q10_texts(spark, d):
     """Q10 over whole texts, asked for whole benchmark items; the query above, as its SQL, is a search of first lines as titles."""
     asked = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    out = ls.ranked_search(view(spark, d, "documents").select("doc_id", "text"), asked, "doc_id", "text")
+    out = sr.ranked_search(view(spark, d, "documents").select("doc_id", "text"), asked, "doc_id", "text")
     return out.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 3))
 
 

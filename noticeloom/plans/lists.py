@@ -79,26 +79,6 @@ def pending_queue(records: DataFrame, stored: DataFrame, keys: Sequence[tuple[st
     return fresh.orderBy(*order).limit(limit)
 
 
-def ranked_search(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Q10: BM25 over the words of a column, for a table of queries (``query_id, query``).
-
-    Postings and document frequencies are computed for the asked terms only; a term's rows meet by a
-    join on the term, and each query's best rows are ranked.
-    """
-    words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    own = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc"), words(F.col(text)).alias("words"))
-    lengths = own.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_len"))
-    postings = own.select("doc", F.size("words").alias("len"), F.explode("words").alias("term")).join(terms.select("term").distinct(), "term").groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    tf, length = F.col("tf"), F.col("len") / F.col("avg_len")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = F.sum(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length)))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(lengths)).join(terms, "term").groupBy("query_id", "doc").agg(F.round(score, 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("doc").alias(key), "score")
-
-
 def vehicle_lookup(vehicles: DataFrame, campaigns: DataFrame, stored: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Q12: campaigns of the vehicles asked for, the stored text before the raw one."""
     own = campaigns_of(vehicles, campaigns)
