@@ -188,19 +188,6 @@ def s9(spark, d):
 # Streams
 
 
-def _landed_hits(spark, d, files: int = 4) -> tuple[DataFrame, str]:
-    """The hits as files in the order of time, and the stream that reads them one by one."""
-    path = scratch_folder(spark)
-    hits = view(spark, d, "v_hits").select("event_id", "hit_key", F.col("ts").cast("timestamp").alias("ts"))
-    seconds = F.col("ts").cast("double")
-    cuts = hits.agg(F.percentile_approx(seconds, [i / files for i in range(1, files)]).alias("q")).first()["q"] or []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = hits if low is None else hits.where(seconds > low)
-        part = part if high is None else part.where(seconds <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
-
-
 SLICES = 4
 
 
@@ -243,15 +230,74 @@ def t1(spark, d):
     return store.read("records").select("hit_key", "event_id", "candidate_class", "sortOrder", "slug")
 
 
+def _landed(spark, d, run) -> str:
+    """The hits in landings of equal spans of time, those without a time with the first; ``run`` takes the stream of each and the folder."""
+    rows, path, plain = _landings(spark, d)
+    kept = [c for c in plain.columns if c in ("event_id", "hit_key", "published")]
+    names = [F.col(c).alias("ts" if c == "published" else c) for c in kept]
+    plain.select(*names).limit(0).write.parquet(f"{path}/in")
+    for i in range(SLICES):
+        rows.where(F.col("slice") == i).select(*names).write.mode("append").parquet(f"{path}/in")
+        run(spark.readStream.schema(plain.select(*names).schema).parquet(f"{path}/in"), path).awaitTermination()
+    return path
+
+
+def _to_parquet(df: DataFrame, path: str):
+    return df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/out")
+
+
 @query("T2_requests_once", "SELECT hit_key, count(DISTINCT hit_key) AS n FROM v_hits GROUP BY hit_key")
 def t2(spark, d):
-    stream, path = _landed_hits(spark, d)
-    once = st.requests_once(stream, "hit_key", "ts", "40000 days")
-    once.writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    path = _landed(spark, d, lambda stream, path: _to_parquet(st.requests_once(stream, "hit_key", "ts", "40000 days"), path))
     return spark.read.parquet(f"{path}/out").groupBy("hit_key").agg(F.count("*").alias("n"))
 
 
-@query("T3_admission")
+_FLIGHT_S, _IDLE_S = 3 * 86_400, 5 * 86_400
+
+
+@query(
+    "T2_in_flight_spans",
+    f"""
+WITH RECURSIVE h AS (SELECT hit_key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY hit_key ORDER BY ts, event_id) AS n FROM v_hits WHERE ts IS NOT NULL),
+r AS (
+  SELECT hit_key, event_id, us AS since, n, true AS ok FROM h WHERE n = 1
+  UNION ALL
+  SELECT h.hit_key, h.event_id, CASE WHEN h.us - since >= {_FLIGHT_S * 1_000_000} THEN h.us ELSE since END, h.n, h.us - since >= {_FLIGHT_S * 1_000_000} FROM r JOIN h ON h.hit_key = r.hit_key AND h.n = r.n + 1)
+SELECT hit_key, event_id, ok FROM r UNION ALL SELECT hit_key, event_id, false FROM v_hits WHERE ts IS NULL""",
+)
+def t2_spans(spark, d):
+    """T2 with spans that end: requests in four landings, the state in RocksDB."""
+    st.use_rocksdb(spark)
+    path = _landed(spark, d, lambda stream, path: _to_parquet(st.in_flight_stream(stream, _FLIGHT_S), path))
+    return spark.read.parquet(f"{path}/out").select("hit_key", "event_id", "ok")
+
+
+@query(
+    "T4_live_keys",
+    f"WITH l AS (SELECT hit_key, max(epoch_ms(ts)) AS last FROM v_hits WHERE ts IS NOT NULL GROUP BY hit_key) SELECT hit_key, last + {_IDLE_S * 1000} > (SELECT max(last) FROM l) AS live FROM l",
+)
+def t4(spark, d):
+    """T4: which keys still have state after four landings, read from the state itself, and which have been idle and are gone."""
+    st.use_rocksdb(spark)
+    path = _landed(spark, d, lambda stream, path: _to_parquet(st.admission_stream(stream, _FLIGHT_S, 3, _IDLE_S), path))
+    live = st.live_keys(spark, f"{path}/progress").select("hit_key", F.lit(True).alias("live"))
+    seen = spark.read.parquet(f"{path}/out").where("ts is not null").select("hit_key").distinct()
+    return seen.join(live, "hit_key", "left").withColumn("live", F.coalesce("live", F.lit(False)))
+
+
+@query(
+    "T3_admission",
+    """
+WITH RECURSIVE h AS (SELECT hit_key, event_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY hit_key ORDER BY ts, event_id) AS n FROM v_hits WHERE ts IS NOT NULL),
+r AS (
+  SELECT hit_key, event_id, ts, n, [us] AS kept, true AS ok, 2 AS remaining, 0 AS retry_after FROM h WHERE n = 1
+  UNION ALL
+  SELECT hit_key, event_id, ts, n, CASE WHEN len(live) < 3 THEN list_append(live, us) ELSE live END, len(live) < 3, CASE WHEN len(live) < 3 THEN 2 - len(live) ELSE 0 END,
+         CASE WHEN len(live) < 3 THEN 0 ELSE greatest(1, CAST(ceil((live[1] + 604800000000 - us) / 1000000) AS BIGINT)) END
+  FROM (SELECT h.*, list_filter(r.kept, lambda x: x > h.us - 604800000000) AS live FROM r JOIN h ON h.hit_key = r.hit_key AND h.n = r.n + 1) x)
+SELECT hit_key, event_id, CAST(ts AS TIMESTAMP) AS ts, ok, CAST(remaining AS INTEGER) AS remaining, CAST(retry_after AS INTEGER) AS retry_after FROM r
+UNION ALL SELECT hit_key, event_id, NULL, false, 0, 0 FROM v_hits WHERE ts IS NULL""",
+)
 def t3(spark, d):
     hits = view(spark, d, "v_hits").withColumn("ts", F.col("ts").cast("timestamp"))
     return st.admission_batch(hits, 7 * 86_400.0, 3)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -16,6 +17,8 @@ from noticeloom.operators.ordering import assign_orders, first_of_hash, summed_w
 from noticeloom.session import written
 from noticeloom.sources.versions import Snapshot, Store
 
+#: Microseconds, in which times are compared.
+SECOND = 1_000_000
 #: Outcome of an admission decision.
 DECISION = "hit_key string, event_id long, ts timestamp, ok boolean, remaining int, retry_after int"
 
@@ -81,72 +84,145 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, run_ts: Column | No
 
 
 def requests_once(stream: DataFrame, key: str, ts: str, in_flight: str) -> DataFrame:
-    """The first request of each key while one is in flight (by event time)."""
+    """The first request of each key while one is in flight (by event time), as far as the watermark goes."""
     return stream.withWatermark(ts, in_flight).dropDuplicatesWithinWatermark([key])
 
 
-def admit(kept: list[float], now: float, window: float, most: int) -> tuple[list[float], bool, int, int]:
-    """One decision: the hits still inside the window, whether this one passes, what remains, when to retry.
+def in_flight(hits: DataFrame, span_s: float) -> DataFrame:
+    """T2 on a table: a request passes if none of its key has passed in the ``span_s`` before, which is how long one is in flight."""
+    return admission_batch(hits, span_s, 1)
+
+
+def in_flight_stream(hits: DataFrame, span_s: float, late: str = "0 seconds") -> DataFrame:
+    """T2 on a stream, exactly: the time of the request in flight is the state of its key, and goes when no late one can need it.
+
+    Requests older than the watermark are left out of the state and counted (``late_requests``); those without a time are turned away.
+    """
+    return admission_stream(hits, span_s, 1, span_s, late)
+
+
+def late_requests(query: StreamingQuery) -> int:
+    """How many rows of a stream's runs so far came behind the watermark."""
+    return sum(int(operator["numRowsDroppedByWatermark"]) for progress in query.recentProgress for operator in progress["stateOperators"])
+
+
+def live_keys(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """T4: ``hit_key, held``: the keys that an admission stream still has state for, and how many times it holds; the others have been idle for long and are gone."""
+    state = spark.read.format("statestore").option("stateVarName", "times").option("flattenCollectionTypes", "true").load(checkpoint)
+    return state.groupBy(F.col("key.hit_key").alias("hit_key")).agg(F.count(F.lit(1)).alias("held"))
+
+
+def live_keys_batch(hits: DataFrame, idle_s: float) -> DataFrame:
+    """T4 on a table: the keys that had a hit in the last ``idle_s``, as of the newest hit of all."""
+    last = hits.where("ts is not null").groupBy("hit_key").agg(F.max(F.unix_millis("ts")).alias("last"))
+    newest = last.agg(F.max("last").alias("newest"))  # one row
+    return last.crossJoin(F.broadcast(newest)).where(F.col("last") + round(idle_s * 1000) > F.col("newest")).select("hit_key")
+
+
+def admit(kept: list[int], now: int, window: int, most: int) -> tuple[list[int], bool, int, int]:
+    """One decision, in microseconds: the hits still inside the window, whether this one passes, what remains, when to retry (seconds).
 
     A hit that is turned away is not recorded.
     """
     kept = [t for t in kept if t > now - window]
     if len(kept) >= most:
-        return kept, False, 0, max(1, math.ceil(kept[0] + window - now))
+        return kept, False, 0, max(1, -(-(kept[0] + window - now) // SECOND))
     return [*kept, now], True, most - len(kept) - 1, 0
 
 
-def decided(kept: list[float], ts: pd.Timestamp, window: float, most: int) -> tuple[list[float], bool, int, int]:
-    """``admit`` for a hit's time; one without a time is turned away and changes nothing."""
-    return (kept, False, 0, 0) if pd.isna(ts) else admit(kept, ts.timestamp(), window, most)
+def decide(times: np.ndarray, kept: np.ndarray, window: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``admit`` for ascending times after the hits ``kept``: what passes, what remains, when to retry, and the hits that may still count.
+
+    The next hit that passes is the first one behind the last at which the oldest of the ``most`` latest has left the
+    window, so only hits that pass are stepped through, by binary search; those turned away between them are filled in at once.
+    """
+    passed, at, start = kept.tolist(), [], 0
+    while start < len(times):
+        if most <= 0:
+            break
+        if len(passed) >= most:
+            start = max(start, int(np.searchsorted(times, passed[-most] + window)))
+            if start >= len(times):
+                break
+        at.append(start)
+        passed.append(int(times[start]))
+        start += 1
+    ok = np.zeros(len(times), bool)
+    ok[at] = True
+    known = np.array(passed, np.int64)
+    before = len(kept) + np.cumsum(ok) - ok  # hits that passed before each
+    gone = np.searchsorted(known, times - window, side="right")  # of them no longer in the window
+    remaining = np.where(ok, most - (before - gone) - 1, 0)
+    oldest = known[np.clip(before - most, 0, max(len(known) - 1, 0))] if len(known) else times
+    retry = np.where(ok, 0, np.maximum(1, -(-(oldest + window - times) // SECOND)))
+    return ok, remaining, retry, known[max(0, len(known) - max(most, 0)) :]
 
 
 def admission_batch(hits: DataFrame, window_s: float, most: int) -> DataFrame:
     """T3 on a table: every hit decided in order of time.
 
-    Keys are dealt by hash and sorted, and a task passes over its rows in order with the times of
-    one key at hand, at most ``most``, so that a key's rows are never gathered. Hits without a time are
-    turned away.
+    Where a key pauses for longer than the window nothing is left to count, so its hits before and after are decided apart:
+    a span of the window's length without a hit is such a pause, and the spans that have hits are found by an
+    aggregate. So a busy key is spread over tasks by its pauses, and a task passes over its pieces in order with
+    the latest ``most`` times at hand. A key that never pauses is one piece, streamed through one task. Hits without a time are turned away.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = None, []
-        for frame in frames:
-            out = []
-            for key, event, ts in frame[["hit_key", "event_id", "ts"]].itertuples(index=False):
-                if key != now:
-                    now, kept = key, []
-                kept, ok, remaining, retry = decided(kept, ts, window_s, most)
-                out.append((key, event, ts, ok, remaining, retry))
-            yield pd.DataFrame(out, columns=["hit_key", "event_id", "ts", "ok", "remaining", "retry_after"])
-
-    ordered = hits.select("hit_key", "event_id", "ts").repartition("hit_key").sortWithinPartitions("hit_key", "ts", "event_id")
-    return ordered.mapInPandas(run, DECISION)
+    window = round(window_s * SECOND)
+    rows = hits.select("hit_key", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    dated = rows.where("us is not null").withColumn("span", F.expr(f"(us - pmod(us, {window})) div {window}"))
+    # a row for each key and span with hits, however many they are
+    key = Window.partitionBy("hit_key").orderBy("span")
+    spans = dated.select("hit_key", "span").distinct()
+    begins = F.coalesce((F.col("span") - F.lag("span").over(key) > 1).cast("int"), F.lit(0))
+    pieces = spans.withColumn("begins", begins).withColumn("piece", F.sum("begins").over(key)).select(F.col("hit_key").alias("own_key"), F.col("span").alias("own_span"), "piece")
+    placed = dated.join(pieces, F.col("hit_key").eqNullSafe(F.col("own_key")) & (F.col("span") == F.col("own_span")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, np.zeros(0, np.int64)
+        for batch in batches:
+            us = batch.column("us").to_numpy(zero_copy_only=False)
+            labels = list(zip(batch.column("hit_key").to_pylist(), batch.column("piece").to_pylist(), strict=True))
+            cuts = [0, *[i for i in range(1, len(labels)) if labels[i] != labels[i - 1]], len(labels)]
+            parts = []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if high > low:
+                    if labels[low] != last:
+                        last, kept = labels[low], np.zeros(0, np.int64)
+                    *found, kept = decide(us[low:high], kept, window, most)
+                    parts.append(found)
+            if parts:
+                ok, remaining, retry = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("hit_key"), batch.column("event_id"), batch.column("ts"), pa.array(ok), pa.array(remaining, pa.int32()), pa.array(retry, pa.int32())], ["hit_key", "event_id", "ts", "ok", "remaining", "retry_after"])
+
+    ordered = placed.select("hit_key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "us", "piece").repartition("hit_key", "piece").sortWithinPartitions("hit_key", "piece", "us", "event_id")
+    undated = rows.where("us is null").select("hit_key", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("ok"), F.lit(0).alias("remaining"), F.lit(0).alias("retry_after"))
+    return ordered.mapInArrow(run, DECISION).unionByName(undated)
 
 
 class _Admission(StatefulProcessor):
     """The admitted times of a key, which expire after an idle span."""
 
-    def __init__(self, window_s: float, most: int, idle_ms: int):
-        self.window_s, self.most, self.idle_ms = window_s, most, idle_ms
+    def __init__(self, window: int, most: int, idle_ms: int):
+        self.window, self.most, self.idle_ms = window, most, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "t double")
+        self.times = handle.getListState("times", "us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        kept, out = [t[0] for t in self.times.get()], []
-        for event, ts in frame[["event_id", "ts"]].itertuples(index=False):
-            kept, ok, remaining, retry = decided(kept, ts, self.window_s, self.most)
-            out.append((key[0], event, ts, ok, remaining, retry))
-        self.times.put([(t,) for t in kept])
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], na_position="last")
+        dated = frame["ts"].notna().to_numpy()
+        times = frame["ts"][dated].dt.as_unit("us").astype("int64").to_numpy()
+        *found, kept = decide(times, np.array([t[0] for t in self.times.get()], np.int64), self.window, self.most)
+        self.times.put([(int(t),) for t in kept])
+        out = pd.DataFrame({"hit_key": key[0], "event_id": frame["event_id"], "ts": frame["ts"], "ok": False, "remaining": 0, "retry_after": 0})
+        for name, values in zip(("ok", "remaining", "retry_after"), found, strict=True):
+            out.loc[dated, name] = values
         latest = frame["ts"].max()
         if not pd.isna(latest):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int(latest.timestamp() * 1000) + self.idle_ms)
-        yield pd.DataFrame(out, columns=["hit_key", "event_id", "ts", "ok", "remaining", "retry_after"])
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         self.times.clear()
@@ -160,7 +236,7 @@ def admission_stream(hits: DataFrame, window_s: float, most: int, idle_s: float,
     """T3 on a stream of ``hit_key, event_id, ts``, with state in RocksDB; rows come ordered inside a micro-batch."""
     source = hits.select("hit_key", "event_id", "ts").withWatermark("ts", late)
     return source.groupBy("hit_key").transformWithStateInPandas(
-        statefulProcessor=_Admission(window_s, most, int(max(idle_s, window_s) * 1000)),
+        statefulProcessor=_Admission(round(window_s * SECOND), most, int(max(idle_s, window_s) * 1000)),
         outputStructType=DECISION,
         outputMode="append",
         timeMode="EventTime",

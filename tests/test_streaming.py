@@ -1,6 +1,9 @@
 """Streams give what the same work on tables gives."""
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from noticeloom.streaming import jobs
@@ -22,19 +25,6 @@ def events(spark, n=4):
     return e.withColumn("part_no", F.least(F.lit(n - 1), ((F.col("ts").cast("double") - bounds.a) / (bounds.b - bounds.a) * n).cast("int")))
 
 
-def test_ingest(spark, tmp_path):
-    df = events(spark)
-    stream = landed(spark, tmp_path, df, 4, "ts")
-    run = lambda: jobs.ingest(stream, f"{tmp_path}/table", f"{tmp_path}/check", "hit_key", ["ts", "event_id"]).awaitTermination()
-    run()
-    got = spark.read.parquet(f"{tmp_path}/table")
-    want = df.groupBy("hit_key").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-    assert got.select("hit_key").distinct().count() == got.count() == want.count()
-    before = sorted(map(tuple, got.select("hit_key", "event_id").collect()))
-    run()  # nothing new has landed
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/table").select("hit_key", "event_id").collect())) == before
-
-
 def test_requests_once(spark, tmp_path):
     df = events(spark)
     once = jobs.requests_once(landed(spark, tmp_path, df, 4, "ts"), "hit_key", "ts", "4000 days")
@@ -47,11 +37,48 @@ def test_requests_once(spark, tmp_path):
 def test_admission_rule():
     kept, out = [], []
     for now in (0, 10, 20, 60):
-        kept, ok, _, retry = jobs.admit(kept, now, 60, 2)
+        kept, ok, _, retry = jobs.admit(kept, now * jobs.SECOND, 60 * jobs.SECOND, 2)
         out.append((ok, retry))
     assert out == [(True, 0), (True, 0), (False, 40), (True, 0)]
 
 
+def one_by_one(times, kept, window, most):
+    out = []
+    for t in times:
+        kept, *decision = jobs.admit(kept, t, window, most)
+        out.append(tuple(decision))
+    return out, kept
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 400), max_size=60), st.lists(st.integers(-60, 0), max_size=4), st.integers(1, 80), st.integers(1, 4), st.integers(0, 60))
+def test_decisions_at_once(times, kept, window, most, cut):
+    unit = 250_000
+    times, kept = sorted(t * unit for t in times), sorted(t * unit for t in kept)[-most:]
+    want, _ = one_by_one(times, kept, window * unit, most)
+    got, left = [], np.array(kept, np.int64)
+    for part in (times[:cut], times[cut:]):  # as batches come
+        *found, left = jobs.decide(np.array(part, np.int64), left, window * unit, most)
+        got += list(zip(*[x.tolist() for x in found], strict=True))
+    assert got == want
+
+
+def test_one_key_with_pauses(spark):
+    rng = np.random.default_rng(5)
+    seconds = np.cumsum(rng.choice([1, 2, 30, 200], size=4000, p=[0.5, 0.3, 0.15, 0.05]))
+    rows = [("k", i, int(s)) for i, s in enumerate(seconds)] + [(None, 9000 + i, i * 10) for i in range(20)]
+    hits = spark.createDataFrame(rows, "hit_key string, event_id long, s long").selectExpr("hit_key", "event_id", "timestamp_seconds(s) AS ts")
+    decided = jobs.admission_batch(hits, 60.0, 5)
+    want, _ = one_by_one([int(s) * jobs.SECOND for s in seconds], [], 60 * jobs.SECOND, 5)
+    assert {r.event_id: (r.ok, r.remaining, r.retry_after) for r in decided.where("hit_key = 'k'").collect()} == dict(enumerate(want))
+    assert decided.where("hit_key is null").count() == 20
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert jobs.admission_batch(hits.where("hit_key is not null"), 60.0, 5).select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_admission_without_times(spark):
     rows = [("a", 1, None), ("a", 2, 0), ("a", 3, 10), ("a", 4, None), ("b", 5, None)]
     hits = spark.createDataFrame(rows, "hit_key string, event_id long, s long").selectExpr("hit_key", "event_id", "timestamp_seconds(s) AS ts")
@@ -71,3 +98,22 @@ def test_admission(spark, tmp_path, files):
     query.awaitTermination()
     got = sorted(map(tuple, spark.table(f"hits{files}").collect()), key=str)
     assert got == want
+
+
+def test_in_flight_late_and_idle(spark, tmp_path):
+    jobs.use_rocksdb(spark)
+    rows = [("a", 1, 100), ("a", 2, 130), ("a", 3, 161), ("b", 4, 100), ("b", 5, None), ("c", 6, 1000), ("a", 7, 50), ("d", 8, 990)]
+    hits = spark.createDataFrame(rows, "hit_key string, event_id long, s long").selectExpr("hit_key", "event_id", "timestamp_seconds(s) AS ts")
+    table = {r.event_id: r.ok for r in jobs.in_flight(hits, 60.0).collect()}
+    assert table == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: True, 8: True}
+    late = 0
+    for ids in ((1, 2, 3, 4, 5), (6, 8), (7,)):  # the last comes behind the watermark
+        hits.where(F.col("event_id").isin(*ids)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.in_flight_stream(spark.readStream.schema(hits.schema).parquet(f"{tmp_path}/in"), 60.0)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+        late += jobs.late_requests(query)
+    got = {r.event_id: r.ok for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 8: True} and late == 1
+    live = sorted(r.hit_key for r in jobs.live_keys(spark, f"{tmp_path}/c").collect())
+    assert live == ["c", "d"] == sorted(r.hit_key for r in jobs.live_keys_batch(hits, 60.0).collect())
