@@ -110,17 +110,24 @@ def rare_values(reps: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def joined_lists(lists: DataFrame) -> DataFrame:
+    """``value, doc_id, n_shingles`` with lists of nearly the same members made one, their union.
+
+    Lists are joined if two MinHashes of their members agree, as those of a group of near copies mostly do: its
+    documents share dozens of values and would meet again in the list of each. Lists with little in common
+    agree in both hardly ever, and equal ones always. A list with one member has nobody to meet.
+    """
+    least = [F.min(F.xxhash64(F.lit(key), F.col("doc_id"))).alias(key) for key in ("one", "two")]
+    each = lists.groupBy("value").agg(F.count("*").alias("n"), *least).where("n > 1")
+    heads = each.groupBy("one", "two").agg(F.min("value").alias("head"))
+    named = cut(each.select("value", "one", "two").join(heads, ["one", "two"]).select("value", "head"))
+    return lists.join(named, "value").select(F.col("head").alias("value"), "doc_id", "n_shingles").distinct()
+
+
 def list_sizes(lists: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``value, n, chunks`` of the lists that are compared: of lists with the same members one is kept."""
-    member = [F.xxhash64(F.lit(key), F.col("doc_id")) for key in ("one", "two")]
-    return (
-        lists.groupBy("value")
-        .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), *[F.bit_xor(m).alias(f"members{i}") for i, m in enumerate(member)])
-        .where("n > 1")
-        .groupBy("n", "weight", "members0", "members1")
-        .agg(F.min("value").alias("value"))
-        .select("value", "n", _chunks(F.col("n"), F.col("weight"), block_docs, block_shingles).alias("chunks"))
-    )
+    """``value, n, chunks`` of the lists that are compared."""
+    sizes = lists.groupBy("value").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+    return sizes.select("value", "n", _chunks(F.col("n"), F.col("weight"), block_docs, block_shingles).alias("chunks"))
 
 
 def _chunks(n: Column, weight: Column, block_docs: int, block_shingles: int) -> Column:
@@ -329,6 +336,7 @@ def verified_links(rows: DataFrame, lists: DataFrame, num: int, den: int, k: int
     whose documents are all connected by then needs no more; the others are compared whole in one block,
     or, if longer, across the components found. Nothing is left out: what is not compared is connected.
     """
+    lists = cut(joined_lists(lists))
     sizes = cut(list_sizes(lists, block_docs, block_shingles))
     held = cut(lists.join(sizes, "value"))
     first = cut(longest_lists(held))
