@@ -19,6 +19,8 @@ from noticeloom.llm.tokenlengths import balanced
 
 #: Characters handled at once, and words whose tokens a worker remembers.
 BATCH_CHARS, MEMO = 1 << 19, 100_000
+#: Longer words are not remembered.
+MEMO_CHARS = 64
 #: Characters from which a word is merged by itself: a round goes over all of a word for one merge, which adds up.
 LONG_WORD = 512
 NO_RANK = np.int64(1) << 40
@@ -164,9 +166,10 @@ class WordBpe:
             if len(self.memo) > MEMO:
                 self.memo.clear()
             memo = self.memo
-            memo.update(self.learn({w for words in cut for w in words if w not in memo}))
+            new = self.learn({w for words in cut for w in words if w not in memo})
+            memo.update((w, own) for w, own in new.items() if len(w) <= MEMO_CHARS)  # some 60 MB at most
             for words in cut:
-                got = [memo[w] for w in words]
+                got = [memo[w] if w in memo else new[w] for w in words]
                 yield sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
 
 

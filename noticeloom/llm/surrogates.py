@@ -32,7 +32,9 @@ TITLES = {
 }
 _NAME = r"[^\W\d_a-zß-ÿа-яё][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 PERSON = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})")
-EMAIL = re.compile(r"[A-Za-z0-9_%+'-]+(?:\.[A-Za-z0-9_%+'-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+#: What may stand before an ``@``, dots besides, and the domain behind it.
+LOCAL = frozenset(string.ascii_letters + string.digits + "_%+'-.")
+DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{5,}[^\s\"',;.])")
 #: In order of precedence where they overlap.
 NUMERIC = (
@@ -50,6 +52,21 @@ OWNER = re.compile(r"['’][sS]$")
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnprstvz"
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Where e-mail addresses stand: from each ``@`` back over its local part, whose parts between dots are not empty, and on over its domain."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        local = text[start:at]
+        start += local.rfind("..") + 2 if ".." in local else local.startswith(".")
+        if start < at and not local.endswith(".") and (domain := DOMAIN.match(text, at + 1)):
+            end = domain.end()
+            yield start, end
+        at = text.find("@", at + 1)
+
+
 def _luhn(digits: str) -> int:
     """The check digit that makes ``digits`` valid."""
     total = 0
@@ -86,8 +103,7 @@ def detect(text: str | None) -> list[Span]:
     if not text:
         return []
     found: list[Span] = []
-    if "@" in text:
-        found += [Span(m.start(), m.end(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
+    found += [Span(a, b, "email", text[a:b].lower()) for a, b in addresses(text)]
     found += [Span(m.start(1), m.end(1), "secret", m.group(1)) for m in SECRET.finditer(text)] if "=" in text or ":" in text else []
     if re.search(r"\d", text):
         for kind, pattern in NUMERIC:
@@ -110,11 +126,11 @@ def detect(text: str | None) -> list[Span]:
                     given.setdefault(name.lower(), set()).add(gender)
                 found.append(Span(at, at + len(name), "surname" if i == len(parts) - 1 else "given", name.lower()))
     order = {k: i for i, k in enumerate(("email", "secret", *(k for k, _ in NUMERIC)))}
-    taken: list[Span] = []
+    taken: list[Span] = []  # in order and apart, so that only neighbours can overlap a new one
     for s in sorted(found, key=lambda s: (order.get(s.kind, 99), s.start)):
-        if all(s.stop <= t.start or s.start >= t.stop for t in taken):
-            taken.append(s)
-    taken.sort()
+        i = bisect_right(taken, s.start, key=lambda t: t.start)
+        if (i == 0 or taken[i - 1].stop <= s.start) and (i == len(taken) or s.stop <= taken[i].start):
+            taken.insert(i, s)
     if surnames or given:
         taken = sorted(taken + _bare(text, taken, surnames, given))
     return [s._replace(kind=f"given_{one_gender(given[s.canon])}") if s.kind == "given" else s for s in taken]

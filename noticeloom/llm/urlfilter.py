@@ -30,8 +30,8 @@ CANONICAL = (
 )
 REFRESH = r"<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*\burl=[\"']?([^\"'>\s]+)"
 
-#: Comments, scripts and styles, which hold no links, or a tag with its attributes; quotes count after ``=`` only.
-TAGS = re.compile(r"""(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1|\Z)|<(link|meta|base)(?=[\s/>])((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""")
+#: Comments, scripts and styles, which hold no links, or a tag with its attributes, closed or not; quotes count after ``=`` only.
+TAGS = re.compile(r"""(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1|\Z)|<(link|meta|base)(?=[\s/>])((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)(>|\Z)""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 ENTITY = re.compile(r"&(?:#(\d+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*))(;|(?![=A-Za-z0-9]))")
 RELOAD = re.compile(r"""(?is)^\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""")
@@ -78,7 +78,7 @@ def page_aliases(url: str, html: str) -> list[str]:
     """The addresses that all canonical links and refresh redirects of a page name, seen from its ``<base>``."""
     base, found = None, []
     for m in TAGS.finditer(html):
-        if not m.group(2):
+        if not m.group(2) or not m.group(4):  # no tag, or one that swallows the rest of the page
             continue
         tag, has = m.group(2).lower(), {}
         for a in ATTRIBUTE.finditer(m.group(3)):

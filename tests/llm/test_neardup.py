@@ -7,7 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from noticeloom.llm import shingles
+from noticeloom.llm import neardup, shingles
 from noticeloom.llm.neardup import near_duplicates
 
 
@@ -144,3 +144,30 @@ def test_long_chains(spark):
     edges = spark.range(306).selectExpr("id * 7 % 307 AS src", "(id + 1) * 7 % 307 AS dst").repartition(4)
     got = connected_components(edges).collect()
     assert len(got) == 307 and {r.component for r in got} == {0}
+
+
+def test_groups_around_the_threshold(spark, monkeypatch):
+    """Copies of one text that are about as like as the threshold: all links are found, and a document is not compared once for each shared value."""
+    rng = random.Random(6)
+    base = [f"word{i}" for i in range(120)]
+    texts = []
+    for _ in range(600):
+        own = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 1, 2, 2, 3])):
+            own[at] = f"x{rng.random()}"
+        texts.append(" ".join(own))
+    seats = []
+    placed = neardup.placed_links
+    monkeypatch.setattr(neardup, "placed_links", lambda rows, s, *rest: seats.append(s.count()) or placed(rows, s, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 85, 100).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(600))
+    for i in range(600):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if up[i] != up[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    assert got == dict(enumerate(up))
+    assert sum(seats) <= 25 * 600

@@ -1,9 +1,11 @@
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from noticeloom.llm import surrogates as sg
-from noticeloom.llm.surrogates import detect, pseudonymize, replaced
+from noticeloom.llm.surrogates import addresses, detect, pseudonymize, replaced
 
 TEXT = (
     "Mail Ann.Lee42@Mail8.example.com or ann.lee42@mail8.example.com, call +1 (988) 555-2485 or 1-988-555-2485. "
@@ -167,3 +169,19 @@ def test_one_namespace_for_names(spark):
     finally:
         sg.with_surrogates = real
     assert len(rows) == 120 == len({r.chosen for r in rows})
+
+
+def test_addresses_as_by_pattern():
+    pattern = re.compile(r"[A-Za-z0-9_%+'-]+(?:\.[A-Za-z0-9_%+'-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choices("ab.@-_ ", [3, 2, 3, 2, 1, 1, 1], k=rng.randrange(1, 30)))
+        assert list(addresses(text)) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_long_single_texts():
+    began = time.perf_counter()
+    many = " ".join(f"u{i}@mail.example.com" for i in range(100_000))
+    assert len(detect(many)) == 100_000
+    assert detect("x" * 1_000_000 + " a@b.org " + "y." * 200_000)[0].kind == "email"
+    assert time.perf_counter() - began < 10

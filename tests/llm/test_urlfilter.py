@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from noticeloom.llm.urlfilter import filter_urls, page_aliases, resolved
@@ -42,3 +44,10 @@ def test_relative_aliases_carry_blocks(spark):
     ]
     got = {r.page_id: (r.verdict, r.via) for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: ("block", "alias") for i in (1, 2, 3)} | {i: ("allow", "default") for i in (4, 5, 6)}
+
+
+def test_unclosed_tags_are_passed_once():
+    began = time.perf_counter()
+    assert page_aliases("https://a.org/", "<link " * 100_000) == []
+    assert page_aliases("https://a.org/", '<link rel=canonical href="/x">' + "<meta " * 100_000) == ["https://a.org/x"]
+    assert time.perf_counter() - began < 3
