@@ -42,13 +42,13 @@ def candidate_class(rows: DataFrame, stored: DataFrame, key: str, position: str)
     return rows.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(some)).withColumn("candidate_class", kind).drop("first_stored", "some")
 
 
-def assign_orders(candidates: DataFrame, bounds: DataFrame, position: str, base: int) -> DataFrame:
+def assign_orders(candidates: DataFrame, bounds: DataFrame, position: str, base: int, large: int = 0) -> DataFrame:
     """Sort orders: fresh ones fall from the base, newer ones end just above the largest, backfill goes below the smallest.
 
-    A class may be as large as the table: it is ranked by ranges, not in one task.
+    A class may be as large as the table: one of more than ``large`` rows is ranked by ranges, not in one task.
     """
     sizes = candidates.groupBy(F.col("candidate_class").alias("class_")).agg(F.count("*").alias("class_n"))
-    ranked = summed_within(candidates, "candidate_class", [position], "class_rank")
+    ranked = summed_within(candidates, "candidate_class", [position], "class_rank", large=large) if large else global_rank(candidates, [position], "class_rank", within=["candidate_class"])
     ranked = ranked.join(F.broadcast(sizes), F.col("candidate_class").eqNullSafe(F.col("class_")))
     i, n = F.col("class_rank") - 1, F.col("class_n")
     order = F.when(F.col("candidate_class") == "fresh", base - i).when(F.col("candidate_class") == "newer", F.col("max_order") + n - i).otherwise(F.col("min_order") - 1 - i)

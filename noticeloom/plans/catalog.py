@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from noticeloom.functions import text as tx
 from noticeloom.functions import values as vl
 from noticeloom.operators import aggregates as ag
 from noticeloom.operators import announcements as ann
+from noticeloom.operators import documents as dc
 from noticeloom.operators import filters as fl
 from noticeloom.operators import joins as jn
 from noticeloom.operators import localize as lc
@@ -632,6 +634,102 @@ def p27(spark, d):
     return out.select("p_partkey", F.size("content").alias("n_sections"), F.sha2(F.to_json("content"), 256).alias("content_hash"))
 
 
+def _notice_facts(spark, d) -> DataFrame:
+    """A notice a product, with links, contacts and a table in several combinations."""
+    key = F.col("p_partkey")
+    url = lambda text: F.concat(F.lit(text), key)
+    rows = view(spark, d, "v_products")
+    table = F.array(F.struct(F.array(F.lit("UPC"), F.lit("Lot & more")).alias("headers"), F.array(F.array(key.cast("string"), F.lit("<7>")), F.array(F.lit(""), F.lit(" ")), F.array(F.lit("x"))).alias("rows")))
+    return rows.withColumns(
+        {
+            "companyName": F.lit("Acme & Co"),
+            "brandName": F.when(key % 5 == 0, "").otherwise(F.col("brandName")),
+            "reason": F.when(key % 2 == 0, "Undeclared  <milk>"),
+            "detailUrl": url("https://fda.gov/n/"),
+            "lotCheckUrl": F.when(key % 3 == 0, url("https://acme.com/lot/")),
+            "reportingUrls": F.when(key % 4 == 0, F.array(url("https://www.fda.gov/medwatch/"), F.lit("https://safetyreporting.hhs.gov/x"), url("https://www.fda.gov/medwatch/"))),
+            "consumerWebsite": F.when(key % 4 == 0, url("https://www.fda.gov/medwatch/")).when(key % 4 == 1, F.lit("https://acme.com/help")),
+            "companyWebsite": F.when(key % 3 == 0, F.lit("https://acme.com/help")).when(key % 3 == 1, F.lit("https://acme.com")),
+            "consumers": F.struct(F.when(key % 2 == 0, "Acme  Care").alias("organization"), F.when(key % 3 == 0, "1-800-555-0100").alias("phone"), F.lit(None).cast("string").alias("email")),
+            "media": F.when(key % 7 == 0, F.struct(F.lit("Jo").alias("name"), F.lit("").alias("role"), F.lit("jo@acme.com").alias("email"), F.lit(None).cast("string").alias("phone"))),
+            "aboutCompanyText": F.when(key % 6 == 0, "About Acme"),
+            "regulatedProducts": F.when(key % 2 == 1, F.array(F.lit("Food"), F.col("productType"), F.lit(" "))),
+            "tables": F.when(key % 3 == 1, table),
+        }
+    )
+
+
+def _sql_anchor(url: str, word: str) -> str:
+    return f"'<a href=' || chr(39) || {url} || chr(39) || ' target=' || chr(39) || '_blank' || chr(39) || ' rel=' || chr(39) || 'noopener noreferrer' || chr(39) || '>{word}</a>.'"
+
+
+_NOTICES = f"""
+n AS (SELECT p_partkey AS k, productDescription AS product, productType AS kind, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE brandName END AS brand, CASE WHEN p_partkey % 2 = 0 THEN 'Undeclared <milk>' ELSE '' END AS reason FROM v_products),
+c AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'https://www.fda.gov/medwatch/' || k WHEN k % 4 = 1 THEN 'https://acme.com/help' ELSE '' END AS consumer, CASE WHEN k % 3 = 0 THEN 'https://acme.com/help' WHEN k % 3 = 1 THEN 'https://acme.com' ELSE '' END AS site,
+       concat_ws(chr(10), CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 'Consumer support: ' || concat_ws(' | ', CASE WHEN k % 2 = 0 THEN 'Acme Care' END, CASE WHEN k % 3 = 0 THEN '1-800-555-0100' END) END, CASE WHEN k % 7 = 0 THEN 'Media contact: Jo | jo@acme.com' END) AS contact FROM n),
+l AS (SELECT *, concat_ws(chr(10), 'Read the official FDA recall notice ' || {_sql_anchor("'https://fda.gov/n/' || k", "on the FDA website")},
+       CASE WHEN k % 3 = 0 THEN 'Check lot or replacement information ' || {_sql_anchor("'https://acme.com/lot/' || k", "on the company support page")} END,
+       CASE WHEN k % 4 = 0 THEN 'Report an adverse event through FDA MedWatch ' || {_sql_anchor("consumer", "here")} || chr(10) || 'Report an adverse event through the FDA Safety Reporting Portal ' || {_sql_anchor("'https://safetyreporting.hhs.gov/x'", "here")} END,
+       CASE WHEN k % 4 = 1 THEN 'Review consumer support information ' || {_sql_anchor("consumer", "here")} END,
+       CASE WHEN site <> '' AND site <> consumer THEN 'Visit the company website for product details ' || {_sql_anchor("site", "here")} END) AS links FROM c)"""
+
+
+@query(
+    "P26_links_and_contacts",
+    f"""WITH {_NOTICES}
+SELECT k AS p_partkey, links, contact AS contact_text, concat_ws('|', 'FDA recall', '2024 FDA recall', 'Acme & Co', nullif(brand, ''), product, kind, nullif(reason, ''), CASE WHEN k % 2 = 1 THEN 'Food' END) AS keywords FROM l""",
+)
+def p26_links(spark, d):
+    """P26's links, contacts and keywords, whole."""
+    rows = _notice_facts(spark, d)
+    out = dc.contact_text(dc.authority_links(rows.withColumn("words", dc.keywords(rows, F.lit("2024")))))
+    return out.select("p_partkey", F.array_join("authorityLinks", "\n").alias("links"), F.col("contactText").alias("contact_text"), F.array_join("words", "|").alias("keywords"))
+
+
+def _sql_filled(template: str, **values: str) -> str:
+    text = template.replace("'", "' || chr(39) || '")
+    return re.sub(r"\{(\w+)\}", lambda m: f"' || {values[m[1]]} || '", f"'{text}'")
+
+
+_FACTS = {"entity": "entity", "product": "product", "reason": "because", "date": "'2024-03-01'", "contact": "CASE WHEN contact = '' THEN '' ELSE ' ' || contact END"}
+_TABLE = "CASE WHEN k % 3 = 1 THEN chr(10) || '<table><thead><tr><th>UPC</th><th>Lot &amp; more</th></tr></thead><tbody><tr><td>' || k || '</td><td>&lt;7&gt;</td></tr><tr><td>x</td><td></td></tr></tbody></table>' ELSE '' END"
+_SAID = {
+    "Quick Answer": _sql_filled(dc.ANSWER, **_FACTS),
+    "Recall Summary": f"{_sql_filled(dc.SUMMARY, **_FACTS)} || {_TABLE}",
+    "How to Identify the Recalled Product": _sql_filled(dc.ADVICE["identify"]),
+    "What You Should Do": _sql_filled(dc.ADVICE["do"], **_FACTS),
+    "Risk Overview": _sql_filled(dc.ADVICE["risk"]),
+    "Who May Be Affected": _sql_filled(dc.ADVICE["who"], **_FACTS),
+    "Health and Safety Context": _sql_filled(dc.ADVICE["health"]),
+    "Company Contact Information": "contact",
+    "About the Company": "CASE WHEN k % 6 = 0 THEN 'About Acme' ELSE '' END",
+    "Source and Verification": _sql_filled(dc.ADVICE["source"]),
+}
+_FACTS_JSON = """'{"company":"Acme & Co"' || CASE WHEN brand = '' THEN '' ELSE ',"brand":"' || brand || '"' END || ',"product":"' || product || '","productType":"' || kind || '"' || CASE WHEN reason = '' THEN '' ELSE ',"reason":"' || reason || '"' END
+|| CASE WHEN k % 3 = 1 THEN ',"affectedProductTables":[{"headers":["UPC","Lot & more"],"rows":[["' || k || '","<7>"],[""," "],["x"]]}]' ELSE '' END || '}'"""
+_ANSWERS = " || chr(10) || ".join(_sql_filled(a, **{**_FACTS, "reason": "plain_because"}) for _, a in dc.FAQ)
+
+
+def _sql_section(i: int, subtitle: str) -> str:
+    only = lambda name, value: value if subtitle == name else "''"
+    return f"SELECT k, {i} AS place, '{subtitle}' AS subtitle, {_SAID.get(subtitle, chr(39) * 2)} AS text, {only('What Was Recalled', _FACTS_JSON)} AS facts, {only('Frequently Asked Questions', _ANSWERS)} AS answers, {only('Source and Verification', 'links')} AS links FROM e"
+
+
+@query(
+    "P27_sections",
+    f"""WITH {_NOTICES},
+e AS (SELECT *, CASE WHEN brand = '' THEN 'Acme &amp; Co' ELSE brand END AS entity, CASE WHEN reason = '' THEN '{dc.UNKNOWN["reason"]}' ELSE 'Undeclared &lt;milk&gt;' END AS because, CASE WHEN reason = '' THEN '{dc.UNKNOWN["reason"]}' ELSE reason END AS plain_because FROM l),
+s AS ({" UNION ALL ".join(_sql_section(i, t) for i, t in enumerate(dc.SUBTITLES))})
+SELECT k AS p_partkey, CAST(row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS INTEGER) AS pos, subtitle, text, facts, answers, links FROM s WHERE text <> '' OR facts <> '' OR answers <> '' OR links <> ''""",
+)
+def p27_sections(spark, d):
+    """P27 whole: a row per section of every document."""
+    out = dc.document_sections(_notice_facts(spark, d), F.lit("2024-03-01")).select("p_partkey", F.posexplode("content").alias("pos", "s"))
+    own = lambda f: F.coalesce(F.col(f"s.{f}"), F.lit(""))
+    answers = F.coalesce(F.array_join(F.transform("s.faq", lambda x: x["answer"]), "\n"), F.lit(""))
+    return out.select("p_partkey", "pos", own("subtitle").alias("subtitle"), own("text").alias("text"), own("facts").alias("facts"), answers.alias("answers"), F.coalesce(F.array_join("s.authorityLinks", "\n"), F.lit("")).alias("links"))
+
+
 @query(
     "P28_pruned",
     f"SELECT doc_id, nullif({sq('split_part(text, chr(10), 1)')}, '') AS first_line, CASE WHEN doc_id % 2 = 0 THEN lang || ',x' ELSE 'x' END AS tags, CASE WHEN doc_id % 2 = 0 THEN source END AS inner_source FROM documents",
@@ -1324,3 +1422,12 @@ FROM u""",
 def c14(spark, d):
     t = F.col("text")
     return view(spark, d, "documents").select("doc_id", tx.cut_ellipsis(t).alias("ellipsis"), tx.cut_sentence(t).alias("sentence"), tx.cut_word(t).alias("word"), tx.cut_hard(t, 60).alias("hard"))
+
+
+# Whole tables: the SQL of the slices without their cuts
+for _whole, _slice, _cut in (
+    ("W4_all_sort_orders", "W4_sort_orders", " ORDER BY o_orderkey LIMIT 2000"),
+    ("Q8_all_newest_first", "Q8_newest_first", " LIMIT 100"),
+    ("J4_campaigns_of_all_vehicles", "J4_campaigns_of_vehicles", " WHERE l_quantity < 3"),
+):
+    SQL[_whole] = SQL[_slice].replace(_cut, "")

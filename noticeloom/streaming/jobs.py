@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from noticeloom.functions.values import notice_hash, notice_url
 from noticeloom.operators.joins import matching
-from noticeloom.operators.ordering import assign_orders, first_of_hash, summed_within, unique_slugs
+from noticeloom.operators.ordering import LARGE_GROUP, assign_orders, first_of_hash, summed_within, unique_slugs
 from noticeloom.session import written
 from noticeloom.sources.versions import Snapshot, Store
 
@@ -57,7 +57,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: Store, run_ts: Column |
     new = first_of_hash(new, "hash", [F.col("position")])
     kind = F.lit("fresh") if not some else F.lit("newer") if first_known is None else F.when(F.col("position") < first_known, "newer").otherwise("backfill")
     bounds = spark.createDataFrame([(numbers.get("min_order", first_order + 1), numbers.get("max_order", first_order))], "min_order long, max_order long")
-    ordered = written(assign_orders(new.withColumn("candidate_class", kind), bounds, "position", first_order))
+    ordered = written(assign_orders(new.withColumn("candidate_class", kind), bounds, "position", first_order, LARGE_GROUP))
     slugs = unique_slugs(ordered, "base", "position", "hash", store.read("slugs", since) if some else None)
     named = ordered.join(slugs.withColumnRenamed("row_id", "hash"), "hash")
     folder = F.concat_ws("-", F.col("sortOrder").cast("string"), "slug")
