@@ -113,6 +113,7 @@ def list_items(df: DataFrame, summary_chars: int = 280) -> DataFrame:
     none = F.lit(None).cast("string")
     col = lambda c: F.col(c).cast("string") if c in have else none
     array_first = lambda c, f: F.try_element_at(c, F.lit(1))[f] if c in have else none
+    slugs = F.get(F.filter(F.transform("categorySlugs", lambda x: F.btrim(x)), lambda x: x != ""), F.lit(0)) if "categorySlugs" in have else none
     slug = F.coalesce(present_text(col("slug")), present_text(F.col("seo.slug") if "seo" in have else none))
     title = F.coalesce(present_text(col("Title")), F.replace(slug, F.lit("-"), F.lit(" ")))
     return df.where(slug.isNotNull()).select(
@@ -124,7 +125,7 @@ def list_items(df: DataFrame, summary_chars: int = 280) -> DataFrame:
         first_text(F.btrim(array_first("Products", "Name")), F.btrim(col("brand"))).alias("brand"),
         present_text(array_first("Images", "URL")).alias("imageUrl"),
         first_text(F.btrim(col("RecallNumber"))).alias("recallNumber"),
-        first_text(F.btrim(col("categoryKey")), F.btrim(col("primaryCategorySlug"))).alias("categoryKey"),
+        first_text(F.btrim(col("categoryKey")), F.btrim(col("primaryCategorySlug")), slugs).alias("categoryKey"),
     )
 
 

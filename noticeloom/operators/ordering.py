@@ -42,6 +42,13 @@ def candidate_class(rows: DataFrame, stored: DataFrame, key: str, position: str)
     return rows.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(some)).withColumn("candidate_class", kind).drop("first_stored", "some")
 
 
+def dated_class(rows: DataFrame, stored: DataFrame, date: str) -> DataFrame:
+    """W3 for sources that list by date: ``newer`` if after the newest stored, ``fresh`` if nothing is stored, else ``backfill``; undated rows are backfill."""
+    newest = stored.agg(F.max(date).alias("newest"), (F.count(F.lit(1)) > 0).alias("some"))
+    kind = F.when(~F.col("some"), "fresh").when(F.col("newest").isNull() & F.col(date).isNotNull(), "newer").when(F.col(date) > F.col("newest"), "newer").otherwise("backfill")
+    return rows.crossJoin(F.broadcast(newest)).withColumn("candidate_class", kind).drop("newest", "some")  # one row
+
+
 def assign_orders(candidates: DataFrame, bounds: DataFrame, position: str, base: int, large: int = 0) -> DataFrame:
     """Sort orders: fresh ones fall from the base, newer ones end just above the largest, backfill goes below the smallest.
 

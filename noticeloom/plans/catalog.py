@@ -1424,6 +1424,115 @@ def c14(spark, d):
     return view(spark, d, "documents").select("doc_id", tx.cut_ellipsis(t).alias("ellipsis"), tx.cut_sentence(t).alias("sentence"), tx.cut_word(t).alias("word"), tx.cut_hard(t, 60).alias("hard"))
 
 
+# Serving, whole
+
+
+def _served(spark, d) -> DataFrame:
+    """Products as served records, in three states of translation."""
+    key = F.col("p_partkey")
+    return _localized(spark, d).join(view(spark, d, "part").select(F.concat(F.lit("p-"), key).alias("slug"), F.date_format(F.expr("date '2020-01-01' + cast(p_partkey % 900 as int)"), "yyyyMMdd").alias("report_date"), F.element_at(F.array(*map(F.lit, fl.CATEGORIES)), (key % 4 + 1).cast("int")).alias("browseCategory")), "slug")
+
+
+@query(
+    "Q1_localized_page",
+    """
+WITH f AS (SELECT p_partkey AS k, 'p-' || p_partkey AS slug, strftime(DATE '2020-01-01' + CAST(p_partkey % 900 AS INTEGER), '%Y%m%d') AS report_date, p_name, p_type, p_brand FROM part WHERE p_partkey % 4 = 1 AND (contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') OR contains('p-' || p_partkey, 'ring'))),
+h AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 8.0) AS BIGINT)) AS pages FROM f),
+p AS (SELECT * FROM f ORDER BY report_date DESC, slug LIMIT 8 OFFSET 8)
+SELECT total, 2 AS page, 8 AS limit, pages AS "totalPages", slug, report_date, CASE k % 3 WHEN 0 THEN 'fr ' WHEN 1 THEN 'en ' ELSE '' END || p_name AS title,
+       p_type AS "productType", CASE k % 3 WHEN 0 THEN 'fr ' || p_type WHEN 1 THEN 'en ' || p_type ELSE 'plain' END AS "productDescription", p_brand AS "brandName"
+FROM h LEFT JOIN p ON true""",
+)
+def q1_localized(spark, d):
+    """Q1 whole: header and localised rows."""
+    out = ls.localized_list_page(_served(spark, d), "fr", "ring", "food", 2, 8)
+    return out.select("total", "page", "limit", "totalPages", "slug", "report_date", "title", "productType", "productDescription", "brandName")
+
+
+def _detailed(spark, d) -> DataFrame:
+    """The served records with sections, in French for a third; every fifth says more in its facts."""
+    key = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+
+    def section(subtitle: str, text: Column | None = None, facts: bool = False) -> Column:
+        said = F.to_json(F.struct(F.lit("Maker").alias("company"), F.when(key % 5 == 0, "Fact brand").alias("brand"), F.lit("").alias("productType"))) if facts else none
+        return F.struct(F.lit(subtitle).alias("subtitle"), (none if text is None else text).alias("text"), said.alias("facts"))
+
+    english = F.array(section("Recall Summary", F.col("p_name")), section("What Was Recalled", facts=True), section("Reason for Recall", F.lit("why")), section("Official Source", F.lit("fda")))
+    french = F.array(section("Bilan", F.col("p_name")), section("Produit", facts=True), section("Motif", F.lit("pourquoi")), section("Source officielle", F.lit("fda")))
+    slice_ = lambda tag, content: F.struct(F.concat(F.lit(tag), "p_name").alias("title"), none.alias("brandName"), none.alias("productDescription"), F.lit(tag).alias("productType"), F.lit("").alias("reason"), content.alias("content"))
+    languages = F.when(key % 3 == 0, F.create_map(F.lit("en"), slice_("en ", english), F.lit("fr"), slice_("fr ", french))).when(key % 3 == 1, F.create_map(F.lit("en"), slice_("en ", english)))
+    p = view(spark, d, "part")
+    return p.select(F.concat(F.lit("p-"), key).alias("slug"), F.col("p_name").alias("title"), F.col("p_brand").alias("brandName"), F.col("p_type").alias("productDescription"), F.lit("Own maker").alias("companyName"), F.lit("own reason").alias("reason"), F.when(key % 3 == 2, F.slice(english, 1, 2)).alias("content"), languages.alias("languages"))
+
+
+@query(
+    "Q11_detail_records",
+    """
+SELECT 'p-' || p_partkey AS slug, CASE p_partkey % 3 WHEN 0 THEN 'fr ' WHEN 1 THEN 'en ' ELSE '' END || p_name AS title, 'Maker' AS company, CASE WHEN p_partkey % 5 = 0 THEN 'Fact brand' ELSE p_brand END AS brand, p_type AS product,
+       CASE p_partkey % 3 WHEN 0 THEN 'fr ' WHEN 1 THEN 'en ' ELSE '' END AS "productType", 'own reason' AS reason, CASE p_partkey % 3 WHEN 0 THEN 'Produit' ELSE 'What Was Recalled' END AS what, CASE p_partkey % 3 WHEN 0 THEN 'Source officielle' WHEN 1 THEN 'Official Source' ELSE '' END AS source,
+       CASE p_partkey % 3 WHEN 0 THEN 'Bilan' ELSE 'Recall Summary' END AS main FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""",
+)
+def q11_records(spark, d):
+    """Q11 whole: localised fields, sections told apart, facts first."""
+    keys = view(spark, d, "lineitem").select(F.concat(F.lit("p-"), F.col("l_partkey")).alias("slug"))
+    out = ls.detail_record(_detailed(spark, d), keys, "fr")
+    named = lambda c: F.coalesce(F.col(c)["subtitle"], F.lit(""))
+    main = F.array_join(F.transform("main_sections", lambda s: s["subtitle"]), "|")
+    return out.select("slug", "title", "company", "brand", "product", "productType", "reason", named("what_was_recalled").alias("what"), named("official_source").alias("source"), main.alias("main"))
+
+
+@query(
+    "Q13_sitemap_entries",
+    f"""
+WITH s AS (
+  SELECT 0 AS source, k AS key, '{md.BASE}' || p AS url, pr AS priority FROM (VALUES ('0', '', 1.0::DOUBLE), ('1', '/about', 0.85::DOUBLE), ('2', '/recalls', 0.85::DOUBLE), ('3', '/cars', 0.85::DOUBLE)) v(k, p, pr)
+  UNION ALL SELECT 1, c_name, '{md.BASE}/recalls/' || replace(c_name, '#', '%23'), 0.8::DOUBLE FROM customer
+  UNION ALL SELECT 2, s_name, '{md.BASE}/recalls/vehicle/' || replace(s_name, '#', '%23'), 0.7::DOUBLE FROM supplier
+  UNION ALL SELECT 3, p_name, '{md.BASE}/general-recalls/' || replace(p_name, ' ', '%20'), 0.72::DOUBLE FROM part),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY source, key) = 1)
+SELECT row_number() OVER (ORDER BY source, key) AS position, url, priority FROM f""",
+)
+def q13_entries(spark, d):
+    """Q13 whole: the four fixed pages, every key in order, with its position."""
+    now = F.lit(RUN_TS).cast("timestamp")
+    keyed = lambda t, c: ag.last_modified(view(spark, d, t).select(F.col(c).alias("key")), "key", [], now)
+    sources = [(keyed("customer", "c_name"), "key", "/recalls/", 0.8), (keyed("supplier", "s_name"), "key", "/recalls/vehicle/", 0.7), (keyed("part", "p_name"), "key", "/general-recalls/", 0.72)]
+    return ls.sitemap_entries(sources, [("", 1.0), ("/about", 0.85), ("/recalls", 0.85), ("/cars", 0.85)], now).select("position", "url", "priority")
+
+
+@query("W3_dated_class", "SELECT RecallID, CASE WHEN RecallDate > (SELECT max(RecallDate) FROM v_general WHERE RecallID % 4 = 0 AND RecallID % 840 < 500) THEN 'newer' ELSE 'backfill' END AS candidate_class FROM v_general WHERE RecallID % 4 <> 0")
+def w3_dated(spark, d):
+    rows = view(spark, d, "v_general").select("RecallID", "RecallDate")
+    return od.dated_class(rows.where("RecallID % 4 <> 0"), rows.where("RecallID % 4 = 0 AND RecallID % 840 < 500"), "RecallDate").select("RecallID", "candidate_class")
+
+
+@query("P15_category_keys", "SELECT slug, CASE RecallID % 4 WHEN 0 THEN brand WHEN 1 THEN 'main' WHEN 2 THEN 'first-' || RecallID ELSE '' END AS \"categoryKey\" FROM v_general")
+def p15_keys(spark, d):
+    """P15's category key: that of the source, else the primary one, else the first of the record's own."""
+    k = F.col("RecallID") % 4
+    rows = view(spark, d, "v_general").withColumns({"categoryKey": F.when(k == 0, F.col("brand")).otherwise(" "), "primaryCategorySlug": F.when(k == 1, " main "), "categorySlugs": F.when(k < 3, F.array(F.lit(" "), F.concat(F.lit(" first-"), "RecallID"), F.lit("second")))})
+    return lc.list_items(rows).select("slug", "categoryKey")
+
+
+@query("C4_years", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN year(o_orderdate) >= 2000 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE '2026' END WHEN o_orderkey % 4 = 1 THEN CAST(2000 + o_orderkey % 100 AS VARCHAR) ELSE '2026' END AS year FROM orders")
+def c4_years(spark, d):
+    key = F.col("o_orderkey")
+    text = F.when(key % 4 == 0, F.date_format("o_orderdate", "MMMM d, yyyy")).when(key % 4 == 1, F.concat(F.lit("Recall of "), (2000 + key % 100).cast("string"), F.lit(" (was 1999)"))).when(key % 4 == 2, F.concat(F.lit("lot 12024"), key.cast("string")))
+    return view(spark, d, "orders").select("o_orderkey", vl.year_of(text).alias("year"))
+
+
+@query(
+    "C6_urls",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://acme' || p_partkey || '.com/tea https://www.x.org' WHEN 1 THEN 'https://shop.acme.com/' || p_partkey ELSE '' END AS urls FROM part""",
+)
+def c6_urls(spark, d):
+    key = F.col("p_partkey")
+    text = F.when(key % 4 == 0, F.concat(F.lit("See acme"), key, F.lit(".com/tea, www.x.org. Or acme"), key, F.lit(".com/tea again"))).when(key % 4 == 1, F.concat(F.lit("Visit (https://shop.acme.com/"), key, F.lit("#top)"))).when(key % 4 == 2, "no address")
+    rows = view(spark, d, "part").select("p_partkey", text.alias("text"))
+    return nt.text_contacts(rows, "text").select("p_partkey", F.coalesce(F.array_join("urls", " "), F.lit("")).alias("urls"))
+
+
 # Whole tables: the SQL of the slices without their cuts
 for _whole, _slice, _cut in (
     ("W4_all_sort_orders", "W4_sort_orders", " ORDER BY o_orderkey LIMIT 2000"),

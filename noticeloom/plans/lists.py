@@ -11,9 +11,9 @@ from noticeloom.functions.values import url_encoded
 from noticeloom.operators.aggregates import page_header
 from noticeloom.operators.filters import filter_brand, filter_category, filter_general, filter_recalls, filter_year
 from noticeloom.operators.joins import campaigns_of, lookup, new_records, stored_or_raw
-from noticeloom.operators.localize import list_items
+from noticeloom.operators.localize import first_text, list_items, localize_fda, split_sections
 from noticeloom.operators.metadata import BASE
-from noticeloom.operators.ordering import first_of_hash, winners
+from noticeloom.operators.ordering import first_of_hash, global_rank, winners
 
 
 def newest(df: DataFrame, date: str = "report_date", tie: str = "slug") -> list[Column]:
@@ -31,6 +31,13 @@ def fda_list_page(df: DataFrame, q: str | None, category: str | None, page: int
     return page_of(found, newest(df), page, limit), page_header(found, page, limit)
 
 
+def localized_list_page(df: DataFrame, lang: str, q: str | None, category: str | None, page: int = 1, limit: int = 8) -> DataFrame:
+    """Q1 whole: the rows of a page in a language, localised once they are few, each with the header; a page without rows is one row of the header."""
+    found, header = fda_list_page(df, q, category, page, limit)
+    rows = localize_fda(found, lang).withColumn("shown", F.lit(True))
+    return header.join(rows, F.lit(True), "left")  # a row and a page
+
+
 def category_page(df: DataFrame, slug: str, limit: int = 200) -> DataFrame:
     return filter_category(df, slug, strict=True).orderBy(*newest(df)).limit(limit)
 
@@ -102,6 +109,11 @@ def sitemap(sources: Sequence[tuple[DataFrame, str, str, float]], statics: Seque
     return once.crossJoin(F.broadcast(total))
 
 
+def sitemap_entries(sources: Sequence[tuple[DataFrame, str, str, float]], statics: Sequence[tuple[str, float]], run_ts: Column, base: str = BASE, cap: int = 50_000) -> DataFrame:
+    """Q13 whole: the sitemap with ``position``, from 1, by source and key; ranked by ranges."""
+    return global_rank(sitemap(sources, statics, run_ts, base, cap), ["source", "key"], "position")
+
+
 def append_new(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored and new documents; fields that one side lacks are null."""
     return stored.unionByName(new, allowMissingColumns=True)
@@ -118,3 +130,34 @@ def registry_union(*hashes: DataFrame) -> DataFrame:
 def detail(df: DataFrame, keys: DataFrame, key: str = "slug") -> DataFrame:
     """Q11: the rows asked for; what localises and splits them follows."""
     return lookup(df, keys, key)
+
+
+def detail_record(df: DataFrame, keys: DataFrame, lang: str, key: str = "slug", content: str = "content") -> DataFrame:
+    """Q11 whole: the records asked for in a language, their sections told apart, facts before what the record says at its top.
+
+    A field is that of the language's slice, else of English, else the record's own. The sections are the record's own in English,
+    else the slice's; what was recalled, the official source and the main flow are found as in P18, and the facts of what was
+    recalled (company, brand, product, kind; JSON, as in P27) win over the fields.
+    """
+    rows = detail(df, keys, key)
+    own = F.coalesce(F.try_element_at("languages", F.lit(lang)), F.try_element_at("languages", F.lit("en")))
+    english = F.try_element_at("languages", F.lit("en"))
+    top = lambda f: F.col(f) if f in df.columns else F.lit(None).cast("string")
+    field = lambda f: first_text(own[f], top(f))
+    nothing = F.filter(F.col(content), lambda s: F.lit(False))
+    shown = F.coalesce(F.col(content), own["content"]) if lang == "en" else F.coalesce(own["content"], F.col(content))
+    rows = rows.withColumns({"d_content": F.coalesce(shown, nothing), "d_english": F.coalesce(english["content"], F.col(content), nothing)})
+    rows = split_sections(rows, "d_content", "d_english")
+    facts = F.from_json(F.col("what_was_recalled")["facts"], "company string, brand string, product string, productType string")
+    return rows.select(
+        key,
+        first_text(own["title"], top("title")).alias("title"),
+        first_text(facts["company"], top("companyName")).alias("company"),
+        first_text(facts["brand"], field("brandName")).alias("brand"),
+        first_text(facts["product"], field("productDescription")).alias("product"),
+        first_text(facts["productType"], field("productType")).alias("productType"),
+        field("reason").alias("reason"),
+        "what_was_recalled",
+        "official_source",
+        "main_sections",
+    )
