@@ -44,8 +44,11 @@ def _by_language(df: DataFrame, langs: Sequence[str]) -> DataFrame:
 
 def fda_metadata(df: DataFrame, langs: Sequence[str] = SITE_LANGS, base: str = BASE) -> DataFrame:
     """A row per slug and language: canonical address, title (a generic one is replaced), short description, image."""
-    rows = _by_language(df, langs)
-    own, english = F.try_element_at("languages", F.col("lang")), F.try_element_at("languages", F.lit("en"))
+    # what a language without a slice of its own shows is made once, not for each of them
+    asked = F.array(*map(F.lit, langs))
+    known = F.coalesce(F.array_intersect(asked, F.map_keys("languages")), F.array().cast("array<string>"))
+    rows = df.withColumn("m_known", known).withColumn("m_slice", F.explode(F.concat("m_known", F.when(F.size("m_known") < len(langs), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))))
+    own, english = F.try_element_at("languages", F.col("m_slice")), F.try_element_at("languages", F.lit("en"))
     top = lambda f: F.col(f) if f in df.columns else F.lit("")
     value = lambda f: first_text(own[f], english[f], top(f))
     # in steps, so that no expression is evaluated once for each of its uses
@@ -56,7 +59,9 @@ def fda_metadata(df: DataFrame, langs: Sequence[str] = SITE_LANGS, base: str = B
     generic = F.concat(F.col("m_short"), F.lit(" Recall ("), F.substring(F.coalesce("report_date", F.lit("")), 1, 4), F.lit(") - FDA Safety Alert"))
     title = F.when(F.lower(F.btrim("m_title")).isin(*GENERIC_TITLES), generic).otherwise(F.col("m_title"))
     path = F.concat(F.lit("/recalls/"), url_encoded(F.col("slug")))
-    return rows.select("slug", "lang", localized_path(F.col("lang"), path, base).alias("canonical"), title.alias("title"), cut_squashed(F.col("m_text"), 160).alias("description"), first_image(F.col("images"), base).alias("image"))
+    made = rows.select("slug", "m_known", "m_slice", path.alias("path"), title.alias("title"), cut_squashed(F.col("m_text"), 160).alias("description"), first_image(F.col("images"), base).alias("image"))
+    lang = F.explode(F.when(F.col("m_slice").isNull(), F.array_except(asked, F.col("m_known"))).otherwise(F.array("m_slice")))
+    return made.withColumn("lang", lang).select("slug", "lang", localized_path(F.col("lang"), F.col("path"), base).alias("canonical"), "title", "description", "image")
 
 
 def cpsc_metadata(df: DataFrame, langs: Sequence[str] = SITE_LANGS, base: str = BASE) -> DataFrame:

@@ -538,6 +538,21 @@ def p20(spark, d):
 _LANGS3 = ("en", "fr", "de")
 
 
+def _fda_pages(spark, d, languages: Column) -> DataFrame:
+    rows = view(spark, d, "v_fda")
+    rows = rows.select(
+        "slug", "report_date", "brandName", F.lit(" Product recall").alias("headline"), F.lit("plain product").alias("productDescription"),
+        F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.expr("repeat(concat(title, ' '), 12)")).alias("description"),
+        F.array(F.lit("data:x"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("/i/"), F.col("o_orderkey"))).otherwise("")).alias("images"),
+        languages.alias("languages"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("Recall")).otherwise(F.col("title")).alias("title"),
+    )
+    return rows.withColumn("headline", F.when(F.col("title") == "Recall", F.col("headline")).otherwise(F.lit("")))
+
+
+def _page_texts(lang: str, title: Column) -> Column:
+    return F.create_map(F.lit(lang), F.struct(title.alias("title"), *[F.lit("").alias(f) for f in ("headline", "productDescription", "brandName", "description")]))
+
+
 @query(
     "P22_fda_metadata",
     f"""
@@ -552,16 +567,15 @@ SELECT slug, lang, CASE WHEN lang = 'en' THEN '{md.BASE}/recalls/' ELSE '{md.BAS
 FROM z""",
 )
 def p22(spark, d):
-    rows = view(spark, d, "v_fda")
-    empty = F.create_map(F.lit("xx"), F.struct(*[F.lit("").alias(f) for f in ("title", "headline", "productDescription", "brandName", "description")]))
-    rows = rows.select(
-        "slug", "report_date", "brandName", F.lit(" Product recall").alias("headline"), F.lit("plain product").alias("productDescription"),
-        F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.expr("repeat(concat(title, ' '), 12)")).alias("description"),
-        F.array(F.lit("data:x"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("/i/"), F.col("o_orderkey"))).otherwise("")).alias("images"),
-        empty.alias("languages"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("Recall")).otherwise(F.col("title")).alias("title"),
-    )
-    rows = rows.withColumn("headline", F.when(F.col("title") == "Recall", F.col("headline")).otherwise(F.lit("")))
-    return md.fda_metadata(rows, _LANGS3)
+    return md.fda_metadata(_fda_pages(spark, d, _page_texts("xx", F.lit(""))), _LANGS3)
+
+
+@query("P22_all_languages")
+def p22_all(spark, d):
+    """P22 in all languages of the site, of which some records have one."""
+    key = F.col("o_orderkey")
+    own = F.when(key % 5 == 0, _page_texts("fr", F.concat(F.lit("Rappel "), key))).when(key % 5 == 1, _page_texts("xx", F.lit("")))
+    return md.fda_metadata(_fda_pages(spark, d, own), md.SITE_LANGS)
 
 
 @query(
@@ -1533,6 +1547,10 @@ def c6_urls(spark, d):
     return nt.text_contacts(rows, "text").select("p_partkey", F.coalesce(F.array_join("urls", " "), F.lit("")).alias("urls"))
 
 
+SQL["P22_all_languages"] = (
+    SQL["P22_fda_metadata"].replace("['en', 'fr', 'de']", str(list(md.SITE_LANGS))).replace("CASE WHEN o_orderkey % 2 = 0 THEN 'plain", "CASE WHEN o_orderkey % 5 = 0 AND lang = 'fr' AND o_orderkey % 2 = 1 THEN 'Rappel ' || o_orderkey WHEN o_orderkey % 2 = 0 THEN 'plain")
+)
+
 # Whole tables: the SQL of the slices without their cuts
 for _whole, _slice, _cut in (
     ("W4_all_sort_orders", "W4_sort_orders", " ORDER BY o_orderkey LIMIT 2000"),
