@@ -84,3 +84,12 @@ def test_odd_rows_and_columns(spark):
             assert len(got) == 6
         if name == "personal_data":
             assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+
+
+def test_copies_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    rows = [(None, text), (None, text), (5, near), (7, "other words stand here alone now"), (None, None), (None, None), (None, ""), (3, near), (3, near)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
+    assert left == sorted([(None, text), (7, "other words stand here alone now"), (None, None), (None, None), (None, "")], key=str)
