@@ -26,6 +26,7 @@ BOILERPLATE = (
     "materially different from its current expectations",
     "company undertakes no obligation",
 )
+#: The fields that a list's search looks into.
 LIST_FIELDS = ("headline", "title", "productType", "productDescription", "slug")
 GENERAL_FIELDS = ("slug", "title", "summary", "productType", "brand", "recallNumber")
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from noticeloom.functions.text import blank_to_null, cut_ellipsis, cut_sentence, cut_squashed, escape_html, squash
 from noticeloom.functions.values import url_encoded
+from noticeloom.operators.documents import ANCHOR, NOTICE_LINK, ON_NOTICE, filled
 from noticeloom.operators.localize import first_text, short_product
 
 #: Languages of the site, English first, which has no prefix in addresses.
@@ -17,6 +18,11 @@ SITE_LANGS = ("en", "es", "ar", "zh", "fr", "de", "ja", "pt", "hi", "ru", "vi")
 VEHICLE_LANGS = ("en", "zh", "es", "ar", "hi", "pt", "ru", "fr", "ja", "de", "vi")
 BASE = "https://www.example.org"
 DEFAULT_IMAGE = "/images/logo/default.webp"
+#: The sentences of titles and descriptions, with the facts that they take.
+FDA_TITLE, FDA_DESCRIPTION = "{product} Recall ({year}) - FDA Safety Alert", "FDA recall alert for {product} manufactured by {brand}. See reason, risk and affected batches."
+VEHICLE_TITLE, VEHICLE_DESCRIPTION = "Vehicle Recall {number} | Safety Alert", "Safety recall {number}. Read risks, affected components, and official remedy."
+HEADLINE, BARE_HEADLINE = "{entity} Recalls {product} Over {reason}", "Recall: {product} Due to {reason}"
+ANNOUNCED, BECAUSE = "{entity} announced a recall involving {product}{because}. FDA recall notice published in {year}.", " after issues linked to {reason}"
 GENERIC_TITLES = ("", "product recall", "recall", "fda safety alert")
 
 
@@ -54,9 +60,9 @@ def fda_metadata(df: DataFrame, langs: Sequence[str] = SITE_LANGS, base: str = B
     # in steps, so that no expression is evaluated once for each of its uses
     rows = rows.withColumns({"m_product": F.coalesce(F.nullif(value("productDescription"), F.lit("")), F.lit("Product")), "m_brand": F.coalesce(F.nullif(value("brandName"), F.lit("")), F.lit("Unknown brand")), "m_title": first_text(value("headline"), value("title")), "m_text": F.nullif(value("description"), F.lit(""))})
     rows = rows.withColumn("m_short", short_product(F.col("m_product")))
-    default = F.concat(F.lit("FDA recall alert for "), F.col("m_short"), F.lit(" manufactured by "), F.col("m_brand"), F.lit(". See reason, risk and affected batches."))
+    default = filled(FDA_DESCRIPTION, product=F.col("m_short"), brand=F.col("m_brand"))
     rows = rows.withColumn("m_text", squash(F.coalesce("m_text", default)))
-    generic = F.concat(F.col("m_short"), F.lit(" Recall ("), F.substring(F.coalesce("report_date", F.lit("")), 1, 4), F.lit(") - FDA Safety Alert"))
+    generic = filled(FDA_TITLE, product=F.col("m_short"), year=F.substring(F.coalesce("report_date", F.lit("")), 1, 4))
     title = F.when(F.lower(F.btrim("m_title")).isin(*GENERIC_TITLES), generic).otherwise(F.col("m_title"))
     path = F.concat(F.lit("/recalls/"), url_encoded(F.col("slug")))
     made = rows.select("slug", "m_known", "m_slice", path.alias("path"), title.alias("title"), cut_squashed(F.col("m_text"), 160).alias("description"), first_image(F.col("images"), base).alias("image"))
@@ -89,11 +95,11 @@ def vehicle_alternates(number: Column, base: str = BASE, langs: Sequence[str] =
 
 
 def _vehicle_title(number: Column) -> Column:
-    return F.concat(F.lit("Vehicle Recall "), number, F.lit(" | Safety Alert"))
+    return filled(VEHICLE_TITLE, number=number)
 
 
 def _vehicle_description(number: Column) -> Column:
-    return F.concat(F.lit("Safety recall "), number, F.lit(". Read risks, affected components, and official remedy."))
+    return filled(VEHICLE_DESCRIPTION, number=number)
 
 
 def vehicle_metadata(df: DataFrame, langs: Sequence[str] = VEHICLE_LANGS, base: str = BASE) -> DataFrame:
@@ -133,15 +139,15 @@ def assemble_brief(df: DataFrame, year: Column) -> DataFrame:
     title = col("title")
     headline = (
         F.when((title != "") & (F.lower(title) != "product recall"), title)
-        .when(entity != "", F.concat(entity, F.lit(" Recalls "), first_text(product, F.lit("Product")), F.lit(" Over "), first_text(reason, F.lit("a safety issue"))))
-        .otherwise(F.concat(F.lit("Recall: "), first_text(product, F.lit("Product")), F.lit(" Due to "), first_text(reason, F.lit("a safety issue"))))
+        .when(entity != "", filled(HEADLINE, entity=entity, product=first_text(product, F.lit("Product")), reason=first_text(reason, F.lit("a safety issue"))))
+        .otherwise(filled(BARE_HEADLINE, product=first_text(product, F.lit("Product")), reason=first_text(reason, F.lit("a safety issue"))))
     )
-    because = F.when(reason != "", F.concat(F.lit(" after issues linked to "), F.lower(reason))).otherwise("")
-    text = F.concat(first_text(entity, F.lit("A company")), F.lit(" announced a recall involving "), first_text(product, F.lit("a product")), because, F.lit(". FDA recall notice published in "), year, F.lit("."))
+    because = F.when(reason != "", filled(BECAUSE, reason=F.lower(reason))).otherwise("")
+    text = filled(ANNOUNCED, entity=first_text(entity, F.lit("A company")), product=first_text(product, F.lit("a product")), because=because, year=year)
     words = F.array(F.lit("FDA recall"), F.concat(year, F.lit(" FDA recall")), company, brand, product, col("productType"), reason)
     keywords = F.slice(F.array_distinct(F.filter(words, lambda w: w != "")), 1, 15)
     url = col("detailUrl")
-    link = F.concat(F.lit("Read the official FDA recall notice <a href='"), url, F.lit("' target='_blank' rel='noopener noreferrer'>on the FDA website</a>."))
+    link = filled(NOTICE_LINK, link=filled(ANCHOR, url=url, word=F.lit(ON_NOTICE)))
     links = F.when(url != "", F.array(link)).otherwise(F.array().cast("array<string>"))
     answer = F.concat(F.lit("<p>"), escape_html(first_text(entity, F.lit("The company"))), F.lit(" recalled "), escape_html(first_text(product, F.lit("the affected product"))), F.when(reason != "", F.concat(F.lit(" because of "), escape_html(F.lower(reason)))).otherwise(""), F.lit(".</p>"))
     return df.withColumns({"headline": headline, "metaDescription": cut_sentence(cut_ellipsis(text)), "keywords": keywords, "authorityLinks": links, "quickAnswer": answer})

@@ -1454,7 +1454,7 @@ WITH f AS (SELECT p_partkey AS k, 'p-' || p_partkey AS slug, strftime(DATE '2020
 h AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 8.0) AS BIGINT)) AS pages FROM f),
 p AS (SELECT * FROM f ORDER BY report_date DESC, slug LIMIT 8 OFFSET 8)
 SELECT total, 2 AS page, 8 AS limit, pages AS "totalPages", slug, report_date, CASE k % 3 WHEN 0 THEN 'fr ' WHEN 1 THEN 'en ' ELSE '' END || p_name AS title,
-       p_type AS "productType", CASE k % 3 WHEN 0 THEN 'fr ' || p_type WHEN 1 THEN 'en ' || p_type ELSE 'plain' END AS "productDescription", p_brand AS "brandName"
+       p_type AS "productType", CASE k % 3 WHEN 0 THEN 'fr ' || p_type WHEN 1 THEN 'en ' || p_type WHEN 2 THEN 'plain' END AS "productDescription", p_brand AS "brandName"
 FROM h LEFT JOIN p ON true""",
 )
 def q1_localized(spark, d):

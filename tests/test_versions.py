@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeloom.operators import ordering as od
+from noticeloom.operators.joins import matching
 from noticeloom.sources import versions as vs
 from noticeloom.streaming import jobs
 
@@ -121,7 +122,7 @@ def records(store):
 
 
 def test_ingest_dies_anywhere(spark, tmp_path):
-    batches = batches_of(random.Random(3), 3)
+    batches = batches_of(random.Random(3), 2)
     want = listing(batches)
     for dies in (2, 3.5, 4.5):  # behind the first of three writes, after the third, after the commit
         path = f"{tmp_path}/{dies}"
@@ -138,7 +139,7 @@ def test_ingest_dies_anywhere(spark, tmp_path):
         at = store.snapshot()
         assert at.numbers["records"] == len(want) == store.read("hashes").count() == store.read("slugs").distinct().count()
         assert (at.numbers["min_order"], at.numbers["max_order"]) == (min(v[2] for v in want.values()), max(v[2] for v in want.values()))
-        jobs.ingest_batch(frame(spark, batches[2]), 2, store)
+        jobs.ingest_batch(frame(spark, batches[1]), 1, store)
         assert store.snapshot() == at  # a replayed batch is not taken again
 
 
@@ -190,3 +191,19 @@ def test_one_stem_for_all(spark):
     rows = [(i, i, "s" if i % 3 else f"s-{2 + i // 2}") for i in range(3000)] + [(5, 9999, None)]
     got = {r.row_id: r.slug for r in od.unique_slugs(spark.createDataFrame(rows, "arrival long, row_id long, base string"), "base", "arrival", "row_id", large=500).collect()}
     assert got.pop(9999) is None and got == replay(rows[:-1], [])
+
+
+def test_stored_side_is_not_shuffled(spark, tmp_path):
+    """A batch's keys go to where the registry lies; only more than may be broadcast are joined by a shuffle."""
+    store = vs.Store(spark, f"{tmp_path}/s")
+    hashes = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    images = spark.createDataFrame([("https://a.org/1", "f1")], "url string, filename string")
+    vs.snapshot_load(store, spark.range(10).withColumnRenamed("id", "o"), "o", images, hashes, 4)
+    keys = hashes.limit(7)
+    found = matching(store.read("hashes"), keys, "hash")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    stored = plan[plan.index("BroadcastHashJoin") : plan.index("BroadcastExchange")]
+    assert "Exchange hashpartitioning" not in stored and found.count() == 7
+    assert matching(store.read("hashes"), keys, "hash", limit=3).count() == 7
+    spans = store.read("records").groupBy(F.input_file_name()).agg(F.min("o").alias("low"), F.max("o").alias("high"), F.count("*").alias("n")).collect()
+    assert sum(s.n for s in spans) == 10 and all(s.high - s.low + 1 == s.n for s in spans) and len(spans) > 1 and store.read("images").count() == 1
