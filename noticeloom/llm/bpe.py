@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from noticeloom.llm.common import sliced, table
 from noticeloom.llm.tokenlengths import balanced
 
-#: Characters handled at once, and words whose tokens a worker remembers.
-BATCH_CHARS, MEMO = 1 << 19, 100_000
-#: Longer words are not remembered.
-MEMO_CHARS = 64
+#: Characters handled at once, and pieces whose tokens each half of a worker's memory holds.
+BATCH_CHARS, MEMO = 1 << 19, 200_000
+#: Pieces longer than this are not remembered, nor those whose ids are longer than the second number.
+MEMO_CHARS, MEMO_IDS = 64, 128
 #: Characters from which a word is merged by itself: a round goes over all of a word for one merge, which adds up.
 LONG_WORD = 512
 NO_RANK = np.int64(1) << 40
 BLANKS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: ``str.split`` cuts here too, but the library takes these for characters of words.
+NO_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_letters() -> list[str]:
@@ -43,7 +45,9 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
+        self.decimals = np.array([str(i) for i in range(len(self.tokens))], object)
         end = model["end_of_word_suffix"]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split)
@@ -57,14 +61,24 @@ class WordBpe:
         self.keys, self.ranks = pairs[order], order.astype(np.int64)
         self.made = np.array([self.vocab[a + b] for a, b in merges], np.int64)
         self.pairs = dict(zip(pairs.tolist(), range(len(pairs)), strict=True))
-        self.memo: dict[str, tuple[int, str, str]] = {}
+        #: Ids and tokens of pieces, both joined by blanks: the younger half, and the older one.
+        self.ids: dict[str, str] = {}
+        self.shown: dict[str, str] = {}
+        self.old_ids, self.old_shown = self.ids, self.shown
+
+    def pair_ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs that begin at the places ``at``, by binary search over the sorted pair keys."""
+        after = np.minimum(at + 1, len(sym) - 1)
+        key = (sym[at] << 32) | sym[after]
+        row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[row] == key) & (word[at] == word[after]) & (at < after), self.ranks[row], NO_RANK)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one flat array, and where each word begins in it.
 
-        Each round finds the rank of every adjacent pair by binary search over the sorted pair
-        keys and merges, in every word, its pair of lowest rank, from the left. Words without
-        a known pair leave.
+        Each round merges, in every word, its pair of lowest rank, from the left, and then looks up
+        the ranks of the pairs on both sides of what it merged; all others stay as they were. Words
+        without a known pair leave.
         """
         raw = [w.encode() for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -74,12 +88,8 @@ class WordBpe:
         sym[stop - 1] = self.last[data[stop - 1]]
         word = np.repeat(np.arange(len(raw)), size)
         done_sym, done_word = [], []
+        rank = self.pair_ranks(sym, word, np.arange(len(sym)))
         while len(sym):
-            key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(len(sym), NO_RANK)
-            hit = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank[:-1][hit] = self.ranks[at[hit]]
             begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, begin)
             each = np.repeat(least, np.diff(np.r_[begin, len(sym)]))
@@ -99,7 +109,10 @@ class WordBpe:
             sym[pos] = self.made[rank[pos]]
             keep = np.ones(len(sym), bool)
             keep[pos + 1] = False
-            sym, word = sym[keep], word[keep]
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            pos -= np.arange(len(pos))  # as many symbols went before each
+            near = np.concatenate([pos, pos[pos > 0] - 1])
+            rank[near] = self.pair_ranks(sym, word, near)
         if not done_sym:
             return np.zeros(0, np.int64), np.zeros(len(raw), np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
@@ -134,43 +147,74 @@ class WordBpe:
         return [s for s in sym if s >= 0]
 
     def split(self, text: str) -> list[str]:
-        """Normalised words, and special strings as they stand."""
+        """The normalised pieces between blanks, which no word crosses, and special strings with a blank before them."""
         out: list[str] = []
         parts = self.specials.split(text) if "<|" in text else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(part)
+                out.append(" " + part)
             elif part:
                 plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += self.words.findall(BLANKS.sub(" ", plain).lower())
+                plain = plain.lower()
+                out += [p for p in BLANKS.split(plain) if p] if any(c in plain for c in NO_BLANKS) else plain.split()
         return out
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Number of tokens, ids and tokens of every word, the latter two joined by blanks."""
-        known = {w: (1, str(self.special[w]), w) for w in words if w in self.special}
-        todo = [w for w in words if w not in known and w]
-        merged = {w: self.encode_long(w) for w in todo if len(w) >= LONG_WORD}
-        todo = [w for w in todo if w not in merged]
-        if todo:
-            flat, begin = self.encode_words(todo)
-            ids, ends = flat.tolist(), [*begin.tolist()[1:], len(flat)]
-            merged.update((w, ids[a:b]) for w, a, b in zip(todo, begin.tolist(), ends, strict=True))
-        for w, own in merged.items():
-            known[w] = len(own), " ".join(map(str, own)), " ".join([self.tokens[i] for i in own])
-        return known
+    def unknown(self, pieces: set[str]) -> set[str]:
+        """Those in neither half of the memory; those in the older half move to the younger."""
+        new = pieces.difference(self.ids)
+        for p in new & self.old_ids.keys():
+            self.ids[p], self.shown[p] = self.old_ids[p], self.old_shown[p]
+        return new.difference(self.ids)
+
+    def learn(self, pieces: set[str]) -> set[str]:
+        """Put the ids and tokens of unknown pieces, and of unknown words in them, into the memory; returns both.
+
+        A word by itself is a piece of that one word.
+        """
+        ids, shown = self.ids, self.shown
+        cut, single = {}, set()
+        for p in pieces:
+            if p[0] == " ":
+                ids[p], shown[p] = str(self.special[p[1:]]), p[1:]
+            elif p.isascii() and p.isalpha():
+                single.add(p)
+            else:
+                cut[p] = self.words.findall(p)
+        todo = self.unknown(single.union(*cut.values()))
+        long = [w for w in todo if len(w) >= LONG_WORD]
+        short = list(todo.difference(long))
+        flat, begin = self.encode_words(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        own = [np.array(self.encode_long(w), np.int64) for w in long]
+        bounds = np.cumsum([len(flat), *map(len, own)]).tolist()
+        begin, flat = begin.tolist() + bounds[:-1], np.concatenate([flat, *own])
+        decimals, tokens = self.decimals[flat].tolist(), self.tokens[flat].tolist()
+        for w, a, b in zip(short + long, begin, [*begin, len(flat)][1:], strict=True):
+            ids[w], shown[w] = " ".join(decimals[a:b]), " ".join(tokens[a:b])
+        for p, words in cut.items():
+            if len(words) > 1:
+                ids[p], shown[p] = " ".join([ids[w] for w in words]), " ".join([shown[w] for w in words])
+        return todo | pieces
+
+    def forget(self, learned: set[str]) -> None:
+        """Drop what is long of that just learned, the older half once the younger is full, and both after a text of very many pieces."""
+        for p in learned:
+            if len(p) > MEMO_CHARS or len(self.ids[p]) > MEMO_IDS:
+                del self.ids[p], self.shown[p]
+        if len(self.ids) > MEMO:
+            fits = len(self.ids) <= 2 * MEMO
+            self.old_ids, self.old_shown = (self.ids, self.shown) if fits else ({}, {})
+            self.ids, self.shown = {}, {}
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text the number of tokens, the decimal ids and the decoded text."""
         for part in balanced([len(t or "") for t in texts], BATCH_CHARS):
             cut = [self.split(t) if t else [] for t in texts[part]]
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            memo = self.memo
-            new = self.learn({w for words in cut for w in words if w not in memo})
-            memo.update((w, own) for w, own in new.items() if len(w) <= MEMO_CHARS)  # some 60 MB at most
-            for words in cut:
-                got = [memo[w] if w in memo else new[w] for w in words]
-                yield sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+            learned = self.learn(self.unknown(set().union(*cut)))
+            ids, shown = self.ids.__getitem__, self.shown.__getitem__
+            coded = [(" ".join(map(ids, pieces)), " ".join(map(shown, pieces))) for pieces in cut]
+            self.forget(learned)
+            for own, text in coded:
+                yield own.count(" ") + 1 if own else 0, own, text
 
 
 _loaded: dict[str, WordBpe] = {}

@@ -71,3 +71,40 @@ def test_batches_by_bytes():
 
     assert [(s.start, s.stop) for s in balanced([3, 3, 3, 9, 1, 0], 6)] == [(0, 2), (2, 3), (3, 4), (4, 6)]
     assert list(balanced([], 6)) == []
+
+
+def test_repeated_pieces_cost_nothing_anew(monkeypatch):
+    """The pattern of words sees each piece between blanks once, and a merge looks up its neighbours' pairs alone."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from noticeloom.llm import bpe
+
+    own, seen = bpe.WordBpe(WORDS), []
+    pattern, search = own.words, np.searchsorted
+    monkeypatch.setattr(own, "words", SimpleNamespace(findall=lambda s: seen.append(len(s)) or pattern.findall(s)))
+    texts = ["Recall: model 12-B, it's unsafe. " * 500] * 4
+    (n, *_), *_ = own.encode_batch(texts)
+    assert n == 12 * 500 and sum(seen) < 100
+
+    asked = []
+    monkeypatch.setattr(bpe.np, "searchsorted", lambda a, v, *r, **k: asked.append(np.size(v) if a is own.keys else 0) or search(a, v, *r, **k))
+    own.encode_words(["internationalizations"] * 100)
+    assert 0 < sum(asked) < 100 * 3 * 21
+
+
+def test_pieces_and_memory(reference, monkeypatch):
+    """Small memories, long pieces that hold each other, special strings beside look-alikes: the ids are the library's."""
+    from noticeloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    monkeypatch.setattr(bpe, "_loaded", {})
+    han, word = "\u8bed\u8a00" * 40, "b" * 70
+    odd = ["<|ENDOFTEXT|> <|endoftext|><|EndOfText|>", f"{han} {han},{word} {word} x.{word}.{han}", "a\x1fb \x1c \x1d\x85c\u3000d", "\u3000 \u2028", "it's don't' ''s \"'tis 's's", "\u03a3\u03a3. o\u03a3 \u03c3", "e\u0301 \u0301 \u2000x"]
+    for _ in range(3):
+        check([*odd, *ODD], reference)
+        for t in reversed(odd):
+            check([t], reference)
+    kept = bpe.word_bpe(WORDS)
+    assert all(len(p) <= bpe.MEMO_CHARS for p in (*kept.ids, *kept.old_ids)) and len(kept.ids) <= 5 and len(kept.old_ids) <= 10
