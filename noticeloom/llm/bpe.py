@@ -18,7 +18,7 @@ from noticeloom.llm.common import sliced, table
 from noticeloom.llm.tokenlengths import balanced
 
 #: Characters handled at once, and pieces whose tokens each half of a worker's memory holds.
-BATCH_CHARS, MEMO = 1 << 19, 200_000
+BATCH_CHARS, MEMO = 1 << 19, 100_000
 #: Pieces longer than this are not remembered, nor those whose ids are longer than the second number.
 MEMO_CHARS, MEMO_IDS = 64, 128
 #: Characters from which a word is merged by itself: a round goes over all of a word for one merge, which adds up.
@@ -48,6 +48,7 @@ class WordBpe:
         tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
         self.decimals = np.array([str(i) for i in range(len(self.tokens))], object)
+        self.shown: dict[str, str] = dict(zip(self.decimals.tolist(), self.tokens.tolist(), strict=True))
         end = model["end_of_word_suffix"]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split)
@@ -61,10 +62,9 @@ class WordBpe:
         self.keys, self.ranks = pairs[order], order.astype(np.int64)
         self.made = np.array([self.vocab[a + b] for a, b in merges], np.int64)
         self.pairs = dict(zip(pairs.tolist(), range(len(pairs)), strict=True))
-        #: Ids and tokens of pieces, both joined by blanks: the younger half, and the older one.
+        #: Ids of pieces, joined by blanks: the younger half, and the older one.
         self.ids: dict[str, str] = {}
-        self.shown: dict[str, str] = {}
-        self.old_ids, self.old_shown = self.ids, self.shown
+        self.old_ids = self.ids
 
     def pair_ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The ranks of the pairs that begin at the places ``at``, by binary search over the sorted pair keys."""
@@ -163,19 +163,19 @@ class WordBpe:
         """Those in neither half of the memory; those in the older half move to the younger."""
         new = pieces.difference(self.ids)
         for p in new & self.old_ids.keys():
-            self.ids[p], self.shown[p] = self.old_ids[p], self.old_shown[p]
+            self.ids[p] = self.old_ids[p]
         return new.difference(self.ids)
 
     def learn(self, pieces: set[str]) -> set[str]:
-        """Put the ids and tokens of unknown pieces, and of unknown words in them, into the memory; returns both.
+        """Put the ids of unknown pieces, and of unknown words in them, into the memory; returns the pieces and the words.
 
         A word by itself is a piece of that one word.
         """
-        ids, shown = self.ids, self.shown
+        ids = self.ids
         cut, single = {}, set()
         for p in pieces:
             if p[0] == " ":
-                ids[p], shown[p] = str(self.special[p[1:]]), p[1:]
+                ids[p] = str(self.special[p[1:]])
             elif p.isascii() and p.isalpha():
                 single.add(p)
             else:
@@ -187,34 +187,38 @@ class WordBpe:
         own = [np.array(self.encode_long(w), np.int64) for w in long]
         bounds = np.cumsum([len(flat), *map(len, own)]).tolist()
         begin, flat = begin.tolist() + bounds[:-1], np.concatenate([flat, *own])
-        decimals, tokens = self.decimals[flat].tolist(), self.tokens[flat].tolist()
+        decimals = self.decimals[flat].tolist()
         for w, a, b in zip(short + long, begin, [*begin, len(flat)][1:], strict=True):
-            ids[w], shown[w] = " ".join(decimals[a:b]), " ".join(tokens[a:b])
+            ids[w] = " ".join(decimals[a:b])
         for p, words in cut.items():
             if len(words) > 1:
-                ids[p], shown[p] = " ".join([ids[w] for w in words]), " ".join([shown[w] for w in words])
+                ids[p] = " ".join([ids[w] for w in words])
         return todo | pieces
 
     def forget(self, learned: set[str]) -> None:
         """Drop what is long of that just learned, the older half once the younger is full, and both after a text of very many pieces."""
         for p in learned:
             if len(p) > MEMO_CHARS or len(self.ids[p]) > MEMO_IDS:
-                del self.ids[p], self.shown[p]
+                del self.ids[p]
         if len(self.ids) > MEMO:
-            fits = len(self.ids) <= 2 * MEMO
-            self.old_ids, self.old_shown = (self.ids, self.shown) if fits else ({}, {})
-            self.ids, self.shown = {}, {}
+            self.old_ids = self.ids if len(self.ids) <= 2 * MEMO else {}
+            self.ids = {}
+
+    def forget_all(self) -> None:
+        """Drop both halves: a worker that waits for tasks of any kind keeps no pieces."""
+        self.ids = self.old_ids = {}
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text the number of tokens, the decimal ids and the decoded text."""
         for part in balanced([len(t or "") for t in texts], BATCH_CHARS):
             cut = [self.split(t) if t else [] for t in texts[part]]
             learned = self.learn(self.unknown(set().union(*cut)))
-            ids, shown = self.ids.__getitem__, self.shown.__getitem__
-            coded = [(" ".join(map(ids, pieces)), " ".join(map(shown, pieces))) for pieces in cut]
+            coded = [" ".join(map(self.ids.__getitem__, pieces)) for pieces in cut]
             self.forget(learned)
-            for own, text in coded:
-                yield own.count(" ") + 1 if own else 0, own, text
+            del cut, learned
+            for own in coded:
+                ids = own.split()
+                yield len(ids), own, " ".join(map(self.shown.__getitem__, ids))
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -233,10 +237,17 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     decoding joins the tokens, word ends shown, by blanks. A very long text is a batch of its own, and a very
     long word in it is merged by itself in time that grows little faster than its length. Repeated
     rows and ids are encoded each, a null id stays; other columns play no part, whatever their names;
-    an empty table gives no rows.
+    an empty table gives no rows. Pieces are remembered for one task only, as its worker serves other stages after it.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            word_bpe(path).forget_all()
+            pa.default_memory_pool().release_unused()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in sliced(batches):
             n, a, b, ids, decoded = [], [], [], [], []

@@ -1,4 +1,5 @@
 import hashlib
+from types import SimpleNamespace
 
 import public_tokenizers
 import pytest
@@ -108,3 +109,33 @@ def test_pieces_and_memory(reference, monkeypatch):
             check([t], reference)
     kept = bpe.word_bpe(WORDS)
     assert all(len(p) <= bpe.MEMO_CHARS for p in (*kept.ids, *kept.old_ids)) and len(kept.ids) <= 5 and len(kept.old_ids) <= 10
+
+
+def test_no_pieces_outlast_a_task(spark):
+    """Workers are kept for other stages: after a task they hold the vocabulary and no pieces."""
+    import pyarrow as pa
+
+    def held(batches):
+        from noticeloom.llm import bpe
+
+        for batch in batches:
+            own = bpe._loaded.get(WORDS)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(own.ids) + len(own.old_ids) if own else None] * batch.num_rows, pa.int64())})
+
+    docs = spark.range(0, 4000, 1, 8).selectExpr("id AS doc_id", "concat('recall of model ', id, ' and unit x', id * 7) AS text")
+    encode_documents(docs, WORDS).write.format("noop").mode("overwrite").save()
+    left = [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect() if r.n is not None]
+    assert left and not any(left)
+
+
+def test_no_pieces_outlast_a_task_stopped_early(spark, monkeypatch):
+    from noticeloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "_loaded", {})
+    docs = spark.createDataFrame([(1, "a recall")], "doc_id long, text string")
+    frame = SimpleNamespace(select=lambda *c: SimpleNamespace(schema=docs.schema, mapInArrow=lambda run, schema: run))
+    part = iter(encode_documents(frame, WORDS)(iter(docs.toArrow().to_batches())))
+    next(part)
+    assert bpe._loaded[WORDS].ids
+    part.close()
+    assert not bpe._loaded[WORDS].ids and not bpe._loaded[WORDS].old_ids
