@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,11 @@ def file_stem() -> Column:
 
 
 def read_cpsc_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Category CSVs with quotes, doubled quotes, line ends inside cells and a byte-order mark; all columns text."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False, inferSchema=False, encoding="UTF-8")
+    """Category CSVs with quotes, doubled quotes, line ends inside cells and a byte-order mark; all columns text.
+
+    A cell without anything is null, a quoted empty one the empty text: what stands for null is a name that no file holds.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False, inferSchema=False, encoding="UTF-8", nullValue=uuid.uuid4().hex)
     return raw.select("*", file_stem().alias("category"))
 
 

@@ -147,6 +147,17 @@ def test_table_spans():
     assert nt.table_grid([]) == ([], [])
 
 
+def test_csv_of_odd_texts(spark, tmp_path):
+    """Texts come back from the CSV as they are: blanks around them, empty ones, nulls, line ends and quotes."""
+    texts = ["plain", " a ", "\ta\n", "", None, " ", "\n", "\r\n", "a\r", '"', 'a "b", c\\', '\\"', ",", "null", "\\N", "\ufeffa", "\x00", "\x1f", "\u3000a\x85"]
+    rows = [(i, t, "en", s, 0) for i, (t, s) in enumerate([*((t, "web") for t in texts), *(("a", t) for t in texts)])] + [(None, None, None, None, None)]
+    for parts in (1, len(rows)):
+        d = f"{tmp_path}/{parts}"
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts).write.parquet(f"{d}/documents.parquet")
+        got = {(r.doc_id, r.text, r.source) for r in catalog.QUERIES["S1_csv_scan"](spark, d).collect()}
+        assert got == {(None if i is None else str(i), t, s) for i, t, _, s, _ in rows}
+
+
 def test_csv(spark, tmp_path):
     head = ",".join(f'"{c}"' for c in rc.CSV_COLUMNS)
     line = ['"1"', '""', '"March 14, 2024"', '""', '"say ""hi""\nthere"', *['"x&nbsp;\u00a0"'] * 17]
