@@ -81,12 +81,40 @@ def campaigns_of(vehicles: DataFrame, campaigns: DataFrame) -> DataFrame:
     return own.join(campaigns, ["make", "model", "year"])
 
 
-def stored_or_raw(raw: DataFrame, stored: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """The stored row wins whole, else the raw one; ``is_stored`` tells which."""
+def asked_campaigns(vehicles: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """J4 where the vehicles themselves are not shown: each campaign that is asked for, with the number of its ``vehicles``.
+
+    Equal vehicles meet a campaign as one, so that what follows is done once a campaign; ``repeated`` makes the rows in the end.
+    """
+    own = vehicles.groupBy(F.upper(F.btrim("make")).alias("make"), F.upper(F.btrim("model")).alias("model"), "year").agg(F.count(F.lit(1)).alias("vehicles"))
+    return campaigns.join(own, ["make", "model", "year"])
+
+
+#: So many copies of a row are made in one go.
+COPIES = 1024
+
+
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as the column ``times`` says, without that column.
+
+    Few rows may become very many, and one of them most, so they are dealt over the tasks in pieces of ``COPIES`` first.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [c for c in df.columns if c != times]
+    pieces = df.where(F.col(times) > 0).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / COPIES))).alias("piece"))
+    dealt = pieces.select(*columns, F.least(F.lit(COPIES), F.col(times) - F.col("piece") * COPIES).cast("int").alias("copies")).repartition(n)
+    return dealt.select(*columns, F.explode(F.array_repeat(F.lit(True), F.col("copies"))).alias("copy")).select(*columns)
+
+
+def stored_or_raw(raw: DataFrame, stored: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The stored row wins whole, else the raw one; ``is_stored`` tells which. Columns to ``keep`` pass unchanged.
+
+    Stored rows must be unique by the key.
+    """
     there = stored.select(F.col(key).alias("stored_key"), *[F.col(f).alias(f"stored_{f}") for f in fields])
     both = raw.join(there, F.col(key) == F.col("stored_key"), "left")
     hit = F.col("stored_key").isNotNull()
-    return both.select(key, *[F.when(hit, F.col(f"stored_{f}")).otherwise(F.col(f)).alias(f) for f in fields], hit.alias("is_stored"))
+    return both.select(key, *keep, *[F.when(hit, F.col(f"stored_{f}")).otherwise(F.col(f)).alias(f) for f in fields], hit.alias("is_stored"))
 
 
 def enrichment_backlog(raw: DataFrame, stored: DataFrame, key: str) -> DataFrame:

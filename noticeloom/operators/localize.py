@@ -89,8 +89,11 @@ def localize_vehicle(df: DataFrame, lang: str) -> DataFrame:
     )
 
 
-def lookup_shape(df: DataFrame) -> DataFrame:
-    """Every translation cleaned, English always there (from ``languages.en``, the row, or ``original``), and the codes listed."""
+def lookup_shape(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every translation cleaned, English always there (from ``languages.en``, the row, or ``original``), and the codes listed.
+
+    Columns to ``keep`` pass unchanged.
+    """
     english = F.try_element_at("languages", F.lit("en"))
     clean = lambda c: F.coalesce(squash(c), F.lit(""))
     base = {
@@ -104,7 +107,7 @@ def lookup_shape(df: DataFrame) -> DataFrame:
     cleaned = F.transform_values(others, lambda _, v: F.struct(*[clean(v[f]).alias(f) for f in names]))
     own = F.struct(*[first_text(clean(english[f]), base[f]).alias(f) for f in names])
     full = F.map_concat(F.coalesce(cleaned, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<summary:string,remedy:string,consequence:string,component:string>>"))), F.create_map(F.lit("en"), own))
-    return df.select("campaignNumber", *[base[f].alias(f) for f in names], full.alias("translations")).withColumn("languages", F.array_sort(F.map_keys("translations")))
+    return df.select("campaignNumber", *keep, *[base[f].alias(f) for f in names], full.alias("translations")).withColumn("languages", F.array_sort(F.map_keys("translations")))
 
 
 def list_items(df: DataFrame, summary_chars: int = 280) -> DataFrame:

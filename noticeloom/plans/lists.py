@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noticeloom.functions.values import url_encoded
 from noticeloom.operators.aggregates import page_header
 from noticeloom.operators.filters import filter_brand, filter_category, filter_general, filter_recalls, filter_year
-from noticeloom.operators.joins import campaigns_of, lookup, new_records, stored_or_raw
+from noticeloom.operators.joins import asked_campaigns, lookup, new_records, repeated, stored_or_raw
 from noticeloom.operators.localize import first_text, list_items, localize_fda, split_sections
 from noticeloom.operators.metadata import BASE
 from noticeloom.operators.ordering import first_of_hash, global_rank, winners
@@ -86,10 +86,14 @@ def pending_queue(records: DataFrame, stored: DataFrame, keys: Sequence[tuple[st
     return fresh.orderBy(*order).limit(limit)
 
 
-def vehicle_lookup(vehicles: DataFrame, campaigns: DataFrame, stored: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Q12: campaigns of the vehicles asked for, the stored text before the raw one."""
-    own = campaigns_of(vehicles, campaigns)
-    return stored_or_raw(own, stored, "campaignNumber", fields)
+def vehicle_lookup(vehicles: DataFrame, campaigns: DataFrame, stored: DataFrame, key: str, fields: Sequence[str], shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Q12: campaigns of the vehicles asked for, the stored text before the raw one, a row for each vehicle.
+
+    The key names one row of ``campaigns``, which a number alone need not do; of stored rows with the same key one counts. Texts are chosen, and brought into
+    ``shape``, once a campaign; its rows for equal vehicles are made in the end. ``shape`` must pass the column ``vehicles``.
+    """
+    found = stored_or_raw(asked_campaigns(vehicles, campaigns), stored.dropDuplicates([key]), key, fields, ["campaignNumber", "vehicles"]).drop(key)
+    return repeated(shape(found) if shape else found, "vehicles")
 
 
 def sitemap(sources: Sequence[tuple[DataFrame, str, str, float]], statics: Sequence[tuple[str, float]], run_ts: Column, base: str = BASE, cap: int = 50_000) -> DataFrame:
