@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from noticeloom.operators import joins as jn
 from noticeloom.operators import ordering as od
 from noticeloom.plans import catalog
 
@@ -106,6 +107,15 @@ def test_lookup_of_shared_numbers(spark, tmp_path, name):
         assert Counter(map(tuple, got)) == want
 
 
+def test_lookup_shapes_campaigns_before_vehicles(spark, monkeypatch):
+    """Texts are shaped once a campaign, and its rows for equal vehicles made last; one that very many ask for comes in pieces."""
+    plan = QUERIES["Q12_all_vehicle_lookup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.rindex("Generate") < min(plan.index("Join"), plan.index("regexp_replace"))
+    monkeypatch.setattr(jn, "COPIES", 3)
+    rows = spark.createDataFrame([("a", 1), ("b", 3), ("c", 10), ("d", 0), ("e", None)], "x string, n long")
+    assert Counter(r.x for r in jn.repeated(rows, "n").collect()) == {"a": 1, "b": 3, "c": 10}
+
+
 def test_classes_are_ranked_by_ranges(spark):
     rows = [(i * 7919 % 1000, ("fresh", "newer", "backfill")[i % 3]) for i in range(1000)] + [(None, "newer")]
     c = spark.createDataFrame(rows, "pos int, candidate_class string")
