@@ -109,7 +109,7 @@ def late_requests(query: StreamingQuery) -> int:
 def live_keys(spark: SparkSession, checkpoint: str) -> DataFrame:
     """T4: ``hit_key, held``: the keys that an admission stream still has state for, and how many times it holds; the others have been idle for long and are gone."""
     state = spark.read.format("statestore").option("stateVarName", "times").option("flattenCollectionTypes", "true").load(checkpoint)
-    return state.groupBy(F.col("key.hit_key").alias("hit_key")).agg(F.count(F.lit(1)).alias("held"))
+    return state.select("list_element.hit_key", F.size("list_element.times").cast("long").alias("held"))
 
 
 def live_keys_batch(hits: DataFrame, idle_s: float) -> DataFrame:
@@ -198,34 +198,93 @@ def admission_batch(hits: DataFrame, window_s: float, most: int) -> DataFrame:
     return ordered.mapInArrow(run, DECISION).unionByName(undated)
 
 
+#: State is kept for so many groups of keys; a checkpoint belongs to this number.
+KEY_GROUPS = 1024
+#: Up to so many hits of a key are decided one by one, which is quicker for few.
+FEW = 48
+
+
+def decide_few(times: list[int], kept: list[int], window: int, most: int) -> tuple[list[tuple[bool, int, int]], list[int]]:
+    """``decide`` for few hits, one by one."""
+    out = []
+    for now in times:
+        _, *decision = admit(kept, now, window, most)
+        out.append(tuple(decision))
+        if decision[0]:
+            kept = [*kept, now][-most:]
+    return out, kept
+
+
 class _Admission(StatefulProcessor):
-    """The admitted times of a key, which expire after an idle span."""
+    """T3 and T4 for a group of keys: a row of state for each key with the hits admitted last, and the time of its last hit, after which it expires.
+
+    A call from Spark and each look at the state take some milliseconds, so there is one for a group and batch, not for a key. The group's
+    timer stands where its first key expires.
+    """
 
     def __init__(self, window: int, most: int, idle_ms: int):
         self.window, self.most, self.idle_ms = window, most, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "us long")
+        self.times = handle.getListState("times", "hit_key string, last long, times array<long>")
+
+    def stored(self) -> dict[str | None, tuple[int, list[int]]]:
+        return {name: (last, list(times)) for name, last, times in self.times.get()}
+
+    def first_expiry(self, keys: dict) -> int | None:
+        """A timer fires once the watermark is beyond it; a key goes when the watermark is where it expires."""
+        return min(last for last, _ in keys.values()) + self.idle_ms - 1 if keys else None
+
+    def store(self, keys: dict) -> None:
+        if keys:
+            self.times.put([(name, last, times) for name, (last, times) in keys.items()])
+        else:
+            self.times.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], na_position="last")
-        dated = frame["ts"].notna().to_numpy()
-        times = frame["ts"][dated].dt.as_unit("us").astype("int64").to_numpy()
-        *found, kept = decide(times, np.array([t[0] for t in self.times.get()], np.int64), self.window, self.most)
-        self.times.put([(int(t),) for t in kept])
-        out = pd.DataFrame({"hit_key": key[0], "event_id": frame["event_id"], "ts": frame["ts"], "ok": False, "remaining": 0, "retry_after": 0})
-        for name, values in zip(("ok", "remaining", "retry_after"), found, strict=True):
-            out.loc[dated, name] = values
-        latest = frame["ts"].max()
-        if not pd.isna(latest):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(latest.timestamp() * 1000) + self.idle_ms)
-        yield out
+        frame = pd.concat(list(rows))
+        frame["code"], names = pd.factorize(frame["hit_key"], use_na_sentinel=False)
+        frame = frame.sort_values(["code", "us", "event_id"], na_position="last")
+        dated = frame["us"].notna().to_numpy()
+        codes, times = frame["code"].to_numpy()[dated], frame["us"][dated].to_numpy().astype(np.int64)
+        keys = self.stored()
+        timer = self.first_expiry(keys)
+        ok, remaining, retry = np.zeros(len(frame), bool), np.zeros(len(frame), np.int32), np.zeros(len(frame), np.int32)
+        places = np.flatnonzero(dated)
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high == low:
+                continue
+            name = names[codes[low]]
+            name = None if pd.isna(name) else name
+            last, kept = keys.get(name, (None, []))
+            at = places[low:high]
+            if high - low <= FEW and self.most > 0:
+                found, kept = decide_few(times[low:high].tolist(), kept, self.window, self.most)
+                ok[at], remaining[at], retry[at] = zip(*found, strict=True)
+            else:
+                ok[at], remaining[at], retry[at], kept = decide(times[low:high], np.array(kept, np.int64), self.window, self.most)
+                kept = kept.tolist()
+            newest = int(times[high - 1]) // 1000
+            if kept:
+                keys[name] = (newest if last is None else max(last, newest), kept)
+        self.store(keys)
+        self.set_timer(timer, self.first_expiry(keys))
+        yield pd.DataFrame({"hit_key": frame["hit_key"], "event_id": frame["event_id"], "ts": frame["ts"], "ok": ok, "remaining": remaining, "retry_after": retry})
+
+    def set_timer(self, old: int | None, new: int | None) -> None:
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self.times.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        keys = {name: (last, times) for name, (last, times) in self.stored().items() if last + self.idle_ms > now}
+        self.store(keys)
+        self.set_timer(None, self.first_expiry(keys))  # the old one goes as it has fired
         return iter([])
 
     def close(self) -> None:
@@ -233,9 +292,10 @@ class _Admission(StatefulProcessor):
 
 
 def admission_stream(hits: DataFrame, window_s: float, most: int, idle_s: float, late: str = "0 seconds") -> DataFrame:
-    """T3 on a stream of ``hit_key, event_id, ts``, with state in RocksDB; rows come ordered inside a micro-batch."""
+    """T3 on a stream of ``hit_key, event_id, ts``, with state in RocksDB; the rows of a key come ordered inside a micro-batch."""
     source = hits.select("hit_key", "event_id", "ts").withWatermark("ts", late)
-    return source.groupBy("hit_key").transformWithStateInPandas(
+    grouped = source.withColumns({"us": F.unix_micros("ts"), "key_group": F.pmod(F.xxhash64("hit_key"), F.lit(KEY_GROUPS))})
+    return grouped.groupBy("key_group").transformWithStateInPandas(
         statefulProcessor=_Admission(round(window_s * SECOND), most, int(max(idle_s, window_s) * 1000)),
         outputStructType=DECISION,
         outputMode="append",

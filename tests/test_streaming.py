@@ -117,3 +117,12 @@ def test_in_flight_late_and_idle(spark, tmp_path):
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 8: True} and late == 1
     live = sorted(r.hit_key for r in jobs.live_keys(spark, f"{tmp_path}/c").collect())
     assert live == ["c", "d"] == sorted(r.hit_key for r in jobs.live_keys_batch(hits, 60.0).collect())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 400), max_size=30), st.lists(st.integers(-60, 0), max_size=4), st.integers(1, 80), st.integers(1, 4))
+def test_few_decisions(times, kept, window, most):
+    times, kept = sorted(times), sorted(kept)[-most:]
+    got, left = jobs.decide_few(times, kept, window * jobs.SECOND, most)
+    *found, want = jobs.decide(np.array(times, np.int64), np.array(kept, np.int64), window * jobs.SECOND, most)
+    assert got == list(zip(*[x.tolist() for x in found], strict=True)) and left == want.tolist()
