@@ -126,3 +126,25 @@ def test_few_decisions(times, kept, window, most):
     got, left = jobs.decide_few(times, kept, window * jobs.SECOND, most)
     *found, want = jobs.decide(np.array(times, np.int64), np.array(kept, np.int64), window * jobs.SECOND, most)
     assert got == list(zip(*[x.tolist() for x in found], strict=True)) and left == want.tolist()
+
+
+def test_state_of_many_keys(spark, tmp_path, monkeypatch):
+    """Keys are called for and kept by groups; each is still decided, and expires, by itself."""
+    monkeypatch.setattr(jobs, "KEY_GROUPS", 8)
+    monkeypatch.setattr(jobs, "FEW", 3)
+    jobs.use_rocksdb(spark)
+    rows = [(f"k{i % 400}" if i % 400 else None, i, i // 400 * 7 + i % 13) for i in range(6000)] + [("k1", 9000 + i, None) for i in range(3)]
+    rows += [(f"early{i}", 10000 + i, i) for i in range(100)] + [("at", 20000, 57), ("behind", 20001, 58)]
+    rows += [("newest", 30000, 117)]
+    hits = spark.createDataFrame(rows, "hit_key string, event_id long, s long").selectExpr("hit_key", "event_id", "timestamp_seconds(s + 1000) AS ts", "s")
+    for i in range(3):
+        part = F.coalesce(F.least(F.lit(2), F.floor(F.col("s") / 40)), F.lit(0))
+        hits.where(part == i).drop("s").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.admission_stream(spark.readStream.schema(hits.drop("s").schema).parquet(f"{tmp_path}/in"), 20.0, 2, 60.0)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+    assert got == sorted(map(tuple, jobs.admission_batch(hits, 20.0, 2).collect()), key=str)
+    live = {r.hit_key for r in jobs.live_keys(spark, f"{tmp_path}/c").collect()}
+    assert live == {r.hit_key for r in jobs.live_keys_batch(hits, 60.0).collect()} and "behind" in live and "at" not in live and len(live) > 400
+    state = spark.read.format("statestore").option("stateVarName", "times").option("flattenCollectionTypes", "true").load(f"{tmp_path}/c")
+    assert state.select("key").distinct().count() <= 8
