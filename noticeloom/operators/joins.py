@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions.text import blank_to_null, squash
 from noticeloom.functions.values import notice_hash, notice_url
+from noticeloom.session import cut
 
 #: What a page says in each language's slice.
 SLICE = ("summary", "remedy", "consequence", "component")
@@ -81,6 +82,41 @@ def campaigns_of(vehicles: DataFrame, campaigns: DataFrame) -> DataFrame:
     return own.join(campaigns, ["make", "model", "year"])
 
 
+#: Up to so many pairs of numbers, or of a number and a short text, are sent to the tasks (some 100 MB).
+SENT_PAIRS = 2_000_000
+#: Consecutive rows of a task that meet in one list at most, as a power of two.
+LIST_BITS = 18
+#: So many rows stand beside a campaign in turn: long enough that a file names it once for them, short enough that the rows' repetition is seen by its compression.
+IN_TURN = 64
+
+
+def packed(df: DataFrame, key: str, columns: Sequence[str], name: str) -> DataFrame:
+    """Rows of a key in lists of structs. Lists are made where the rows lie; a key has one for each task and ``2 ** LIST_BITS`` rows, so none grows with the table."""
+    piece = F.shiftright(F.monotonically_increasing_id(), LIST_BITS)
+    return df.select(key, F.struct(*columns).alias(name), piece.alias("piece")).groupBy(key, "piece").agg(F.collect_list(name).alias(name)).drop("piece")
+
+
+def campaigns_of_rows(rows: DataFrame, vehicles: DataFrame, campaigns: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """J4 for very many rows that name a vehicle by a key: the ``columns`` of each, with the number of each campaign.
+
+    Make, model and year become a number first, rows and campaigns of the same number are packed into lists, and lists meet, not
+    rows. The result, which may be hundreds of times the rows, is made last and passes no shuffle; a campaign stands beside all rows of a
+    list in turn, so that a file of it stays small. Sides that are small, once counted, are sent to the tasks.
+    """
+    kinds = cut(campaigns.select("make", "model", "year").distinct().withColumn("kind", F.monotonically_increasing_id()))
+    small = lambda df: F.broadcast(df) if df.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS else df
+    of_key = vehicles.select(key, F.upper(F.btrim("make")).alias("make"), F.upper(F.btrim("model")).alias("model"), "year").join(kinds, ["make", "model", "year"]).select(key, "kind")
+    numbered = campaigns.join(kinds, ["make", "model", "year"]).select("kind", "campaignNumber")
+    few = numbered.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS
+    numbers = packed(numbered, "kind", ["campaignNumber"], "campaigns")
+    lists = packed(rows.select(key, *columns).join(small(of_key), key), "kind", columns, "rows")
+    starts = F.sequence(F.lit(1), F.size("rows"), F.lit(IN_TURN))
+    turns = lists.select("kind", F.explode(F.transform(starts, lambda i: F.slice("rows", i, F.lit(IN_TURN)))).alias("rows"))
+    met = turns.join(F.broadcast(numbers) if few else numbers, "kind")
+    each = met.select("rows", F.explode("campaigns").alias("campaign")).select(F.explode("rows").alias("row"), F.col("campaign.campaignNumber").alias("campaignNumber"))
+    return each.select(*[F.col("row")[c].alias(c) for c in columns], "campaignNumber")
+
+
 def asked_campaigns(vehicles: DataFrame, campaigns: DataFrame) -> DataFrame:
     """J4 where the vehicles themselves are not shown: each campaign that is asked for, with the number of its ``vehicles``.
 

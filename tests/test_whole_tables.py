@@ -116,6 +116,25 @@ def test_lookup_shapes_campaigns_before_vehicles(spark, monkeypatch):
     assert Counter(r.x for r in jn.repeated(rows, "n").collect()) == {"a": 1, "b": 3, "c": 10}
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_campaigns_of_packed_rows(spark, tmp_path, monkeypatch, sent):
+    """Lists of rows meet lists of campaigns, whether these are sent or shuffled; the rows are made last."""
+    monkeypatch.setattr(jn, "SENT_PAIRS", sent)
+    monkeypatch.setattr(jn, "LIST_BITS", 3)
+    monkeypatch.setattr(jn, "IN_TURN", 4)
+    parts = [(i, f"Part {i}", f"Brand#{i % 3}" if i % 11 else None, "SMALL" if i % 2 else "Large", i % 30, 1.0) for i in range(90)] + [(1000004, "Part", "brand#1", "large", 4, 1.0)]
+    rows = [(i // 3, (i * 7) % 100 if i % 13 else None, i, i % 7, float(i % 50)) for i in range(500)] + [(5, 4, 1, 1, 1.0)] * 40 + [(None, 1000004, 1, None, 1.0)]
+    spark.createDataFrame(parts, PARTS).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = QUERIES["J4_campaigns_of_all_vehicles"](spark, str(tmp_path))
+    assert Counter(map(tuple, df.collect())) == Counter(con.execute(catalog.SQL["J4_campaigns_of_all_vehicles"]).fetchall())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and plan.index("Generate explode") < plan.index("Join") and plan.count("collect_list") >= 2
+
+
 def test_classes_are_ranked_by_ranges(spark):
     rows = [(i * 7919 % 1000, ("fresh", "newer", "backfill")[i % 3]) for i in range(1000)] + [(None, "newer")]
     c = spark.createDataFrame(rows, "pos int, candidate_class string")
